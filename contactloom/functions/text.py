@@ -91,11 +91,20 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_compose(F.when(may_change, c)), c)
 
 
-def name(c: Column, compose: bool = True) -> Column:
-    base = strip(drop_control(nfc(c) if compose else c))
+def name_base(c: Column) -> Column:
+    """Composed, without control characters, stripped: what the letter-case rule looks at."""
+    return strip(drop_control(nfc(c)))
+
+
+def name_case(base: Column) -> Column:
+    """Title case for names written in one case; others keep theirs. Empty becomes null."""
     return F.nullif(F.when(single_case(base), title(base)).otherwise(base), F.lit(""))
 
 
+def name(c: Column) -> Column:
+    return name_case(name_base(c))
+
+
 def country(c: Column, config: Config = DEFAULT) -> Column:
     codes = F.create_map(*[F.lit(x) for pair in config.country_codes.items() for x in pair])
     return F.coalesce(F.try_element_at(codes, F.lower(strip(c))), F.nullif(F.upper(strip(c)), F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contactloom.config import COMPLETENESS_FIELDS, DEFAULT, GOLDEN_FIELDS, Config
 from contactloom.operators.components import chain_roots
+from contactloom.operators.lookup import lookup_join
 from contactloom.operators.matching import first_seen
 from contactloom.operators.survivorship import golden_fold
 from contactloom.session import stage
@@ -74,8 +75,6 @@ def merge_batch(customers: DataFrame, config: Config = DEFAULT, closure: bool =
 
 def _survivor_of(heads: DataFrame, survivors: DataFrame) -> DataFrame:
     """(id, merged_into_id) with null for survivors."""
-    from contactloom.operators.lookup import lookup_join
-
     sizes = heads.groupBy("primary_id").agg(F.count("*").alias("n"))
     table = stage(survivors.join(sizes, "primary_id"), "survivors")
     return lookup_join(heads, table, ["primary_id"], "n").select(
@@ -85,10 +84,11 @@ def _survivor_of(heads: DataFrame, survivors: DataFrame) -> DataFrame:
 
 def repoint_lineage(sources: DataFrame, merged: DataFrame) -> DataFrame:
     """Moves the source rows of duplicates to the record they were merged into."""
-    moves = merged.where("merged_into_id IS NOT NULL").select(F.col("id").alias("customer_id"), "merged_into_id")
-    return sources.join(moves, "customer_id", "left").withColumn(
-        "customer_id", F.coalesce("merged_into_id", "customer_id")
-    ).drop("merged_into_id")
+    sizes = sources.groupBy("customer_id").agg(F.count("*").alias("n"))
+    owners = merged.select(F.col("id").alias("customer_id"), F.coalesce("merged_into_id", "id").alias("survivor"))
+    moves = stage(sizes.join(owners, "customer_id", "left").withColumn("survivor", F.coalesce("survivor", "customer_id")), "moves")
+    moved = lookup_join(sources, moves, ["customer_id"], "n")
+    return moved.withColumn("customer_id", F.col("survivor")).drop("survivor")
 
 
 def merge_counts(merged: DataFrame, by: str = "batch_id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,29 +18,41 @@ def data_columns(df: DataFrame, keep: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c not in keep and not c.startswith("_")]
 
 
-def _normalised(field: str, config: Config):
+def _base(field: str, config: Config):
     value = F.col(field).cast("string")
     if field == "email":
         return text.email(value)
     if field == "phone":
         return text.phone(value)
     if field in NAME_FIELDS:
-        return text.name(value)
+        return text.name_base(value)
     if field == "country":
         return text.country(value, config)
     return text.clean(value)
 
 
+def computed_once(df: DataFrame, label: str) -> DataFrame:
+    """Counts the rows that pass (an observed metric of the query).
+
+    It also keeps later filters from being rewritten in terms of the raw columns, which
+    would evaluate every cleaning expression again for each condition on its result.
+    """
+    return df.observe(f"{label}-{uuid.uuid4().hex[:12]}", F.count(F.lit(1)).alias("rows"))
+
+
 def transform_rows(
     df: DataFrame,
     keep: tuple[str, ...] = ("source_row", "upload_file_id"),
     config: Config = DEFAULT,
     warnings: bool = False,
 ) -> DataFrame:
-    """Clean every data column. Two narrow projections, no shuffle."""
+    """Clean every data column: narrow projections, no shuffle. Filter before it."""
     fields = data_columns(df, keep)
     others = [c for c in df.columns if c not in fields]
-    cleaned = df.select(*others, *[_normalised(f, config).alias(f) for f in fields])
+    based = df.select(*others, *[_base(f, config).alias(f) for f in fields])
+    cleaned = based.select(
+        *others, *[text.name_case(F.col(f)).alias(f) if f in NAME_FIELDS else F.col(f) for f in fields]
+    )
     limited = [
         F.substring(F.col(f), 1, config.max_lengths[f]).alias(f) if f in config.max_lengths else F.col(f)
         for f in fields
@@ -60,7 +74,7 @@ def transform_rows(
         both = F.col("first_name").isNotNull() & F.col("last_name").isNotNull()
         full = F.when(both, parts)
         out = out.withColumn("full_name", F.coalesce("full_name", full) if "full_name" in fields else full)
-    return out
+    return computed_once(out, "cleaned")
 
 
 def with_issues(
@@ -70,7 +84,7 @@ def with_issues(
 ) -> DataFrame:
     """Adds ``issues``; a ``_transform_failed`` column, if there is one, is honoured."""
     failed = F.coalesce("_transform_failed", F.lit(False)) if "_transform_failed" in df.columns else None
-    return df.withColumn("issues", rules.issues(data_columns(df, keep), config, failed))
+    return computed_once(df.withColumn("issues", rules.issues(data_columns(df, keep), config, failed)), "checked")
 
 
 def valid_rows(df: DataFrame) -> DataFrame:

@@ -38,9 +38,20 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def plain(c: Column) -> Column:
+    """Printable ASCII without outer blanks: text that cleaning leaves as it is. Most
+    values are, and one pass over them saves the others."""
+    return c.rlike(r"^[!-~](?:[ -~]*[!-~])?$")
+
+
+def blank(c: Column) -> Column:
+    """Null, empty or white space only. A visible ASCII character settles it at once."""
+    return F.coalesce(~c.rlike("[!-~]") & (strip(c) == ""), F.lit(True))
+
+
 def null_blank(c: Column) -> Column:
     """Blank text becomes null; other text is kept as it is."""
-    return F.when(strip(c) != "", c)
+    return F.when(~blank(c), c)
 
 
 def drop_control(c: Column) -> Column:
@@ -49,7 +60,7 @@ def drop_control(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Strip, then drop control characters; empty becomes null."""
-    return F.nullif(drop_control(strip(c)), F.lit(""))
+    return F.when(plain(c), c).otherwise(F.nullif(drop_control(strip(c)), F.lit("")))
 
 
 def match_form(c: Column) -> Column:
@@ -68,9 +79,9 @@ def phone(c: Column) -> Column:
 
 def title(c: Column) -> Column:
     """Upper-case the first letter of every run of letters, lower-case the rest."""
-    return F.array_join(
-        F.transform(F.regexp_extract_all(c, F.lit(_CASED_RUNS), F.lit(1)), F.initcap), ""
-    )
+    runs = F.transform(F.regexp_extract_all(c, F.lit(_CASED_RUNS), F.lit(1)), F.initcap)
+    # Where only blanks part the runs, the built-in does the same.
+    return F.when(c.rlike("^[A-Za-z ]+$"), F.initcap(c)).otherwise(F.array_join(runs, ""))
 
 
 def single_case(c: Column) -> Column:
@@ -87,13 +98,13 @@ def _compose(values: pd.Series) -> pd.Series:
 def nfc(c: Column) -> Column:
     """Unicode composition. Spark has no such function; only text that can change is sent
     to Python, all other values reach the Arrow batch as nulls."""
-    may_change = c.rlike(_NFC_CANDIDATE)
+    may_change = (F.octet_length(c) != F.length(c)) & c.rlike(_NFC_CANDIDATE)
     return F.coalesce(_compose(F.when(may_change, c)), c)
 
 
 def name_base(c: Column) -> Column:
     """Composed, without control characters, stripped: what the letter-case rule looks at."""
-    return strip(drop_control(nfc(c)))
+    return F.when(plain(c), c).otherwise(strip(drop_control(nfc(c))))
 
 
 def name_case(base: Column) -> Column:

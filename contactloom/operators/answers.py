@@ -5,18 +5,19 @@ Intents, first that applies: invalid (blank), count, duplicates, city_filter, se
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 from pyspark.sql.types import ArrayType, StringType
 
 from contactloom.config import ANSWER_SEARCH_FIELDS
 from contactloom.functions import text
-from contactloom.operators.explore import matches_text
 from contactloom.operators.matching import SEPARATOR
 
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
@@ -71,40 +72,44 @@ def with_intent(queries: DataFrame, column: str = "query") -> DataFrame:
     return out.withColumn("argument", argument).drop("_normal", "_digits", "_search")
 
 
-def _finder(phrases: list[str], whole: bool) -> Callable[[pd.Series], pd.Series]:
+def _wild(phrase: str) -> str:
+    """SQL wildcards as a regular expression that stays within one field."""
+    within = f"[^{SEPARATOR}]"
+    return "".join(within + "*" if c == "%" else within if c == "_" else re.escape(c) for c in phrase)
+
+
+def _finder(phrases: list[str], whole: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
     """All phrases a record holds, in one pass over its text. Phrases with wildcards are
     matched one by one. ``whole``: the phrase must be the value, not a part of it."""
-    plain = [p for p in phrases if not any(c in p for c in "%_")]
-    wild = [p for p in phrases if any(c in p for c in "%_")]
+    plain = {p for p in phrases if not any(c in p for c in "%_")}
 
-    def find(values: pd.Series) -> pd.Series:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = ahocorasick.Automaton()
         for p in plain:
             automaton.add_word(p, p)
         if plain:
             automaton.make_automaton()
+        patterns = [(p, re.compile(_wild(p))) for p in phrases if p not in plain]
 
         def one(value):
             if value is None or value != value:
                 return []
-            fields = value.split(SEPARATOR)
             if whole:
-                found = {value} & set(plain)
+                found = {value} & plain
+                found.update(p for p, r in patterns if r.fullmatch(value))
             else:
                 found = {p for _, p in automaton.iter(value)} if plain else set()
-            for p in wild:
-                pattern = p if whole else f"%{p}%"
-                if any(matches_text(f, pattern) for f in fields):
-                    found.add(p)
+                found.update(p for p, r in patterns if r.search(value))
             return sorted(found)
 
-        return values.map(one)
+        for values in batches:
+            yield values.map(one)
 
     return find
 
 
 def _hits(golden: DataFrame, phrases: list[str], value: Column, whole: bool) -> DataFrame:
-    find = F.pandas_udf(_finder(phrases, whole), ArrayType(StringType()))
+    find = F.pandas_udf(_finder(phrases, whole), ArrayType(StringType()), PandasUDFType.SCALAR_ITER)
     return golden.select("id", F.explode(find(value)).alias("argument"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -96,9 +95,3 @@ def page_meta(df: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE)
         "count", F.lit(page).alias("page"), F.lit(page_size).alias("page_size"),
         F.greatest(F.lit(1), F.ceil(F.col("count") / page_size)).alias("total_pages"),
     )
-
-
-def matches_text(value: str, pattern: str) -> bool:
-    """SQL ``ilike`` for the few patterns with wildcards inside a task."""
-    parts = ["(?s:.)*" if c == "%" else "(?s:.)" if c == "_" else re.escape(c) for c in pattern]
-    return re.fullmatch("".join(parts), value, re.IGNORECASE) is not None

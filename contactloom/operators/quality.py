@@ -15,15 +15,14 @@ def quality_report(checked: DataFrame, duplicates: DataFrame, by: str = "upload_
     ``duplicates`` is (by, duplicate_rows). One partial aggregate over the rows; the join
     is between two tables of one row per job.
     """
-    ok = ~rules.has_error(F.col("issues"))
+    ok = F.col("error_count") == 0
     missing = rules.missing_golden_fields(checked.columns)
-    errors = F.size(F.filter("issues", lambda i: i["severity"] == "error"))
     counts = checked.groupBy(by).agg(
         F.count("*").alias("total_rows"),
         F.count_if(ok).alias("valid_rows"),
         F.count_if(~ok).alias("invalid_rows"),
         F.coalesce(F.sum(F.when(ok, missing)), F.lit(0)).alias("missing_fields_count"),
-        F.sum(errors).alias("validation_error_count"),
+        F.sum("error_count").alias("validation_error_count"),
     )
     slots = F.greatest(F.col("valid_rows") * len(GOLDEN_FIELDS), F.lit(1))
     pct = F.col("missing_fields_count") / slots * 100

@@ -28,7 +28,7 @@ from contactloom.session import stage
 
 def _filled(field: str, blank_is_empty: bool) -> Column:
     c = F.col(field)
-    return (F.coalesce(text.strip(c) != "", F.lit(False))) if blank_is_empty else c.isNotNull()
+    return ~text.blank(c) if blank_is_empty else c.isNotNull()
 
 
 def golden_fold(

@@ -193,7 +193,7 @@ def dashboard(spark, sf):
         report.agg(
             F.round(F.avg("missing_pct"), 2).alias("missing_data_percentage"),
             F.sum("duplicate_rows").alias("duplicate_rows_total"), F.sum("validation_error_count").alias("errors")),
-        checked.agg(F.sum(F.size(F.filter("issues", lambda x: x["severity"] == "warning"))).alias("warnings")),
+        checked.agg(F.sum("warning_count").alias("warnings")),
         golden.agg(
             F.count_if("is_duplicate").alias("duplicate_customers"), F.count("*").alias("total_customers")),
     ]

@@ -78,28 +78,33 @@ def _wild(phrase: str) -> str:
 
 
 def _finder(phrases: list[str], whole: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    """All phrases a record holds, in one pass over its text. Phrases with wildcards are
-    matched one by one. ``whole``: the phrase must be the value, not a part of it."""
-    plain = {p for p in phrases if not any(c in p for c in "%_")}
+    """All phrases a record holds, in one pass over its text. A phrase with wildcards is
+    looked for by its longest literal part and checked where that occurs. ``whole``: the
+    phrase must be the value, not a part of it."""
+    by_part: dict[str, list[str]] = {}
+    for p in phrases:
+        by_part.setdefault(max(re.split("[%_]", p), key=len), []).append(p)
 
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for p in plain:
-            automaton.add_word(p, p)
-        if plain:
-            automaton.make_automaton()
-        patterns = [(p, re.compile(_wild(p))) for p in phrases if p not in plain]
+        words = ahocorasick.Automaton()
+        for part in by_part:
+            if part:
+                words.add_word(part, part)
+        if len(words):
+            words.make_automaton()
+        patterns = {p: re.compile(_wild(p)) for p in phrases if "%" in p or "_" in p}
+
+        def holds(phrase, value):
+            if phrase in patterns:
+                return patterns[phrase].fullmatch(value) if whole else patterns[phrase].search(value)
+            return phrase == value if whole else True
 
         def one(value):
             if value is None or value != value:
                 return []
-            if whole:
-                found = {value} & plain
-                found.update(p for p, r in patterns if r.fullmatch(value))
-            else:
-                found = {p for _, p in automaton.iter(value)} if plain else set()
-                found.update(p for p, r in patterns if r.search(value))
-            return sorted(found)
+            parts = {part for _, part in words.iter(value)} if len(words) else set()
+            parts.add("")
+            return sorted(p for part in parts for p in by_part.get(part, ()) if holds(p, value))
 
         for values in batches:
             yield values.map(one)

@@ -10,6 +10,7 @@ from contactloom.functions import text
 
 RAW_TEXT_CHARS = 500
 MAX_LABEL = 40
+NO_LABEL_PATTERN = r"[A-Za-z _/\-]++(?!\s*+[:=])"
 
 
 def field(c: Column, name: str) -> Column:
@@ -24,13 +25,19 @@ def text_fields(df: DataFrame, keys: list[str], column: str = "text") -> DataFra
 def label_values(df: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """(keys..., label, value): every ``label: value`` pair; the last one of a label wins.
 
-    The last pair is a partial aggregate per label, so texts of any length and labels of
-    any frequency are fine.
+    Runs of label characters that no ``:`` or ``=`` follows cannot hold a label. The
+    pattern takes each of them in one step instead of trying all their letters, which
+    keeps it linear in the text; they come out with an empty label. The last pair is a
+    partial aggregate per label, so texts and labels may be of any length and frequency.
     """
-    pattern = F.lit("(?Ud)" + LABEL_VALUE_PATTERN)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(column, pattern, F.lit(1)).alias("label"),
-        F.regexp_extract_all(column, pattern, F.lit(2)).alias("value"),
+    pattern = F.lit("(?Ud)" + NO_LABEL_PATTERN + "|" + LABEL_VALUE_PATTERN)
+    marked = F.when(F.contains(F.col(column), F.lit(":")) | F.contains(F.col(column), F.lit("=")), F.col(column))
+    pairs = F.filter(
+        F.arrays_zip(
+            F.regexp_extract_all(marked, pattern, F.lit(1)).alias("label"),
+            F.regexp_extract_all(marked, pattern, F.lit(2)).alias("value"),
+        ),
+        lambda p: p["label"] != "",
     )
     found = df.select(*keys, F.posexplode(pairs).alias("pos", "pair")).select(
         *keys, "pos", F.replace(F.lower(text.strip(F.col("pair.label"))), F.lit(" "), F.lit("_")).alias("label"),

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom.operators.lookup import lookup_join
 from contactloom.operators.transform import transform_rows, valid_rows, with_issues
 from contactloom.plans.registry import table
+from contactloom.session import spread, stage
 
 CONTACTS_SQL = """
 SELECT o_orderkey + 2 AS source_row,
@@ -104,7 +106,8 @@ WITH_GOLDEN = f"{WITH_VALID}, golden AS ({GOLDEN_SQL})"
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("orders", "customer", "nation"):
+    spread(table(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
+    for name in ("customer", "nation"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(CONTACTS_SQL)
 
@@ -127,8 +130,6 @@ _golden_tables: dict[tuple[str, str], DataFrame] = {}
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The golden table that explorer, dashboard and export queries read: written once
     per session, as those queries run against a stored table."""
-    from contactloom.session import stage
-
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _golden_tables:
         _golden_tables[key] = stage(golden_rows(spark, sf_dir), "golden")
@@ -138,9 +139,6 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 def golden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """See GOLDEN_SQL. Counts and survivors per e-mail are an aggregate joined back, not a
     window, so that no e-mail gathers its rows in one task."""
-    from contactloom.operators.lookup import lookup_join
-    from contactloom.session import stage
-
     rows = stage(valid(spark, sf_dir), "valid")
     with_email = rows.where("email IS NOT NULL")
     groups = stage(

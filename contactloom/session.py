@@ -60,3 +60,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as cores. Few or unsplittable files would
+    otherwise leave the cleaning of their rows to a few tasks; large tables pass as they are.
+    Only for plain scans, whose partitions are known without running anything."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

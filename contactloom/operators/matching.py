@@ -102,31 +102,34 @@ def key_owners(
     they are finished in one ordered task, so that long chains of few records cost no
     more rounds; a larger rest always goes on in rounds.
     """
-    open_edges = stage(edges(_combinations(keyed_df)), "open")
+    open_rows = stage(_combinations(keyed_df), "open")
+    keys = [c for c in open_rows.columns if c != "rid"]
+    filled = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
     owned_parts = []
     while True:
-        left = open_edges.count()
+        left = open_rows.agg(F.sum(filled)).first()[0] or 0
         if left == 0:
             break
+        open_edges = edges(open_rows)
         if left <= ordered_rest:
-            rest = open_edges.select("rid", "key_set", "key").repartition(1).sortWithinPartitions("rid", "key_set")
+            rest = open_edges.repartition(1).sortWithinPartitions("rid", "key_set")
             owned_parts.append(rest.mapInPandas(_ordered_rest, "key_set int, key string, owner bigint"))
             break
-        size = open_edges.groupBy("rid").agg(F.count("*").alias("keys"))
         first = stage(
             open_edges.groupBy("key_set", "key").agg(F.min("rid").alias("owner"), F.count("*").alias("holders")),
             "first",
         )
         # A record that is first at as many keys as it holds is first at all of them.
-        wins = first.groupBy(F.col("owner").alias("rid")).agg(F.count("*").alias("keys"))
-        unique = wins.join(size, ["rid", "keys"], "left_semi").select(F.col("rid").alias("owner"))
+        wins = first.groupBy("owner").agg(F.count("*").cast("int").alias("wins"))
+        unique = wins.join(
+            open_rows.select(F.col("rid").alias("owner"), filled.alias("wins")), ["owner", "wins"], "left_semi"
+        )
         owned = stage(first.join(unique, "owner", "left_semi"), "owned")
         owned_parts.append(owned.select("key_set", "key", "owner"))
         hit = lookup_join(open_edges, owned, ["key_set", "key"], "holders", min_hot_rows=min_hot_rows)
-        decided = hit.select("rid").distinct()
-        open_edges = stage(open_edges.join(decided, "rid", "left_anti"), "open")
+        open_rows = stage(open_rows.join(hit.select("rid").distinct(), "rid", "left_anti"), "open")
     if not owned_parts:
-        return open_edges.select("key_set", "key", F.col("rid").alias("owner"))
+        return edges(open_rows).select("key_set", "key", F.col("rid").alias("owner"))
     owners = owned_parts[0]
     for part in owned_parts[1:]:
         owners = owners.unionByName(part)
@@ -147,7 +150,7 @@ def first_seen(
     """
     keyed_df = stage(keyed(df, key_sets, scope, record_id), "keyed")
     owners = key_owners(keyed_df, min_hot_rows, ordered_rest)
-    record_edges = stage(edges(keyed_df), "edges")
+    record_edges = edges(keyed_df)
     holders = record_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders"))
     owners = stage(owners.join(holders, ["key_set", "key"]), "owners")
     # Only owners that came earlier count: a key may find its owner after the record.

@@ -348,7 +348,7 @@ def job_list(spark, sf):
 SELECT source_row, field_name, error_code, severity, raw_value FROM ({ISSUES_SQL}) WHERE upload_file_id = 2
 ORDER BY source_row, field_name, error_code LIMIT 50 OFFSET 100""")
 def job_errors(spark, sf):
-    rows = issue_rows(i.checked(spark, sf)).where("upload_file_id = 2")
+    rows = issue_rows(i.checked(spark, sf, "upload_file_id = 2"))
     ordered = rows.orderBy("source_row", F.col("field_name").asc_nulls_last(), "error_code")
     return ordered.offset(100).limit(50).select("source_row", "field_name", "error_code", "severity", "raw_value")
 

@@ -116,8 +116,9 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform_rows(contacts(spark, sf_dir))
 
 
-def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_issues(clean(spark, sf_dir))
+def checked(spark: SparkSession, sf_dir: str, only: str = "true") -> DataFrame:
+    """``only`` limits the raw rows: a condition on raw columns belongs before the cleaning."""
+    return with_issues(transform_rows(contacts(spark, sf_dir).where(only)))
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: str | None = None
+_staged: list[str] = []
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -59,6 +60,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +70,13 @@ def spread(scan: DataFrame) -> DataFrame:
     Only for plain scans, whose partitions are known without running anything."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes the tables this process has staged. Call it when the results that were
+    computed from them are written; DataFrames that still read them stop working."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in _staged:
+        target = hadoop.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _staged.clear()

@@ -66,19 +66,20 @@ def delimiter(line: Column) -> Column:
 def csv_layouts(spark: SparkSession, path: str) -> DataFrame:
     """(delimiter, encoding, header, files): one row per distinct layout.
 
-    The first line of each file is found by a partial aggregate over its first split.
+    One pass over the lines: the first line of a file and whether all its bytes are valid
+    UTF-8 are partial aggregates. The driver sees file names only.
     """
-    head = (
-        spark.read.option("recursiveFileLookup", "true").text(path).select("value", *_position())
-        .where((F.col("_block") == 0) & (F.col("value") != "")).groupBy("_file")
-        .agg(F.min_by("value", "_seq").alias("header"))
-    )
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("_file"),
-        F.when(F.is_valid_utf8(F.col("content").cast("string")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", *_position())
+    starts = (F.col("_block") == 0) & (F.col("value") != "")
+    heads = lines.groupBy("_file").agg(
+        F.min_by("value", F.when(starts, F.col("_seq"))).alias("header"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+    ).where("header IS NOT NULL")
+    named = heads.select(
+        "_file", F.ltrim("header", F.lit(BOM)).alias("header"),
+        F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
     )
-    lines = head.join(content, "_file").withColumn("header", F.ltrim("header", F.lit(BOM)))
-    return lines.withColumn("delimiter", delimiter(F.col("header"))).groupBy("delimiter", "encoding", "header").agg(
+    return named.withColumn("delimiter", delimiter(F.col("header"))).groupBy("delimiter", "encoding", "header").agg(
         F.collect_list("_file").alias("files")
     )
 

@@ -44,8 +44,10 @@ def transform_failed(flag: Column) -> Rule:
 
 def empty_row(columns: list[str]) -> Rule:
     """No value in any column that is not bookkeeping."""
-    values = F.coalesce(*[F.col(c).cast("string") for c in columns])
-    return Rule(values.isNull(), None, "EMPTY_ROW", F.lit("Row has no usable data in any field"), "error")
+    empty = F.col(columns[0]).isNull()
+    for c in columns[1:]:
+        empty = empty & F.col(c).isNull()
+    return Rule(empty, None, "EMPTY_ROW", F.lit("Row has no usable data in any field"), "error")
 
 
 def required(field: str) -> Rule:

@@ -53,12 +53,12 @@ def merge_batch(customers: DataFrame, config: Config = DEFAULT, closure: bool =
             moves
         )
         batch_of = current.select("id", "batch_id")
-        current = stage(
-            golden.withColumnRenamed("base_id", "id").drop("primary_id").join(batch_of, "id")
-            .select(*_KEEP, *GOLDEN_FIELDS), "customers",
+        current = golden.withColumnRenamed("base_id", "id").drop("primary_id").join(batch_of, "id").select(
+            *_KEEP, *GOLDEN_FIELDS
         )
         if not closure:
             break
+        current = stage(current, "customers")
     if closure:
         merged_into = chain_roots(stage(merged_into, "moves")).select(
             "id", F.when(F.col("root") != F.col("id"), F.col("root")).alias("merged_into_id")

@@ -16,36 +16,33 @@ from contactloom.operators.matching import _combinations, edges, keyed
 from contactloom.session import stage
 
 
-def _star(pairs: DataFrame, min_hot_rows: int | None) -> DataFrame:
-    """Links every ``b`` of a node ``a`` to the smallest of the node and its ``b``s."""
-    centre = stage(
+def _centres(pairs: DataFrame) -> DataFrame:
+    """(a, m, n): the smallest of a node and its neighbours, and how many pairs it has."""
+    return stage(
         pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), "centre"
     )
-    return lookup_join(pairs, centre, ["a"], "n", min_hot_rows=min_hot_rows)
 
 
 def _large_star(links: DataFrame, min_hot_rows) -> DataFrame:
-    both = stage(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both"
-    )
-    starred = _star(both, min_hot_rows)
+    """Links every larger neighbour of a node to the smallest node around it."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    starred = lookup_join(both, _centres(both), ["a"], "n", min_hot_rows=min_hot_rows)
     return starred.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame, min_hot_rows) -> DataFrame:
-    down = stage(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "down"
-    )
-    starred = _star(down, min_hot_rows)
+    """Links a node and all its smaller neighbours to the smallest of them."""
+    centres = _centres(links)
+    starred = lookup_join(links, centres, ["a"], "n", min_hot_rows=min_hot_rows)
     neighbours = starred.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    centres = down.groupBy("a").agg(F.min("b").alias("b"))
-    return neighbours.unionByName(centres).distinct()
+    return neighbours.unionByName(centres.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(links: DataFrame, min_hot_rows: int | None = None, max_steps: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest node."""
-    current = stage(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    nodes = current
+    # Links always run from the larger to the smaller node.
+    downward = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current = stage(downward.distinct(), "links")
     previous = None
     for _ in range(max_steps):
         mark = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

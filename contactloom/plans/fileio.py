@@ -178,7 +178,8 @@ SELECT substr('{{"source_row":' || source_row || ',"email":"' || coalesce(email,
 FROM contacts WHERE source_row % 9 = 0""")
 def ndjson_errors(spark, sf):
     errors = _ndjson(spark, sf)[1]
-    return errors.select(F.substring("value", 1, 13).alias("start"), F.regexp_replace("error", "^Line [0-9]+: ", "").alias("error"))
+    message = F.regexp_replace("error", "^Line [0-9]+: ", "")
+    return errors.select(F.substring("value", 1, 13).alias("start"), message.alias("error"))
 
 
 _NESTED_SQL = """SELECT o_orderkey AS id, c_name AS customer__name, n_name AS customer__nation__name,
@@ -227,7 +228,8 @@ def xml_scan(spark, sf):
     path = new_path(spark, "xml")
     fields = ["source_row", "full_name", "city", "postal_code"]
     _texts(i.contacts(spark, sf), fields).write.format("xml").options(rowTag="customer", rootTag="customers").save(path)
-    return files.read_xml(spark, path, "customer", "source_row string, full_name string, city string, postal_code string")
+    records, _ = files.read_xml_folder(spark, path, ", ".join(f"{f} string" for f in fields))
+    return records["customer"].select(*fields)
 
 
 @query("xml_flatten", """
@@ -262,7 +264,8 @@ def xml_record_tag(spark, sf):
 
 
 @query("bad_files", f"""{i.WITH_CONTACTS}
-SELECT CAST(source_row AS VARCHAR) AS id, 'XML parse error' AS error FROM contacts WHERE source_row % 6 = 5""")
+SELECT CAST(source_row AS VARCHAR) AS id, CASE source_row % 6 WHEN 5 THEN 'XML parse error'
+       ELSE 'Could not detect record element in XML' END AS error FROM contacts WHERE source_row % 3 = 2""")
 def bad_files(spark, sf):
     errors = files.xml_children(_xml_documents(spark, sf)).where("error IS NOT NULL")
     return errors.select(F.col("_file").alias("id"), F.split("error", ":")[0].alias("error"))

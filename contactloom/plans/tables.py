@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contactloom.config import DEFAULT, EXPORT_FIELDS
+from contactloom.integrate import integrate
 from contactloom.operators import lineage, matching
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows
@@ -12,7 +13,7 @@ from contactloom.plans import entities as e
 from contactloom.plans import inputs as i
 from contactloom.plans.explorer import FILES_SQL, files, jobs
 from contactloom.plans.registry import query, table
-from contactloom.plans.rows import ISSUES_SQL
+from contactloom.plans.rows import ISSUES_SQL, MISSING_SQL
 from contactloom.session import new_path, stage
 from contactloom.sinks import export
 from contactloom.sources import xlsx
@@ -94,6 +95,25 @@ def delete_rows(spark, sf):
     return lineage.delete_rows(files(spark, sf).select("file_id", "uploaded_by", "file_format"), requests)
 
 
+@query("integrate_files", f"""{i.WITH_VALID}
+SELECT upload_file_id, count(*) AS total_rows, count(v.source_row) AS valid_rows, count(*) - count(v.source_row) AS invalid_rows,
+       CAST(sum(CASE WHEN v.source_row IS NOT NULL THEN {MISSING_SQL} ELSE 0 END) AS BIGINT) AS missing_fields_count,
+       count(*) - count(v.source_row) AS validation_error_count
+FROM clean LEFT JOIN (SELECT source_row FROM valid) v USING (source_row) GROUP BY 1""")
+def integrate_files(spark, sf):
+    """Five CSV files with headers of their own, from bytes to the quality report."""
+    path = new_path(spark, "uploads")
+    names = {"email": "Email Address", "phone": "mobile", "first_name": "fname", "city": "Town", "postal_code": "ZIP Code"}
+    rows = i.contacts(spark, sf).drop("source_row").withColumnsRenamed(names).repartition("upload_file_id")
+    rows.write.partitionBy("upload_file_id").options(header=True, escape='"', emptyValue="").csv(path)
+    report = integrate(spark, path).quality
+    # Files are numbered by name, which is the order of the upload ids.
+    return report.select(
+        F.col("file_id").alias("upload_file_id"), "total_rows", "valid_rows", "invalid_rows", "missing_fields_count",
+        "validation_error_count",
+    )
+
+
 # --- exports --------------------------------------------------------------------------------------
 
 _EXPORT = ", ".join(f"CAST({f} AS VARCHAR) AS {f}" for f in EXPORT_FIELDS)

@@ -8,6 +8,7 @@ exceptions.
 from __future__ import annotations
 
 import csv
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
@@ -28,13 +29,16 @@ _ABSENT = "\x00"
 
 # --- record numbers -------------------------------------------------------------------------------
 
-def with_ordinals(rows: DataFrame, first: int) -> DataFrame:
+def with_ordinals(rows: DataFrame, first: int, dense: bool = False) -> DataFrame:
     """Numbers the records of each file in file order, starting with ``first``.
 
-    Rows carry ``_file``, ``_block`` (offset of their split) and ``_seq`` (increasing
-    within a split). Only counts per split are put in order; no file is gathered in one
-    task, so a file may hold any share of the data.
+    Rows carry ``_file``, ``_block`` (offset of their split) and ``_seq`` (rising by one
+    within a split; with gaps if rows were left out, then say ``dense``). Only counts per
+    split are put in order over a file; the largest group in one task is a split, so a
+    file may hold any share of the data.
     """
+    if dense:
+        rows = rows.withColumn("_seq", F.row_number().over(W.partitionBy("_file", "_block").orderBy("_seq")))
     splits = rows.groupBy("_file", "_block").agg(F.min("_seq").alias("_start"), F.count("*").alias("_n"))
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -233,20 +237,26 @@ def flatten_items(items: DataFrame, keys: Sequence[str], max_depth: int = 32) ->
     raise ValueError(f"records nested deeper than {max_depth} levels")
 
 
+def ndjson_items(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(items, errors) of line-delimited JSON: items (_file, _source_row, item VARIANT) are
+    numbered among the lines that parse; blank lines are skipped. Errors (_file, error,
+    value) name the line of what does not parse and the number of what is no object."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", *_position())
+    lines = stage(lines, "lines")
+    parsed = F.try_parse_json("value")
+    good = with_ordinals(lines.where(~text.blank(F.col("value")) & parsed.isNotNull()), 1, dense=True)
+    records, skipped = split_objects(good.withColumn("item", parsed))
+    bad = with_ordinals(lines, 1).where(~text.blank(F.col("value")) & parsed.isNull()).select(
+        "_file", F.concat(F.lit("Line "), F.col("_source_row").cast("string"), F.lit(": JSON parse error")).alias("error"), "value"
+    )
+    return records, skipped.select("_file", "error", "value").unionByName(bad)
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, errors) of line-delimited JSON; blank lines are skipped, bad ones reported
-    with their line number."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", *_position())
-    numbered = with_ordinals(stage(lines, "lines"), 1).where(~text.blank(F.col("value")))
-    typed = numbered.withColumn("_kind", F.schema_of_variant(F.try_parse_json("value")))
-    is_object = F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False))
+    """(records, errors) with the fields of a known schema."""
+    items, errors = ndjson_items(spark, path)
     row = F.from_json("value", schema)
-    rows = typed.where(is_object).select("_file", "_source_row", row.alias("r")).select("_file", "_source_row", "r.*")
-    message = F.when(F.col("_kind").isNull(), F.concat(F.lit("Line "), F.col("_source_row").cast("string"), F.lit(": JSON parse error")))
-    message = message.otherwise(F.concat(
-        F.lit("Row "), F.col("_source_row").cast("string"), F.lit(": expected object, got "), _type_name(F.col("_kind")), F.lit(" — skipped")
-    ))
-    return rows, typed.where(~is_object).select("_file", "_source_row", "value", message.alias("error"))
+    return items.select("_file", "_source_row", row.alias("r")).select("_file", "_source_row", "r.*"), errors
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -275,7 +285,7 @@ def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
         for key, content in zip(batch["_file"], batch["content"]):
-            tags, depth = [], 0
+            tags, seen, depth = [], Counter(), 0
             try:
                 parser = ElementTree.XMLPullParser(["start", "end"])
                 parser.feed(content)
@@ -283,21 +293,26 @@ def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for event, element in parser.read_events():
                     if event == "start":
                         if depth == 1:
-                            tags.append(element.tag.rsplit("}", 1)[-1])
+                            tag = element.tag.rsplit("}", 1)[-1]
+                            seen[tag] += 1
+                            tags.append((tag, seen[tag]))
                         depth += 1
                     else:
                         depth -= 1
             except ElementTree.ParseError as e:
-                found.append((key, 1, None, f"XML parse error: {e}"))
+                found.append((key, None, None, None, f"XML parse error: {e}"))
                 continue
-            found += [(key, n, tag, None) for n, tag in enumerate(tags, 1)]
-        yield pd.DataFrame(found, columns=["_file", "position", "tag", "error"])
+            found += [(key, n, tag, nth, None) for n, (tag, nth) in enumerate(tags, 1)]
+            if not tags:
+                found.append((key, None, None, None, "Could not detect record element in XML"))
+        out = pd.DataFrame(found, columns=["_file", "position", "tag", "nth", "error"])
+        yield out.astype({"position": "Int64", "nth": "Int64"})
 
 
 def xml_children(contents: DataFrame) -> DataFrame:
-    """(_file, position, tag, error) from (_file, content)."""
+    """(_file, position, tag, nth of its tag, error) from (_file, content)."""
     return contents.select("_file", "content").mapInPandas(
-        _children, "_file string, position long, tag string, error string"
+        _children, "_file string, position long, tag string, nth long, error string"
     )
 
 
@@ -317,3 +332,28 @@ def read_xml(spark: SparkSession, path: str, record_tag: str, schema: str | T.St
         .options(rowTag=record_tag, attributePrefix="@", ignoreNamespace=True, inferSchema=False, mode="DROPMALFORMED")
         .load(path)
     )
+
+
+def read_xml_folder(
+    spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType | None = None, record_tag: str | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """({record tag: records}, errors). The tag is found per file unless it is given, and
+    each tag is read once; records are numbered among all children of the root. A file
+    that is no XML as a whole gives its error and no records."""
+    contents = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_file"), "content")
+    children = stage(xml_children(contents), "children")
+    good = children.where("error IS NULL")
+    chosen = good.select("_file").distinct().withColumn("record_tag", F.lit(record_tag)) if record_tag else xml_record_tags(good)
+    chosen = stage(chosen, "tags")
+    out = {}
+    for row in chosen.select("record_tag").distinct().toLocalIterator():
+        tag = row.record_tag
+        reader = spark.read.format("xml").options(
+            rowTag=tag, attributePrefix="@", ignoreNamespace=True, inferSchema=False, mode="PERMISSIVE")
+        raw = (reader.schema(schema) if schema is not None else reader).load(paths)
+        fields = [f"`{c}`" for c in raw.columns]
+        numbered = with_ordinals(stage(raw.select(*fields, *_position()), "xml"), 1).withColumnRenamed("_source_row", "nth")
+        of_file = good.where(F.col("tag") == tag).join(chosen.where(F.col("record_tag") == tag), "_file", "left_semi")
+        places = of_file.select("_file", "nth", F.col("position").alias("_source_row"))
+        out[tag] = numbered.join(places, ["_file", "nth"]).drop("nth")
+    return out, children.where("error IS NOT NULL").select("_file", "error")

@@ -68,9 +68,8 @@ def test_json_flatten(spark):
 def test_ndjson(spark, tmp_path):
     path = write(tmp_path, "a.ndjson", '{"a":1}\n\n{bad\n5\n{"a":2}\n')
     rows, errors = files.read_ndjson(spark, path, "a int")
-    assert sorted((r._source_row, r.a) for r in rows.collect()) == [(1, 1), (5, 2)]
-    assert sorted((r._source_row, r.error) for r in errors.collect()) == [
-        (3, "Line 3: JSON parse error"), (4, "Row 4: expected object, got int — skipped")]
+    assert sorted((r._source_row, r.a) for r in rows.collect()) == [(1, 1), (3, 2)]
+    assert sorted(r.error for r in errors.collect()) == ["Line 3: JSON parse error", "Row 2: expected object, got int — skipped"]
 
 
 def test_xml(spark, tmp_path):
@@ -88,7 +87,17 @@ def test_bad_xml(spark, tmp_path):
     write(tmp_path, "bad.xml", "<r><c>")
     write(tmp_path, "empty.xml", "<r/>")
     children = files.xml_children(spark.read.format("binaryFile").load(str(tmp_path)).withColumnRenamed("path", "_file")).collect()
-    assert len(children) == 1 and children[0].error.startswith("XML parse error")
+    assert sorted(c.error[:20] for c in children) == ["Could not detect rec", "XML parse error: unc"]
+
+
+def test_xml_folder(spark, tmp_path):
+    write(tmp_path, "a.xml", "<r><o/><c><n>1</n></c><o/><c><n>2</n></c><c><n>3</n></c></r>")
+    write(tmp_path, "b.xml", "<r><c><n>8</n></c><c>")
+    write(tmp_path, "d.xml", "<r><p><n>9</n></p></r>")
+    records, errors = files.read_xml_folder(spark, str(tmp_path))
+    assert sorted((r._source_row, r.n) for r in records["c"].collect()) == [(2, "1"), (4, "2"), (5, "3")]
+    assert [(r._source_row, r.n) for r in records["p"].collect()] == [(1, "9")]
+    assert [e._file.rsplit("/", 1)[-1] for e in errors.collect()] == ["b.xml"]
 
 
 def test_xlsx_round_trip(spark, tmp_path):

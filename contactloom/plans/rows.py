@@ -157,9 +157,9 @@ def rule_required(spark, sf):
 
 @query("rule_empty", f"""{i.WITH_CLEAN}
 SELECT source_row, 'EMPTY_ROW' AS error_code, 'Row has no usable data in any field' AS error_message, 'error' AS severity
-FROM clean WHERE first_name IS NULL AND city IS NULL""")
+FROM clean WHERE first_name IS NULL AND phone IS NULL""")
 def rule_empty(spark, sf):
-    rows = with_issues(i.clean(spark, sf).select("source_row", "first_name", "city"), keep=("source_row",))
+    rows = with_issues(i.clean(spark, sf).select("source_row", "first_name", "phone"), keep=("source_row",))
     return issue_rows(rows, ("source_row",)).where("error_code = 'EMPTY_ROW'").select(
         "source_row", "error_code", "error_message", "severity"
     )

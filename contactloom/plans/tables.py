@@ -186,7 +186,7 @@ def stream_counts(spark, sf):
     out, mark = new_path(spark, "counts"), new_path(spark, "mark")
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    st.running_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), out, mark)
+    st.running_counts(events, out, mark)
     return st.latest_counts(spark, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "errors")
 
 

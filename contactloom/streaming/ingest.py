@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from contactloom.config import DEFAULT, Config
 from contactloom.operators import matching
@@ -39,13 +40,21 @@ def _upsert(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def running_counts(events: DataFrame, path: str, checkpoint: str, window: str = "1 day", delay: str = "1 hour") -> None:
-    """Events per window and type. Late events within ``delay`` still count; the state of
-    older windows is dropped. Every micro-batch writes the counts that changed."""
+    """Events per window and type, in UTC whatever the session's time zone. Late events
+    within ``delay`` still count; the state of older windows is dropped. Every micro-batch
+    writes the counts that changed."""
+    if isinstance(events.schema["ts"].dataType, TimestampNTZType):
+        # Watermarks need instants.
+        events = events.withColumn("ts", F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, ts))"))
     counts = (
         events.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
-        .select(F.col("w.start").alias("window_start"), "event_type", "n", "errors")
+        .withColumn("window_start", F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {EPOCH})"))
+        .select("window_start", "event_type", "n", "errors")
     )
     run_available(counts.writeStream.outputMode("update").foreachBatch(_upsert(path)), checkpoint)
 

@@ -87,7 +87,7 @@ def test_bad_xml(spark, tmp_path):
     write(tmp_path, "bad.xml", "<r><c>")
     write(tmp_path, "empty.xml", "<r/>")
     children = files.xml_children(spark.read.format("binaryFile").load(str(tmp_path)).withColumnRenamed("path", "_file")).collect()
-    assert sorted(c.error[:20] for c in children) == ["Could not detect rec", "XML parse error: unc"]
+    assert sorted(c.error[:15] for c in children) == ["Could not detec", "XML parse error"]
 
 
 def test_xml_folder(spark, tmp_path):

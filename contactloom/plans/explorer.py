@@ -56,16 +56,19 @@ def files(spark, sf):
 @query("jobs_of_owner", f"""{WITH_JOBS}
 SELECT job_id, file_id, status, original_name, uploaded_by FROM jobs JOIN files USING (file_id) WHERE uploaded_by = 7""")
 def jobs_of_owner(spark, sf):
+    """A file may have any share of the jobs, so its row is looked up."""
     mine = files(spark, sf).where("uploaded_by = 7").select("file_id", "original_name", "uploaded_by")
-    return jobs(spark, sf).select("job_id", "file_id", "status").join(mine, "file_id")
+    all_jobs = jobs(spark, sf).select("job_id", "file_id", "status")
+    sizes = all_jobs.groupBy("file_id").agg(F.count("*").alias("n"))
+    return lookup_join(all_jobs, stage(mine.join(sizes, "file_id"), "mine"), ["file_id"], "n")
 
 
 @query("batches_of_owner", """
 SELECT c_custkey AS batch_id, c_nationkey AS owner FROM customer
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)""")
 def batches_of_owner(spark, sf):
-    """Existence as a semi join: no duplicates to remove afterwards."""
-    large = table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    """Existence as a semi join; copies of a key collapse before the shuffle."""
+    large = table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey")).distinct()
     owners = table(spark, sf, "customer").join(large, "c_custkey", "left_semi")
     return owners.select(F.col("c_custkey").alias("batch_id"), F.col("c_nationkey").alias("owner"))
 
@@ -74,7 +77,7 @@ def batches_of_owner(spark, sf):
 SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
 def ids_lookup(spark, sf):
-    wanted = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    wanted = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     return table(spark, sf, "orders").join(wanted, "o_orderkey", "left_semi").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")
     )
@@ -83,7 +86,7 @@ def ids_lookup(spark, sf):
 @query("missing_ids", """
 SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def missing_ids(spark, sf):
-    known = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
+    known = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")).distinct()
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(known, "id", "left_anti")
 
 
@@ -360,7 +363,7 @@ JOIN (SELECT batch_id, count(*) AS job_count, count(*) FILTER (status = 'failed'
 def batch_history(spark, sf):
     """Batches of an owner with file and job counts: grouped once, not counted per batch."""
     all_files = files(spark, sf)
-    mine = all_files.where("uploaded_by = 7").select("batch_id")
+    mine = all_files.where("uploaded_by = 7").select("batch_id").distinct()
     file_counts = all_files.groupBy("batch_id").agg(F.count("*").alias("file_count"))
     job_counts = jobs(spark, sf).groupBy("batch_id").agg(
         F.count("*").alias("job_count"), F.count_if(F.col("status") == "failed").alias("failed_jobs")
@@ -375,7 +378,11 @@ def batch_detail(spark, sf):
     """Files of a batch with their jobs, as flat rows: nesting a batch into one value would
     gather it in one task."""
     inside = files(spark, sf).where("batch_id = 8").drop("uploaded_by")
-    return inside.join(jobs(spark, sf).select("file_id", "job_id", "status"), "file_id", "left")
+    all_jobs = jobs(spark, sf).select("file_id", "job_id", "status")
+    sizes = all_jobs.groupBy("file_id").agg(F.count("*").alias("n"))
+    with_jobs = lookup_join(all_jobs, stage(inside.join(sizes, "file_id"), "inside"), ["file_id"], "n")
+    without = inside.join(sizes, "file_id", "left_anti")
+    return with_jobs.unionByName(without, allowMissingColumns=True)
 
 
 @query("file_list", f"""{WITH_JOBS}

@@ -10,7 +10,7 @@ from contactloom.config import EXPORT_FIELDS
 
 def export_rows(golden: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The export columns in id order, duplicates included; ``ids`` limits the records."""
-    chosen = golden if ids is None else golden.join(ids.select("id"), "id", "left_semi")
+    chosen = golden if ids is None else golden.join(ids.select("id").distinct(), "id", "left_semi")
     return chosen.select(*EXPORT_FIELDS).orderBy("id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.mixing import mix
 from contactloom.llm.sharding import shard_documents
+from contactloom.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +34,13 @@ def op1_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(op1_ring)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_add(op3_simhash)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 

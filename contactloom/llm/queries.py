@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm.mixing import mix
+from contactloom.llm.quality_gate import judge
 from contactloom.llm.sharding import shard_documents
 from contactloom.llm.simhash import near_duplicates
 
@@ -74,3 +75,13 @@ c AS (SELECT *, CASE WHEN size = 0 THEN 0
 SELECT doc_id, source, size::BIGINT AS size, source_size, target, copies::BIGINT AS copies,
        (copies * size)::BIGINT AS taken FROM c
 """)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+_add(op7_quality)

@@ -25,28 +25,33 @@ def hex60(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
 
 
-def count_before(df: DataFrame, group: list[str], order: list[Column], size: str, out: str, spread: int = 256):
-    """``df`` with ``out``: the sum of ``size`` over the rows of its group that come before it.
+def points_before(points: list[int], value: Column, inclusive: bool = False) -> Column:
+    """How many of the sorted ``points`` are below ``value`` (or equal, if inclusive), by bisection."""
+    if not points:
+        return F.lit(0)
+    array, steps = F.lit(points), [1 << b for b in reversed(range(len(points).bit_length()))]
 
-    ``order`` starts with a long column that is spread evenly (a hash) or dense; rows are
-    cut into ``spread`` ranges of it, so that a group with a third of all rows is summed by
-    many tasks. Only one row per group and range meets the others of its group.
+    def further(low: Column, step: Column) -> Column:
+        point = F.element_at(array, F.least(low + step, F.lit(len(points))))
+        return F.when((low + step <= len(points)) & ((point <= value) if inclusive else (point < value)), low + step).otherwise(low)
+
+    return F.aggregate(F.lit(steps), F.lit(0), further)
+
+
+def ordered_buckets(docs: DataFrame, doc_id: str, text: str, pieces: int) -> Column:
+    """Number of a bucket, ascending with the identifier; about ``pieces`` equal ones.
+
+    Only the identifiers are read for it. An identifier that fills several buckets by itself
+    is spread over them by its texts, and so are rows without one, which come first.
     """
-    lead = order[0]
-    low, high = df.agg(F.min(lead), F.max(lead)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    width = max(1, -(-(int(high) - int(low) + 1) // spread))
-    cut = F.floor((lead.cast("decimal(38,0)") - F.lit(int(low)).cast("decimal(38,0)")) / F.lit(width)).cast("int")
-    cut_df = df.withColumn("__cut", cut)
-    keys = [*group, "__cut"]
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*group).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut_df.groupBy(*keys).agg(F.sum(size).alias("__sum"))
-    starts = totals.select(*keys, F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__start"))
-    within = cut_df.withColumn("__in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    same = [within[k].eqNullSafe(starts[k]) for k in keys]
-    joined = within.join(starts, same, "inner")
-    return joined.select(
-        *[within[c] for c in df.columns], (F.col("__start") + F.col("__in")).cast("long").alias(out)
+    shares = [i / pieces for i in range(1, pieces)] or [0.5]
+    found = docs.agg(F.percentile_approx(F.col(doc_id), shares, 10_000)).first()[0] or []
+    points = [int(p) for p in found]
+    name = F.col(doc_id)
+    below, upto = points_before(points, name), points_before(points, name, inclusive=True)
+    spread = F.xxhash64(F.col(text))
+    own = let(
+        F.struct(below.alias("low"), upto.alias("high")),
+        lambda b: F.when(b.high - b.low > 1, b.low + F.pmod(spread, b.high - b.low)).otherwise(b.low),
     )
+    return F.when(name.isNull(), -1 - F.pmod(spread, F.lit(pieces))).otherwise(own).cast("int")

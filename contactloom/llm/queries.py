@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.mixing import mix
 from contactloom.llm.quality_gate import judge
 from contactloom.llm.sharding import shard_documents
 from contactloom.llm.simhash import near_duplicates
+from contactloom.llm.tokens import vocabulary_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +87,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(op7_quality)
+
+
+def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return read_documents(write_ids(documents, vocabulary_file("word_bpe_49k.json")))
+
+
+_add(op8_dac)

@@ -22,9 +22,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import points_before
 from contactloom.session import stage
 
 VIRTUAL = 64
@@ -65,20 +66,6 @@ def place(cells, shards: int, virtual: int = VIRTUAL, slack: float = SLACK):
     return placed
 
 
-def _arc(ends: list[int]) -> Column:
-    """Number of points before ``position``, by bisection; beyond the last the ring starts again."""
-    points, steps = F.lit(ends), [1 << b for b in reversed(range(len(ends).bit_length()))]
-    further = F.aggregate(
-        F.lit(steps),
-        F.lit(0),
-        lambda low, step: F.when(
-            (low + step <= len(ends)) & (F.element_at(points, F.least(low + step, F.lit(len(ends)))) < F.col("position")),
-            low + step,
-        ).otherwise(low),
-    )
-    return further % len(ends)
-
-
 def shard_documents(
     docs: DataFrame,
     shards: int,
@@ -105,9 +92,12 @@ def shard_documents(
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("-", F.lit("null"), "size", "text_crc32"))
     key = F.md5(F.concat_ws("#", name, F.when(F.col("copy") > 0, F.col("copy").cast("string"))))
     ends = [position for position, _ in ring(shards, virtual)]
+    # A key on a point belongs to it; beyond the last point the ring starts again.
     position = F.conv(F.substring(key, 1, 14), 16, 10).cast("long")
     part = (F.conv(F.substring(key, 15, 8), 16, 10).cast("long") % slices).cast("int")
-    located = single.withColumn("position", position).withColumn("part", part).withColumn("arc", _arc(ends))
+    located = single.withColumn("position", position).withColumn("part", part).withColumn(
+        "arc", points_before(ends, F.col("position")) % len(ends)
+    )
     located = stage(located.select("doc_id", "size", "text_crc32", "copy", "arc", "part"), "ring")
     sums = located.groupBy("arc", "part").agg(F.sum("size"), F.count("*"))
     cells = list(zip(*[c.to_pylist() for c in sums.toArrow().columns], strict=True))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.mixing import mix
+from contactloom.llm.packing import pack_documents
 from contactloom.llm.quality_gate import judge
 from contactloom.llm.sharding import shard_documents
 from contactloom.llm.simhash import near_duplicates
@@ -44,6 +45,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(op3_simhash)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
+_add(op4_packing)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 

@@ -11,6 +11,7 @@ from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.mixing import mix
 from contactloom.llm.packing import pack_documents
 from contactloom.llm.quality_gate import judge
+from contactloom.llm.secrets import BASE, scan
 from contactloom.llm.sharding import shard_documents
 from contactloom.llm.simhash import near_duplicates
 from contactloom.llm.tokens import vocabulary_file
@@ -103,3 +104,17 @@ def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(op8_dac)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind.isin(BASE))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+_add(op9_secrets)

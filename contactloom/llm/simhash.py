@@ -74,34 +74,28 @@ def with_fingerprints(docs: DataFrame, doc_id: str, text: str, width: int = SHIN
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """(fp, segment, blank, rest): each of the two segments with each of its bits blanked."""
-    places = F.explode(F.expr("sequence(0, 63)")).alias("place")
-    segment, blank = F.shiftright("place", 5), F.col("place") % 32
-    half = F.when(segment == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
-    rest = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, place % 32)")))
-    return fps.select("fp", places).select(
-        "fp", segment.alias("segment"), blank.alias("blank"), rest.alias("rest")
-    )
+    """(fp, key): each of the two segments with each of its bits blanked. A key holds the
+    segment's number, the place of the blank and the other bits of the segment."""
+    half = "CASE WHEN place < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END"
+    key = F.expr(f"(({half}) & ~shiftleft(1L, place % 32)) | shiftleft(CAST(place AS LONG), 32)")
+    return fps.select("fp", F.explode(F.expr("sequence(0, 63)")).alias("place")).select("fp", key.alias("key"))
 
 
 def link(fps: DataFrame, small: int = SMALL) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that give the components of all pairs
     with at most ``DISTANCE`` differing bits."""
-    keys = ["segment", "blank", "rest"]
-    held = _variants(fps).groupBy(*keys).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    held = _variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     held = stage(held.where("n > 1"), "variants")
     pairs = held.where("n = 2").select("a", "b")
-    several = held.where("n > 2").select(*keys, "n")
-    members = stage(_variants(fps).join(several, keys), "members")
-    few = members.where(F.col("n") <= small)
-    other = few.select(*keys, F.col("fp").alias("b"))
-    pairs = pairs.unionByName(few.withColumnRenamed("fp", "a").join(other, keys).where("a < b").select("a", "b"))
+    several = held.where("n > 2").select("key", "n")
+    # The same plan at every size: the number of shared variants grows with the corpus.
+    members = stage(_variants(fps).join(several.hint("merge"), "key"), "members")
+    few = members.where(F.col("n") <= small).select("key", F.col("fp").alias("a"))
+    pairs = pairs.unionByName(few.join(few.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     many = members.where(F.col("n") > small).select("fp").distinct()
-    around = F.explode(
-        F.expr("concat(array(fp), transform(sequence(0, 63), p -> fp ^ shiftleft(1L, p)))")
-    ).alias("near")
-    balls = many.select("fp", around)
+    around = F.expr("concat(array(fp), transform(sequence(0, 63), p -> fp ^ shiftleft(1L, p)))")
+    balls = many.select("fp", F.explode(around).alias("near"))
     centres = balls.groupBy("near").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = balls.join(centres, "near").where("fp != b").select(F.col("fp").alias("a"), "b")
     return pairs.where(close).unionByName(stars).distinct()

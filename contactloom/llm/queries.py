@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm.dac import read_documents, write_ids
+from contactloom.llm.line_runs import drop_repeated_lines
 from contactloom.llm.mixing import mix
 from contactloom.llm.packing import pack_documents
 from contactloom.llm.quality_gate import judge
@@ -89,6 +90,38 @@ SELECT doc_id, source, size::BIGINT AS size, source_size, target, copies::BIGINT
 """)
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc.doc_id",
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_removed").cast("long").alias("n_removed"),
+    )
+
+
+_add(op6_line_runs, r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line FROM d),
+w AS (SELECT doc_id, i, line,
+             len(list_filter(regexp_split_to_array(line, '[ 	
+]+'), lambda x: x <> '')) AS words FROM l),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+f AS (SELECT a.doc_id, a.i, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i
+      AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+      UNION
+      SELECT b.doc_id, max(a.i) AS i, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i
+      AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.i),
+s AS (SELECT f.doc_id, f.i, f.e, parts[f.i:f.e] AS content FROM f JOIN d USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS nth FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM o WHERE nth > 1),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+             coalesce(string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i), '') AS text
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT doc_id, text, n_lines, n_removed FROM k
+""")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.line_runs import drop_repeated_lines
+from contactloom.llm.merkle import edited
 from contactloom.llm.mixing import mix
 from contactloom.llm.packing import pack_documents
 from contactloom.llm.quality_gate import judge
@@ -41,6 +42,43 @@ def op1_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(op1_ring)
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited(_table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
+def _duck_tree(text: str) -> str:
+    """(hashes of paragraphs, root) in DuckDB; a section ends where a hash begins with 0 to 3."""
+    return f"""
+  SELECT *, sha256(array_to_string(list_transform(list_filter(range(1, len(p) + 1),
+              lambda i: i = len(p) OR p[i][1] < '4'), lambda e: sha256(array_to_string(
+                p[coalesce(list_max(list_filter(range(1, e), lambda j: p[j][1] < '4')), 0) + 1:e], ''))), '')) AS root
+  FROM (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: sha256(x)) AS p,
+               list_distinct(regexp_split_to_array({text}, '\n|[.] ')) AS s FROM n)"""
+
+
+_add(op2_merkle, f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt
+      FROM d),
+n AS (SELECT doc_id, text, nxt, text[1:length(text) - length(text) // 4] || nxt[1:length(text) // 4] AS edited FROM o),
+a AS ({_duck_tree("text")}),
+b AS ({_duck_tree("edited")}),
+c AS ({_duck_tree("nxt")}),
+z AS (SELECT n.doc_id, n.text, n.edited, a.root AS fingerprint, b.root AS edited_fingerprint, a.p AS p, b.p AS q,
+             a.s AS s, b.s AS t, c.s AS u
+      FROM n JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id))
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       2.0::DOUBLE * len(list_intersect(s, t)) / (len(s) + len(t)) AS near_edited,
+       2.0::DOUBLE * len(list_intersect(s, u)) / (len(s) + len(u)) AS near_next,
+       CASE WHEN fingerprint <> edited_fingerprint THEN coalesce(list_min(list_filter(range(1, len(p) + 1),
+         lambda i: p[i] IS DISTINCT FROM q[i])), len(p) + 1) - 1 END::INT AS first_changed,
+       CASE WHEN fingerprint <> edited_fingerprint THEN coalesce(list_max(list_filter(range(1, len(p) + 1),
+         lambda i: p[i] IS DISTINCT FROM q[i + len(q) - len(p)])), 0) - 1 END::INT AS last_changed
+FROM z
+""")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -105,7 +143,8 @@ WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FRO
 l AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line FROM d),
 w AS (SELECT doc_id, i, line,
              len(list_filter(regexp_split_to_array(line, '[ 	
-]+'), lambda x: x <> '')) AS words FROM l),
+
+]+'), lambda x: x <> '')) AS words FROM l),
 c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
 f AS (SELECT a.doc_id, a.i, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i
       AND b.upto - a.upto + a.words >= 50 GROUP BY ALL

@@ -20,6 +20,27 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.size(F.split(inner, BLANKS))).otherwise(0).cast("long")
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows apart that share an identifier. Null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def beside(docs: DataFrame, decided: DataFrame, doc_id: str, text: str, how: str) -> DataFrame:
+    """``docs`` joined to decisions (id, key, ...) on identifier and text; null equals null.
+    Decisions are small beside the texts: they are hashed, so that no text is sorted."""
+    met = F.col(doc_id).eqNullSafe(F.col("id")) & (text_key(F.col(text)) == F.col("key"))
+    joined = docs.join(decided.hint("shuffle_hash"), met, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("id", "key")
+
+
+def one_of_each(rows: DataFrame, doc_id: str, text: str, count: str) -> DataFrame:
+    """``rows`` without repeats in identifier and text. ``count`` tells how many there are of a
+    row; only those with more than one are looked at."""
+    single, several = rows.where(F.col(count) == 1), rows.where(F.col(count) > 1)
+    nth = F.row_number().over(Window.partitionBy(doc_id, text_key(F.col(text))).orderBy(F.lit(1)))
+    return single.unionByName(several.withColumn("__nth", nth).where("__nth = 1").drop("__nth"))
+
+
 def hex60(value: Column) -> Column:
     """The first 60 bits of the MD5 of a string, as a long that any SQL engine can compute."""
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")

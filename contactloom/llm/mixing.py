@@ -98,6 +98,27 @@ def mix(
     )
 
 
+def repeat_by_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    unit = ["__id", "__source", "__size"]
+    taken = mix(docs, doc_id, text, source).groupBy(
+        F.col("doc_id").alias(unit[0]), F.col("source").alias(unit[1]), F.col("size").alias(unit[2])
+    ).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__total"))
+    met = (
+        F.col(doc_id).eqNullSafe(F.col(unit[0]))
+        & F.col(source).eqNullSafe(F.col(unit[1]))
+        & (word_count(F.col(text)) == F.col(unit[2]))
+    )
+    given = docs.join(stage(taken.where("__total > 0"), "taken").hint("shuffle_hash"), met)
+    single = given.where("__rows = 1").withColumn("__copies", F.col("__total"))
+    # Rows that agree in all of these share what is taken of them.
+    nth = F.row_number().over(Window.partitionBy(*unit).orderBy(F.lit(1)))
+    share = F.floor(F.col("__total") / F.col("__rows")) + (nth <= F.col("__total") % F.col("__rows")).cast("long")
+    several = given.where("__rows > 1").withColumn("__copies", share).where("__copies > 0")
+    both = single.unionByName(several).withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
+    return both.select(*docs.columns)
+
+
 def _beside(left: DataFrame, per_source: DataFrame, how: str) -> DataFrame:
     """A join by source in which null equals null. The right side has a row per source."""
     right = per_source.withColumnRenamed("source", "__source")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import text_key
 from contactloom.session import stage
 
 MIN_WORDS = 50
@@ -108,17 +109,20 @@ def _repeated(words: list[bytes]) -> int:
 
 
 def measure(docs: DataFrame, doc_id: str, text: str, stratum: str) -> DataFrame:
-    """(doc_id, stratum, the ``FEATURES``), a row for each of ``docs``."""
+    """(doc_id, key, stratum, the ``FEATURES``), a row for each of ``docs``; key is a hash of the text."""
     kept = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text")
+        F.col(doc_id).alias("doc_id"),
+        text_key(F.col(text)).alias("key"),
+        F.col(stratum).cast("string").alias("stratum"),
+        F.col(text).alias("text"),
     )
-    schema = kept.select("doc_id", "stratum", *[F.lit(0).cast("long").alias(f) for f in FEATURES]).schema
+    schema = kept.select("doc_id", "key", "stratum", *[F.lit(0).cast("long").alias(f) for f in FEATURES]).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([features(t.as_py()) for t in batch.column(2)], np.int64).reshape(-1, len(FEATURES))
+            found = np.array([features(t.as_py()) for t in batch.column(3)], np.int64).reshape(-1, len(FEATURES))
             columns = [pa.array(found[:, i]) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=schema.names)
 
     return kept.mapInArrow(count, schema)
 
@@ -213,10 +217,22 @@ def judge(
     risk: float = RISK,
     error: float = ERROR,
 ) -> DataFrame:
-    """(doc_id, stratum, the ``FEATURES``, base_failed, kept), a row for each of ``docs``."""
+    """(doc_id, key, stratum, the ``FEATURES``, base_failed, kept), a row for each of ``docs``."""
     measured = stage(measure(docs, doc_id, text, stratum), "quality")
     cutoffs = calibrate(measured, labels, risk=risk, error=error)
     failed = base_failed()
     return measured.withColumn("base_failed", failed).withColumn(
         "kept", F.when(failed, False).otherwise(F.coalesce(_verdict(cutoffs), F.lit(True)))
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    judged = judge(docs, labels, doc_id, text, stratum).where("NOT kept")
+    failed = judged.select(F.col("doc_id").alias("id"), "key", F.col("stratum").alias("__stratum")).distinct()
+    met = (
+        F.col(doc_id).eqNullSafe(F.col("id"))
+        & (text_key(F.col(text)) == F.col("key"))
+        & F.col(stratum).cast("string").eqNullSafe(F.col("__stratum"))
+    )
+    return docs.join(failed.hint("shuffle_hash"), met, "left_anti")

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import beside, one_of_each, text_key
 from contactloom.llm.components import components
 from contactloom.session import stage
 
@@ -60,15 +61,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str, text: str, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number. Null text counts as empty."""
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = kept.select("doc_id").withColumn("fp", F.lit(0).cast("long")).schema
+    """(doc_id, key, fp): a hash of the text and the fingerprint, as signed 64-bit numbers.
+    Null text counts as empty."""
+    kept = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    schema = kept.select("doc_id", "key", F.lit(0).cast("long").alias("fp")).schema
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
+            found = [fingerprint(t.as_py(), width) for t in batch.column(2)]
             fps = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=schema.names)
 
     return kept.mapInArrow(sign, schema)
 
@@ -101,6 +103,18 @@ def link(fps: DataFrame, small: int = SMALL) -> DataFrame:
     return pairs.where(close).unionByName(stars).distinct()
 
 
+def _classes(signed: DataFrame, small: int) -> DataFrame:
+    """(fp, first): the first document of each component, struct(none, doc_id, key), for each fingerprint."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    prints = stage(signed.groupBy("fp").agg(F.min(place).alias("own")), "prints")
+    roots = stage(components(link(prints.select("fp"), small)), "roots")
+    labelled = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")
+    )
+    firsts = labelled.groupBy("root").agg(F.min("own").alias("first"))
+    return labelled.join(firsts, "root").select("fp", "first")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, small: int = SMALL
 ) -> DataFrame:
@@ -111,13 +125,22 @@ def near_duplicates(
     an identifier take part as links; where no member has one, the component is null.
     """
     signed = stage(with_fingerprints(docs, doc_id, text, width), "simhash")
-    prints = stage(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = stage(components(link(prints.select("fp"), small)), "roots")
-    labelled = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id")
-    return signed.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return signed.join(_classes(signed, small), "fp").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
     )
+
+
+def keep_one_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, small: int = SMALL
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component, the one with the smallest
+    identifier stays (of several, the one with the smallest hash of the text; of equal ones, any)."""
+    signed = stage(with_fingerprints(docs, doc_id, text, width), "simhash")
+    firsts = _classes(signed, small).select("first").distinct()
+    firsts = firsts.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
+    counts = signed.groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(F.count("*").alias("__rows"))
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
+    kept = stage(firsts.join(counts, same).select("id", "key", "__rows"), "kept")
+    return one_of_each(beside(docs, kept, doc_id, text, "inner"), doc_id, text, "__rows").drop("__rows")

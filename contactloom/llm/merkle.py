@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.common import let, ordered_buckets
 
-SENTENCES = "\n|[.] "
+#: Ends of sentences, and of cells and other parts that marks set apart.
+SENTENCES = "\n|[.!?;|*#$%&] "
 
 
 def tree(text: Column) -> Column:

@@ -54,7 +54,7 @@ def _duck_tree(text: str) -> str:
               lambda i: i = len(p) OR p[i][1] < '4'), lambda e: sha256(array_to_string(
                 p[coalesce(list_max(list_filter(range(1, e), lambda j: p[j][1] < '4')), 0) + 1:e], ''))), '')) AS root
   FROM (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: sha256(x)) AS p,
-               list_distinct(regexp_split_to_array({text}, '\n|[.] ')) AS s FROM n)"""
+               list_distinct(regexp_split_to_array({text}, '\n|[.!?;|*#$%&] ')) AS s FROM n)"""
 
 
 _add(op2_merkle, f"""

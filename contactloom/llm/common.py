@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 BLANKS = r"[ \t-\r]+"
 
 
+#: Rows of a few numbers that one task takes in a round of an iterative step.
+TASK_ROWS = 500_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` rows need; rounds over what little is left of
+    a large table are then not spread over as many tasks as the table was."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import few
 from contactloom.session import stage
 
 
@@ -30,7 +31,7 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
         out = met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             centres.select("a", F.col("m").alias("b"))
         )
-    return out.where("a != b").distinct()
+    return out.where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,14 +40,21 @@ def components(links: DataFrame) -> DataFrame:
     Links of a node to itself and those with a null end are left out.
     """
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    current, before = stage(down.distinct(), "links"), None
+    current = stage(down.distinct(), "links")
     while True:
-        mark = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == before or mark[0] == 0:
+        rows = current.count()
+        current = few(current, rows)
+        # Done when no node that others point to points on.
+        centres = current.select(F.col("b").alias("a")).distinct()
+        if rows == 0 or current.join(centres, "a", "left_semi").isEmpty() and _pointed_once(current):
             break
-        before = mark
-        current = stage(_star(_star(current, True), False), "links")
+        current = stage(few(_star(_star(current, True), False).distinct(), rows), "links")
     roots = current.select(F.col("b").alias("node")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
     )
+
+
+def _pointed_once(links: DataFrame) -> bool:
+    """Whether every node has one link at most."""
+    return links.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()

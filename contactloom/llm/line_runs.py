@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import let
+from contactloom.llm.common import few, let
 from contactloom.session import stage
 
 MIN_WORDS = 50
@@ -123,6 +123,7 @@ def _deeper(ranks: DataFrame, depth: int, total: int) -> DataFrame:
         "longest", F.max(longest).over(seg)
     )
     pairs = stage(needed.where((F.col("longest") >= 2 * depth) & F.col("low").isNotNull()), "pairs").drop("longest")
+    pairs = few(pairs, pairs.count())
     counts = pairs.groupBy("r", "low").agg(F.count("*").alias("n"))
     cut = F.floor(F.col("low") * SPREAD / max(1, total)).cast("int")
     ranked = _sum_before(counts, ["r"], "low", cut).select(
@@ -156,6 +157,7 @@ def repeated_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         if ranks.where(F.expr("array_max(ends) - line") >= 2 * depth).isEmpty():
             break
         ranks = stage(_deeper(ranks, depth, total), "ranks")
+        ranks = few(ranks, ranks.count())
         depth *= 2
     named = found[0]
     for more in found[1:]:

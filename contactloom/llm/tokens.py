@@ -2,11 +2,11 @@
 
 Both supported kinds of tokenizer cut a text into words before they look up ids, so ids of
 a word do not depend on the words around it. Words repeat; each is encoded once per worker
-and then looked up. New words are encoded together, as one text. Where a text has white space
-that does not simply stand between two words, it is encoded whole.
+and then looked up. New words are encoded together, as one text, whose ids are cut where words
+begin or end. A text in which white space does not simply stand between two words is encoded whole.
 
-``kind`` "spaced": a byte-level vocabulary whose words begin with their space.
-``kind`` "plain": white space is dropped, words end with a mark. Both are told from the file.
+Two kinds are told apart by the file: byte-level vocabularies whose words begin with their
+space, and those that drop white space and mark the ends of words.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Entries of the word table of a worker; it starts anew when full.
-TABLE = 600_000
+TABLE = 900_000
+#: New words that are encoded as one text.
+TOGETHER = 2000
 END = 1
-#: Not just one space or newline between words.
-_ODD = re.compile(r"[ \n]\s")
 #: Letters and then marks: two words to the tokenizer. An apostrophe may belong to letters after it.
-_ENDED = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
+_ENDED = re.compile(r"(\n?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
 class WordTokenizer:
@@ -37,76 +37,111 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
         with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
-        mark = settings["model"].get("end_of_word_suffix")
+            mark = json.load(f)["model"].get("end_of_word_suffix")
         self.plain = bool(mark)
         vocabulary = self.library.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or begin one
         for token, number in vocabulary.items():
             self.edge[number] = token.endswith(mark) if mark else token.startswith("Ġ")
+        self.newline = np.zeros(len(self.edge), bool)
+        if "Ċ" in vocabulary:
+            self.newline[vocabulary["Ċ"]] = True
         self.table: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
         if len(self.table) > TABLE:
             self.table.clear()
-        self._learn({w for words in cut if words is not None for w in words})
-        look = self.table.__getitem__
-        return [
-            self._whole(text) if words is None else b"".join(map(look, words))
-            for text, words in zip(texts, cut, strict=True)
-        ]
+            self.heads.clear()
+            self.marks.clear()
+        look = self.table.get
+        found, fresh = [], set()
+        for text in texts:
+            words = self._cut(text)
+            ids = list(map(look, words))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            fresh.update(words[i] for i in gaps)
+            found.append((words, ids, gaps))
+        self._learn(fresh)
+        heads = [b""] * len(texts) if self.plain else self._heads(texts)
+        out = []
+        for text, head, (words, ids, gaps) in zip(texts, heads, found, strict=True):
+            for i in gaps:
+                ids[i] = look(words[i])
+            if any(ids[i] is None for i in gaps):
+                out.append(self._ids([text])[0])
+            else:
+                out.append(head + b"".join(ids))
+        return out
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str] | None:
+    def _cut(self, text: str) -> list[str]:
+        """Words without the space before them. Where a space is part of a word, the first one (which
+        has none) is left to ``_heads``, and words after a newline keep it instead of a space."""
         if self.plain:
             # Blanks of ASCII are white space to every rule of the tokenizer.
             return text.replace("\n", " ").split(" ")
-        if "\0" in text or text[-1:].isspace() or _ODD.search(text):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def _learn(self, words: set[str]) -> None:
-        table = self.table
-        fresh = [w for w in words if w not in table]
-        if not fresh:
-            return
-        parts, wanted = {}, set()
+        return text.replace("\n", " \n").split(" ")[1:]
+
+    def _heads(self, texts: list[str]) -> list[bytes]:
+        """The first words, which have no space before them."""
+        own = [text.split(" ", 1)[0].split("\n", 1)[0] for text in texts]
+        new = list({head for head in own if head not in self.heads})
+        self.heads.update(zip(new, self._ids(new), strict=True))
+        return [self.heads[head] for head in own]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Enters new words. Those that begin with more white space, or are nothing else, depend on
+        what comes before them; they stay unknown, and their texts are encoded whole."""
+        table, marks = self.table, self.marks
+        ended, simple, lined, single = [], set(), set(), set()
+        plain = self.plain
         for word in fresh:
+            if word.isalpha() and (not plain or word.isascii()):
+                simple.add(word)
+                continue
             found = _ENDED.match(word)
-            if found:
-                parts[word] = found.groups()
-                wanted.update(w for w in found.groups() if w not in table)
-            else:
-                wanted.add(word)
-        simple = [w for w in wanted if self._simple(w)]
-        cut = self._together(simple) if simple else []
-        table.update(zip(simple, cut, strict=False))
-        single = [w for w in wanted if w not in table]
-        for word, found in zip(single, self.library.encode_batch_fast(single, add_special_tokens=False), strict=True):
-            table[word] = np.array(found.ids, "<u4").tobytes()
-        for word, (stem, mark) in parts.items():
-            table[word] = table[stem] + table[mark]
-
-    def _simple(self, word: str) -> bool:
-        """Letters only (after the space where words have one), so it has one edge."""
-        if not self.plain:
-            return word[:1] == " " and word[1:].isalpha()
-        return word.isalpha() and (word.isascii() or word.lower().isalpha() and is_normalized("NFC", word))
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one text of them all; nothing if edges and words don't agree."""
-        text = (" " if self.plain else "").join(words)
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(self.edge[ids])
-        if len(at) != len(words):
-            return []
-        starts = np.concatenate(([0], at[:-1] + 1)) if self.plain else at
-        ends = at + 1 if self.plain else np.concatenate((at[1:], [len(ids)]))
-        data = ids.tobytes()
-        return [data[s:e] for s, e in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+            if found and (not plain or word.isascii() or found[1].lower().isalpha()):
+                stem, mark = found.groups()
+                ended.append((word, stem, mark))
+                if mark not in marks:
+                    marks[mark] = self._ids([mark])[0]
+                if stem in table:
+                    continue
+                word = stem
+            body = word[word[:1] == "\n" :]
+            if self._letters(body):
+                (simple if len(body) == len(word) else lined).add(word)
+            elif plain or body and not body[0].isspace():
+                single.add(word)
+        single |= self._together(list(simple), "" if self.plain else " ", self.edge)
+        single |= self._together(list(lined), "", self.newline)
+        rest = list(single)
+        table.update(zip(rest, self._ids([w if self.plain or w[:1] == "\n" else " " + w for w in rest]), strict=True))
+        for word, stem, mark in ended:
+            table[word] = table[stem] + marks[mark]
+
+    def _letters(self, word: str) -> bool:
+        """Letters only: one word to the tokenizer, with one edge."""
+        return word.isalpha() and (not self.plain or word.isascii() or word.lower().isalpha() and is_normalized("NFC", word))
+
+    def _together(self, words: list[str], lead: str, edge: np.ndarray) -> set[str]:
+        """Enters words from a few texts of many of them; gives back those whose edges don't agree."""
+        failed: set[str] = set()
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        between = lead or (" " if self.plain else "")
+        texts = [lead + between.join(g) for g in groups]
+        for group, data in zip(groups, self._ids(texts), strict=True):
+            at = np.flatnonzero(edge[np.frombuffer(data, "<u4")]) * 4
+            if len(at) != len(group):
+                failed.update(group)
+                continue
+            cuts = [0, *(at + 4).tolist()] if self.plain else [*at.tolist(), len(data)]
+            self.table.update(zip(group, [data[s:e] for s, e in zip(cuts, cuts[1:])], strict=True))
+        return failed
 
 
 _loaded: dict[str, WordTokenizer] = {}

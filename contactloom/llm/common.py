@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +90,16 @@ def ordered_buckets(docs: DataFrame, doc_id: str, text: str, pieces: int) -> Col
         lambda b: F.when(b.high - b.low > 1, b.low + F.pmod(spread, b.high - b.low)).otherwise(b.low),
     )
     return F.when(name.isNull(), -1 - F.pmod(spread, F.lit(pieces))).otherwise(own).cast("int")
+
+
+def byte_ranges(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, length): runs of texts with about ``limit`` bytes; a longer text has its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    low, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield low, i - low
+            low, held = i, 0
+        held += size
+    if len(sizes) > low:
+        yield low, len(sizes) - low

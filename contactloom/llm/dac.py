@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import ordered_buckets
+from contactloom.llm.common import byte_ranges, ordered_buckets
 from contactloom.llm.tokens import END, tokenizer
 from contactloom.session import stage
 
 MAGIC = b"DAC1"
 #: Ids after which an image is closed; a longer document has one of its own.
 IMAGE_IDS = 1 << 19
+#: Bytes of text that are encoded at once.
+BUFFER = 8 << 20
 BITS = 8
 
 
@@ -126,7 +128,6 @@ def write_ids(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(vocabulary)
-        end = np.array([END], "<u4").tobytes()
         names, ids, held, bucket, start, number = [], [], 0, None, 0, 0
 
         def image():
@@ -137,18 +138,20 @@ def write_ids(
             [("bucket", pa.int32()), ("number", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())]
         )
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                found = words.encode(part.column(2).to_pylist())
-                for own, name, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), found, strict=True):
+            for low, length in byte_ranges(batch.column(2), BUFFER):
+                part = batch.slice(low, length)
+                found, ends = words.encode(part.column(2), END)
+                for own, name, data in zip(
+                    part.column(0).to_pylist(), part.column(1).to_pylist(), np.split(found, ends[:-1]), strict=True
+                ):
                     if names and (own != bucket or held >= image_ids):
                         yield image()
                         start, number = (start + held, number + 1) if own == bucket else (0, 0)
                         names, ids, held = [], [], 0
                     bucket = own
                     names.append(name)
-                    ids.append(np.frombuffer(data + end, "<u4"))
-                    held += len(ids[-1])
+                    ids.append(data)
+                    held += len(data)
         if names:
             yield image()
 

@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import byte_ranges
 from contactloom.llm.tokens import END, tokenizer
 from contactloom.session import stage
 
 WIDTH = 2048
+#: Bytes of text that are encoded at once.
+BUFFER = 8 << 20
 #: A length is numbered in so many slices.
 SLICES = 64
 
@@ -43,26 +46,29 @@ def cut_pieces(
     if ids:
         parts["ids"] = "array<int>"
     schema = rows.select("doc_id", *[F.lit(None).cast(kind).alias(name) for name, kind in parts.items()]).schema
-    size = 4 * width
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(vocabulary)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                found = [data + end for data in words.encode(part.column(1).to_pylist())]
-                place = [(i, at) for i, data in enumerate(found) for at in range(0, len(data), size)]
-                pieces = [found[i][at : at + size] for i, at in place]
+            for low, length in byte_ranges(batch.column(1), BUFFER):
+                part = batch.slice(low, length)
+                found, ends = words.encode(part.column(1), END)
+                sizes = np.diff(ends, prepend=0)
+                count = -(-sizes // width)
+                owner = np.repeat(np.arange(len(sizes)), count)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                first = (ends - sizes)[owner] + nth * width
+                last = np.minimum(first + width, ends[owner])
+                pieces = [found[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 columns = [
-                    part.column(0).take(pa.array([i for i, _ in place], pa.int64())),
-                    pa.array([at // 4 for _, at in place], pa.int64()),
-                    pa.array([len(p) // 4 for p in pieces], pa.int64()),
+                    part.column(0).take(pa.array(owner)),
+                    pa.array(nth * width),
+                    pa.array(last - first),
                     pa.array([zlib.crc32(p) for p in pieces], pa.int64()),
-                    pa.array([len(found[i]) // 4 for i, _ in place], pa.int64()),
+                    pa.array(sizes[owner]),
                 ]
                 if ids:
-                    columns.append(pa.array([np.frombuffer(p, "<i4") for p in pieces], pa.list_(pa.int32())))
+                    columns.append(pa.array([p.view("<i4") for p in pieces], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(cut, schema)

@@ -38,6 +38,7 @@ from contactloom.llm.automaton import (
     some,
     word,
 )
+from contactloom.llm.common import byte_ranges
 
 BUFFER = 8 << 20
 _VALUE = chars("A-Za-z0-9+/_.=-")
@@ -123,19 +124,6 @@ def find(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
     return out
 
 
-def _buffers(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``BUFFER`` bytes each."""
-    low, held = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
-    for i, size in enumerate(sizes):
-        if held and held + size > BUFFER:
-            yield low, i
-            low, held = i, 0
-        held += size
-    if len(sizes) > low:
-        yield low, len(sizes)
-
-
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>), a row for each of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -145,8 +133,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in _buffers(batch.column(1)):
-                part = batch.slice(low, high - low)
+            for low, length in byte_ranges(batch.column(1), BUFFER):
+                part = batch.slice(low, length)
                 found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in find(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 

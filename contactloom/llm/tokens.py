@@ -17,6 +17,8 @@ import re
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of the word table of a worker; it starts anew when full.
 TABLE = 900_000
@@ -28,7 +30,7 @@ _ENDED = re.compile(r"(\n?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
 class WordTokenizer:
-    """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit bytes."""
+    """Holds the words a worker has met; ``encode`` gives the ids of texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,52 +49,54 @@ class WordTokenizer:
         if "Ċ" in vocabulary:
             self.newline[vocabulary["Ċ"]] = True
         self.table: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text ends. ``end`` is put after each text.
+
+        Words are numbered by Arrow, looked up once per distinct word, and their ids are
+        gathered by number. Texts must not be null.
+        """
         if len(self.table) > TABLE:
             self.table.clear()
-            self.heads.clear()
             self.marks.clear()
+        # Without "plain", a newline takes the place of the space before a word, and the first word of
+        # a text has neither. With it, blanks of ASCII are white space to every rule of the tokenizer.
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " " if self.plain else " \n"), " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        numbered = cut.flatten().dictionary_encode()
+        numbers, words = numbered.indices.to_numpy().copy(), numbered.dictionary.to_pylist()
         look = self.table.get
-        found, fresh = [], set()
-        for text in texts:
-            words = self._cut(text)
-            ids = list(map(look, words))
-            gaps = [i for i, x in enumerate(ids) if x is None]
-            fresh.update(words[i] for i in gaps)
-            found.append((words, ids, gaps))
-        self._learn(fresh)
-        heads = [b""] * len(texts) if self.plain else self._heads(texts)
-        out = []
-        for text, head, (words, ids, gaps) in zip(texts, heads, found, strict=True):
-            for i in gaps:
-                ids[i] = look(words[i])
-            if any(ids[i] is None for i in gaps):
-                out.append(self._ids([text])[0])
-            else:
-                out.append(head + b"".join(ids))
-        return out
+        found = list(map(look, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        self._learn({words[i] for i in gaps})
+        for i in gaps:
+            found[i] = look(words[i])
+        unknown = np.array([i for i in gaps if found[i] is None], np.int64)
+        if not self.plain:
+            first = numbers[at[:-1]]
+            heads, which = np.unique(first, return_inverse=True)
+            numbers[at[:-1]] = len(words) + which
+            found += self._ids([words[i] for i in heads.tolist()])
+        whole = np.zeros(0, np.int64)
+        if len(unknown):
+            odd = np.isin(numbers, unknown)
+            whole = np.flatnonzero(np.add.reduceat(odd, at[:-1]) > 0)
+            for i in unknown.tolist():
+                found[i] = b""
+        ids, ends = _gather(found, numbers, at)
+        if len(whole):
+            own = self._ids([texts[i].as_py() for i in whole.tolist()])
+            ids, ends = _replace(ids, ends, whole, own)
+        if end is not None:
+            ids = np.insert(ids, ends, np.uint32(end))
+            ends = ends + np.arange(1, len(ends) + 1)
+        return ids, ends
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str]:
-        """Words without the space before them. Where a space is part of a word, the first one (which
-        has none) is left to ``_heads``, and words after a newline keep it instead of a space."""
-        if self.plain:
-            # Blanks of ASCII are white space to every rule of the tokenizer.
-            return text.replace("\n", " ").split(" ")
-        return text.replace("\n", " \n").split(" ")[1:]
-
-    def _heads(self, texts: list[str]) -> list[bytes]:
-        """The first words, which have no space before them."""
-        own = [text.split(" ", 1)[0].split("\n", 1)[0] for text in texts]
-        new = list({head for head in own if head not in self.heads})
-        self.heads.update(zip(new, self._ids(new), strict=True))
-        return [self.heads[head] for head in own]
-
     def _learn(self, fresh: set[str]) -> None:
         """Enters new words. Those that begin with more white space, or are nothing else, depend on
         what comes before them; they stay unknown, and their texts are encoded whole."""
@@ -144,6 +148,26 @@ class WordTokenizer:
         return failed
 
 
+def _gather(found: list[bytes], numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words by number, in a row, and the ends of the texts whose words begin ``at``."""
+    pool = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[numbers]
+    upto = np.concatenate(([0], np.cumsum(own)))
+    source = np.repeat(starts[numbers] - upto[:-1], own)
+    source += np.arange(len(source))
+    return pool[source], upto[at[1:]]
+
+
+def _replace(ids: np.ndarray, ends: np.ndarray, whole: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the ids of some texts replaced."""
+    parts = np.split(ids, ends[:-1])
+    for i, data in zip(whole.tolist(), own, strict=True):
+        parts[i] = np.frombuffer(data, "<u4")
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
 _loaded: dict[str, WordTokenizer] = {}
 
 

@@ -40,11 +40,11 @@ def text_key(text: Column) -> Column:
 
 
 def beside(docs: DataFrame, decided: DataFrame, doc_id: str, text: str, how: str) -> DataFrame:
-    """``docs`` joined to decisions (id, key, ...) on identifier and text; null equals null.
+    """``docs`` joined to decisions (__id, __key, ...) on identifier and text; null equals null.
     Decisions are small beside the texts: they are hashed, so that no text is sorted."""
-    met = F.col(doc_id).eqNullSafe(F.col("id")) & (text_key(F.col(text)) == F.col("key"))
+    met = F.col(doc_id).eqNullSafe(F.col("__id")) & (text_key(F.col(text)) == F.col("__key"))
     joined = docs.join(decided.hint("shuffle_hash"), met, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop("id", "key")
+    return joined if how in ("left_semi", "left_anti") else joined.drop("__id", "__key")
 
 
 def one_of_each(rows: DataFrame, doc_id: str, text: str, count: str) -> DataFrame:

@@ -229,10 +229,12 @@ def judge(
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept."""
     judged = judge(docs, labels, doc_id, text, stratum).where("NOT kept")
-    failed = judged.select(F.col("doc_id").alias("id"), "key", F.col("stratum").alias("__stratum")).distinct()
+    failed = judged.select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("stratum").alias("__stratum")
+    ).distinct()
     met = (
-        F.col(doc_id).eqNullSafe(F.col("id"))
-        & (text_key(F.col(text)) == F.col("key"))
+        F.col(doc_id).eqNullSafe(F.col("__id"))
+        & (text_key(F.col(text)) == F.col("__key"))
         & F.col(stratum).cast("string").eqNullSafe(F.col("__stratum"))
     )
     return docs.join(failed.hint("shuffle_hash"), met, "left_anti")

@@ -139,8 +139,8 @@ def keep_one_each(
     identifier stays (of several, the one with the smallest hash of the text; of equal ones, any)."""
     signed = stage(with_fingerprints(docs, doc_id, text, width), "simhash")
     firsts = _classes(signed, small).select("first").distinct()
-    firsts = firsts.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"))
+    firsts = firsts.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
     counts = signed.groupBy(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key")).agg(F.count("*").alias("__rows"))
-    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
-    kept = stage(firsts.join(counts, same).select("id", "key", "__rows"), "kept")
+    same = F.col("__id").eqNullSafe(F.col("own_id")) & (F.col("__key") == F.col("own_key"))
+    kept = stage(firsts.join(counts, same).select("__id", "__key", "__rows"), "kept")
     return one_of_each(beside(docs, kept, doc_id, text, "inner"), doc_id, text, "__rows").drop("__rows")

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import byte_ranges, ordered_buckets
-from contactloom.llm.tokens import END, tokenizer
+from contactloom.llm.tokens import END, forget, tokenizer
 from contactloom.session import stage
 
 MAGIC = b"DAC1"
 #: Ids after which an image is closed; a longer document has one of its own.
 IMAGE_IDS = 1 << 19
 #: Bytes of text that are encoded at once.
-BUFFER = 8 << 20
+BUFFER = 4 << 20
 BITS = 8
 
 
@@ -106,8 +106,25 @@ class Image:
         return out
 
     def document(self, number: int) -> np.ndarray:
-        """All ids of a document."""
-        return self.get(np.arange(self.ends[number - 1] if number else 0, self.ends[number]))
+        """All ids of a document. Its chunks lie side by side on every level, so each level takes one rank."""
+        low, high = int(self.ends[number - 1]) if number else 0, int(self.ends[number])
+        out, which = None, None
+        for level, (chunks, bitmap, before, inside) in enumerate(self.levels):
+            part = chunks[low:high].astype("<u4")
+            if which is None:
+                out = part
+            else:
+                out[which] |= part << np.uint32(BITS * level)
+            bits = np.unpackbits(bitmap[low >> 6 : (high >> 6) + 1].view(np.uint8), bitorder="little")
+            on = np.flatnonzero(bits[low & 63 : (low & 63) + high - low])
+            if not len(on):
+                break
+            word = low >> 6
+            head = int(bitmap[word]) & ((1 << (low & 63)) - 1)
+            low = int(before[word >> 3]) + int(inside[word]) + head.bit_count()
+            high = low + len(on)
+            which = on if which is None else which[on]
+        return out
 
 
 def write_ids(
@@ -171,6 +188,7 @@ def read_documents(images: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): each document, read from the images by its place."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 image = Image(data.as_py())

@@ -32,7 +32,7 @@ from contactloom.session import stage
 
 WIDTH = 2048
 #: Bytes of text that are encoded at once.
-BUFFER = 8 << 20
+BUFFER = 4 << 20
 #: A length is numbered in so many slices.
 SLICES = 64
 

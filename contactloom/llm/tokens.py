@@ -101,10 +101,15 @@ class WordTokenizer:
         """Enters new words. Those that begin with more white space, or are nothing else, depend on
         what comes before them; they stay unknown, and their texts are encoded whole."""
         table, marks = self.table, self.marks
-        ended, simple, lined, single = [], set(), set(), set()
+        ended, folded, simple, lined, single = [], [], set(), set(), set()
         plain = self.plain
         for word in fresh:
             if word.isalpha() and (not plain or word.isascii()):
+                if plain and not word.islower():  # the tokenizer does not tell cases apart
+                    folded.append(word)
+                    word = word.lower()
+                    if word in table:
+                        continue
                 simple.add(word)
                 continue
             found = _ENDED.match(word)
@@ -125,6 +130,8 @@ class WordTokenizer:
         single |= self._together(list(lined), "", self.newline)
         rest = list(single)
         table.update(zip(rest, self._ids([w if self.plain or w[:1] == "\n" else " " + w for w in rest]), strict=True))
+        for word in folded:
+            table[word] = table[word.lower()]
         for word, stem, mark in ended:
             table[word] = table[stem] + marks[mark]
 
@@ -178,6 +185,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Gives back the memory of the word tables of this worker."""
+    _loaded.clear()
+
+
 def vocabulary_file(name: str) -> str:
     import public_tokenizers
 

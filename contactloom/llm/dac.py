@@ -34,7 +34,9 @@ MAGIC = b"DAC1"
 #: Ids after which an image is closed; a longer document has one of its own.
 IMAGE_IDS = 1 << 19
 #: Bytes of text that are encoded at once.
-BUFFER = 4 << 20
+BUFFER = 2 << 20
+#: Entries of a worker's word table: small, as texts are being sorted in the same executor.
+TABLE = 400_000
 BITS = 8
 
 
@@ -144,7 +146,7 @@ def write_ids(
     sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(vocabulary)
+        words = tokenizer(vocabulary, TABLE)
         names, ids, held, bucket, start, number = [], [], 0, None, 0, 0
 
         def image():

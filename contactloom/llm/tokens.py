@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of the word table of a worker; it starts anew when full.
+#: Entries of the word table of a worker, which starts anew when full: about 200 MB.
 TABLE = 900_000
 #: New words that are encoded as one text.
 TOGETHER = 2000
@@ -32,7 +32,7 @@ _ENDED = re.compile(r"(\n?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 class WordTokenizer:
     """Holds the words a worker has met; ``encode`` gives the ids of texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = TABLE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -41,6 +41,7 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             mark = json.load(f)["model"].get("end_of_word_suffix")
         self.plain = bool(mark)
+        self.entries = entries
         vocabulary = self.library.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or begin one
         for token, number in vocabulary.items():
@@ -57,7 +58,7 @@ class WordTokenizer:
         Words are numbered by Arrow, looked up once per distinct word, and their ids are
         gathered by number. Texts must not be null.
         """
-        if len(self.table) > TABLE:
+        if len(self.table) > self.entries:
             self.table.clear()
             self.marks.clear()
         # Without "plain", a newline takes the place of the space before a word, and the first word of
@@ -178,10 +179,10 @@ def _replace(ids: np.ndarray, ends: np.ndarray, whole: np.ndarray, own: list[byt
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, entries: int = TABLE) -> WordTokenizer:
     """One per worker and file."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
+        _loaded[path] = WordTokenizer(path, entries)
     return _loaded[path]
 
 

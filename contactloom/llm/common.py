@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +15,12 @@ from pyspark.sql import functions as F
 BLANKS = r"[ \t-\r]+"
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task. Functions travel with the query, by value,
+    so their own module's variables are new in every task."""
+    return vars(sys.modules.setdefault("_corpus_worker", types.ModuleType("_corpus_worker")))
+
+
 #: Rows of a few numbers that one task takes in a round of an iterative step.
 TASK_ROWS = 500_000
 

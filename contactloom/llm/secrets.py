@@ -17,7 +17,6 @@ bytes of whole texts, and one longer text has its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from contactloom.llm.automaton import (
     some,
     word,
 )
-from contactloom.llm.common import byte_ranges
+from contactloom.llm.common import byte_ranges, worker_state
 
 BUFFER = 8 << 20
 _VALUE = chars("A-Za-z0-9+/_.=-")
@@ -66,11 +65,16 @@ RULES: dict[str, tuple[tuple, int, int]] = {
 KINDS = list(RULES)
 
 
-@cache
 def _compiled() -> tuple[Automaton, dict[str, Automaton], Automaton]:
-    together = compile_rules([tree for tree, _, _ in RULES.values()], anywhere=True)
-    reverse = {kind: compile_rules([backwards(tree)], anywhere=False) for kind, (tree, _, _) in RULES.items()}
-    return together, reverse, compile_rules([_HEAD], anywhere=False)
+    """All rules together, each read backwards, and the head of ``assign``; compiled once per worker."""
+    state = worker_state()
+    if "secrets" not in state:
+        state["secrets"] = (
+            compile_rules([tree for tree, _, _ in RULES.values()], anywhere=True),
+            {kind: compile_rules([backwards(tree)], anywhere=False) for kind, (tree, _, _) in RULES.items()},
+            compile_rules([_HEAD], anywhere=False),
+        )
+    return state["secrets"]
 
 
 def _longest(automaton: Automaton, data: bytes | memoryview, at: int, stop: int, step: int) -> int:

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from contactloom.llm.common import worker_state
+
 #: Entries of the word table of a worker, which starts anew when full: about 200 MB.
 TABLE = 900_000
 #: New words that are encoded as one text.
@@ -176,19 +178,17 @@ def _replace(ids: np.ndarray, ends: np.ndarray, whole: np.ndarray, own: list[byt
     return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str, entries: int = TABLE) -> WordTokenizer:
     """One per worker and file."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path, entries)
-    return _loaded[path]
+    loaded = worker_state().setdefault("tokenizers", {})
+    if path not in loaded:
+        loaded[path] = WordTokenizer(path, entries)
+    return loaded[path]
 
 
 def forget() -> None:
     """Gives back the memory of the word tables of this worker."""
-    _loaded.clear()
+    worker_state().pop("tokenizers", None)
 
 
 def vocabulary_file(name: str) -> str:

@@ -16,22 +16,14 @@ from contactloom.operators.lookup import lookup_join
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows, transform_rows, valid_rows, with_issues
 from contactloom.session import stage
-from contactloom.sources import files, formats, xlsx
+from contactloom.sources import files, formats, records, xlsx
 
 ROW = ["_file", "_source_row", "raw"]
 KEYS = ("file_id", "source_row", "rid")
-
-
-def _as_map(df: DataFrame) -> DataFrame:
-    """Wide records as one map of their data columns."""
-    data = [c for c in df.columns if not c.startswith("_")]
-    raw = F.create_map(*[x for c in data for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
-    return df.select("_file", "_source_row", raw.cast("map<string,string>").alias("raw"))
-
-
-def _items_as_map(items: DataFrame) -> DataFrame:
-    leaves = files.flatten_items(items, ["_file", "_source_row"])
-    return leaves.groupBy("_file", "_source_row").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("raw"))
+# Names of a record that are not its data.
+OWN_KEYS = [
+    "_source_row", "_source_sheet", "_source_page", "_raw_text", "_transform_failed", "_validation_errors", "source_count",
+]
 
 
 def _union(parts: list[DataFrame], names: list[str], spark: SparkSession, kinds: str) -> DataFrame:
@@ -52,22 +44,17 @@ def extract(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows, errors = [], [listing.select("_file", formats.format_error(F.col("_file")).alias("error")).where("error IS NOT NULL")]
     if "csv" in paths:
         for layout in files.csv_layouts(spark, paths["csv"]).toLocalIterator():
-            read = files.read_csv(spark, layout.files, sep=layout.delimiter, encoding=layout.encoding)
-            rows.append(_as_map(read))
+            read = files.read_csv(spark, layout.files, sep=layout.delimiter, encoding=layout.encoding, as_map=True)
+            rows.append(read)
             errors.append(files.csv_report(read).select("_file", "error").where("error IS NOT NULL"))
-    if "json" in paths:
-        documents = stage(spark.read.option("wholetext", "true").text(paths["json"]).select(
-            F.col("_metadata.file_path").alias("_file"), "value"), "documents")
-        items, skipped = files.split_objects(files.json_items(documents, "_file"))
-        rows.append(_items_as_map(items))
-        errors += [files.json_errors(documents, "_file"), skipped]
+    for kind in ("json", "xml"):
+        if kind in paths:
+            read = stage(records.read_records(spark, paths[kind], kind), kind)
+            rows.append(read.where("error IS NULL"))
+            errors.append(read.where("error IS NOT NULL"))
     if "ndjson" in paths:
-        items, bad = files.ndjson_items(spark, paths["ndjson"])
-        rows.append(_items_as_map(items.select("_file", "_source_row", "item")))
-        errors.append(bad)
-    if "xml" in paths:
-        records, bad = files.read_xml_folder(spark, paths["xml"])
-        rows += [_as_map(files.flatten(r)) for r in records.values()]
+        read, bad = records.read_lines(spark, paths["ndjson"])
+        rows.append(read)
         errors.append(bad)
     if "xlsx" in paths:
         read = stage(xlsx.read_xlsx(spark, paths["xlsx"]), "sheets")
@@ -92,16 +79,26 @@ def with_file_ids(rows: DataFrame) -> DataFrame:
 def golden_columns(mapped: DataFrame) -> DataFrame:
     """Rows of a map of canonical names as golden fields and the map of all others."""
     entry = F.col("mapped")
-    extra = F.map_filter(entry, lambda k, v: ~k.isin(GOLDEN_FIELDS) & ~k.startswith("_"))
+    extra = F.map_filter(entry, lambda k, v: ~k.isin([*GOLDEN_FIELDS, *OWN_KEYS]))
     return mapped.select(*KEYS, *[F.try_element_at(entry, F.lit(f)).alias(f) for f in GOLDEN_FIELDS], extra.alias("_extra"))
 
 
 def clean_and_check(mapped: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Golden fields and the other entries cleaned, with the issues of each row."""
-    clean = transform_rows(golden_columns(mapped), KEYS, config)
+    clean = transform_rows(golden_columns(mapped), KEYS, config, warnings=True)
     extra = F.map_filter(F.transform_values("_extra", lambda k, v: text.clean(v)), lambda k, v: v.isNotNull())
     clean = clean.withColumn("_cleaned", extra).withColumn("extra_fields", F.when(F.size("_cleaned") > 0, F.col("_cleaned")))
-    return with_issues(clean.drop("_extra", "_cleaned"), KEYS, config)
+    checked = with_issues(clean.drop("_extra", "_cleaned"), (*KEYS, "_warnings"), config)
+    cut = F.transform(
+        "_warnings",
+        lambda w: F.struct(
+            w.field_name.alias("field_name"), F.lit("VALUE_TRUNCATED").alias("error_code"), w.message.alias("error_message"),
+            F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("raw_value"),
+        ),
+    )
+    return checked.withColumn("issues", F.concat("issues", cut)).withColumn(
+        "warning_count", F.col("warning_count") + F.size("_warnings")
+    ).drop("_warnings")
 
 
 @dataclass

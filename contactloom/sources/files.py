@@ -47,7 +47,7 @@ def with_ordinals(rows: DataFrame, first: int, dense: bool = False) -> DataFrame
     ).drop("_block", "_seq", "_start", "_offset")
 
 
-def _position() -> list[Column]:
+def position() -> list[Column]:
     return [
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -73,7 +73,7 @@ def csv_layouts(spark: SparkSession, path: str) -> DataFrame:
     One pass over the lines: the first line of a file and whether all its bytes are valid
     UTF-8 are partial aggregates. The driver sees file names only.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", *_position())
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", *position())
     starts = (F.col("_block") == 0) & (F.col("value") != "")
     heads = lines.groupBy("_file").agg(
         F.min_by("value", F.when(starts, F.col("_seq"))).alias("header"),
@@ -97,13 +97,15 @@ def read_csv(
     multi_line: bool = True,
     ordinals: bool = True,
     header: bool | None = None,
+    as_map: bool = False,
 ) -> DataFrame:
     """Files of one layout: all columns as text, stripped, blank to null; rows without any
     value dropped after numbering. ``_overflow`` marks rows with more cells than columns.
 
     Without ``columns`` the first line names them; with ``columns`` the files have no
     header line unless ``header`` says so. Quoted line breaks need ``multi_line``,
-    which reads a file in one task; turn it off for large files without them.
+    which reads a file in one task; turn it off for large files without them. ``as_map``
+    gives one map ``raw`` by exact header names instead of columns.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     header = columns is None if header is None else header
@@ -120,10 +122,19 @@ def read_csv(
     )
     cells = [text.strip(F.col(f"c{n}")) for n in range(len(columns))]
     overflow = F.col(f"c{len(columns)}").isNotNull()
+    if as_map:
+        # Names that differ in case only cannot be columns side by side.
+        last = {name: n for n, name in enumerate(columns)}
+        filled = [F.nullif(cells[n], F.lit("")) for n in last.values()]
+        rows = raw.select(
+            *position(), F.map_from_arrays(F.lit(list(last)), F.array(*filled)).alias("raw"), overflow.alias("_overflow")
+        )
+        rows = with_ordinals(stage(rows, "csv"), 2)
+        return rows.where(F.exists(F.map_values("raw"), lambda v: v.isNotNull()))
     # The last column of a repeated header name wins.
     last = {name: cell for name, cell in zip(columns, cells)}
     rows = raw.select(
-        *_position(), *[F.nullif(cell, F.lit("")).alias(name) for name, cell in last.items()], overflow.alias("_overflow")
+        *position(), *[F.nullif(cell, F.lit("")).alias(name) for name, cell in last.items()], overflow.alias("_overflow")
     )
     if ordinals:
         rows = with_ordinals(stage(rows, "csv"), 2)
@@ -241,7 +252,7 @@ def ndjson_items(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataF
     """(items, errors) of line-delimited JSON: items (_file, _source_row, item VARIANT) are
     numbered among the lines that parse; blank lines are skipped. Errors (_file, error,
     value) name the line of what does not parse and the number of what is no object."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", *_position())
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", *position())
     lines = stage(lines, "lines")
     parsed = F.try_parse_json("value")
     good = with_ordinals(lines.where(~text.blank(F.col("value")) & parsed.isNotNull()), 1, dense=True)
@@ -352,7 +363,7 @@ def read_xml_folder(
             rowTag=tag, attributePrefix="@", ignoreNamespace=True, inferSchema=False, mode="PERMISSIVE")
         raw = (reader.schema(schema) if schema is not None else reader).load(paths)
         fields = [f"`{c}`" for c in raw.columns]
-        numbered = with_ordinals(stage(raw.select(*fields, *_position()), "xml"), 1).withColumnRenamed("_source_row", "nth")
+        numbered = with_ordinals(stage(raw.select(*fields, *position()), "xml"), 1).withColumnRenamed("_source_row", "nth")
         of_file = good.where(F.col("tag") == tag).join(chosen.where(F.col("record_tag") == tag), "_file", "left_semi")
         places = of_file.select("_file", "nth", F.col("position").alias("_source_row"))
         out[tag] = numbered.join(places, ["_file", "nth"]).drop("nth")

@@ -6,6 +6,7 @@ import datetime
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -103,24 +104,37 @@ class _Workbook:
                 element.clear()
 
 
+#: What a damaged workbook may raise: no archive, bad XML, missing parts, bad references and numbers.
+BROKEN = (
+    zipfile.BadZipFile, ElementTree.ParseError, KeyError, TypeError, ValueError, IndexError, AttributeError, zlib.error,
+    EOFError, NotImplementedError, OSError,
+)
+
+
 def _records(path: str, content: bytes, all_sheets: bool) -> Iterator[tuple]:
     try:
         book = _Workbook(content)
         sheets = book.sheets()
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, TypeError) as e:
+    except BROKEN as e:
         yield path, None, None, None, f"Cannot open workbook: {e}"
         return
     for name, part in sheets if all_sheets else sheets[:1]:
-        rows = book.rows(part)
-        head = next(rows, None)
-        if head is None:
-            yield path, name, None, None, f"Sheet '{name}' is empty"
-            continue
-        headers = [str(h or f"col_{n}").strip() for n, h in enumerate(head)]
-        for number, values in enumerate(rows, 2):
-            if any(v is not None for v in values):
-                padded = values + [None] * (len(headers) - len(values))
-                yield path, name, number, dict(zip(headers, padded)), None
+        try:
+            yield from _sheet(path, name, book.rows(part))
+        except BROKEN as e:  # what was read before stays
+            yield path, name, None, None, f"Sheet '{name}' cannot be read further: {e}"
+
+
+def _sheet(path: str, name: str, rows: Iterator[list[str | None]]) -> Iterator[tuple]:
+    head = next(rows, None)
+    if head is None:
+        yield path, name, None, None, f"Sheet '{name}' is empty"
+        return
+    headers = [str(h or f"col_{n}").strip() for n, h in enumerate(head)]
+    for number, values in enumerate(rows, 2):
+        if any(v is not None for v in values):
+            padded = values + [None] * (len(headers) - len(values))
+            yield path, name, number, dict(zip(headers, padded)), None
 
 
 def _reader(all_sheets: bool):
@@ -149,5 +163,5 @@ def read_xlsx(spark: SparkSession, path: str, all_sheets: bool = False) -> DataF
     """(_file, _source_sheet, _source_row, raw, error): rows of the first or of all sheets;
     rows without values are left out. A workbook that cannot be read gives one error row.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
     return files.select("path", "content").mapInPandas(_reader(all_sheets), ROWS)

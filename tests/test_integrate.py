@@ -1,10 +1,11 @@
 """A folder of files of all formats, from bytes to golden records."""
 
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
-from contactloom.integrate import integrate
+from contactloom.integrate import extract, integrate
 from contactloom.sinks import export
 
 
@@ -42,3 +43,81 @@ def test_attributes(spark, tmp_path):
     (tmp_path / "a.csv").write_text("email,phone,x\na@b.cd,5551234567,1\n")
     row = integrate(spark, str(tmp_path), attributes=["email", " email "]).customers.first()
     assert (row.email, row.phone, row.extra_fields) == ("a@b.cd", None, None)
+
+
+def rows_of(spark, folder):
+    rows, errors = extract(spark, str(folder))
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r._file.rsplit("/", 1)[-1], []).append((r._source_row, r.raw))
+    return {k: [raw for _, raw in sorted(v, key=lambda x: x[0])] for k, v in found.items()}, {
+        (e._file.rsplit("/", 1)[-1], e.error) for e in errors.collect()}
+
+
+def test_json_of_every_layout(spark, tmp_path):
+    people = [{"email": f"p{n}@x.com", "address": {"city": "Rome", "geo": {"lat": n + 0.5}}, "tags": ["a", n], "on": True} for n in range(50)]
+    (tmp_path / "pretty.json").write_text(json.dumps(people, indent=2))
+    (tmp_path / "wrapped.json").write_text(json.dumps({"meta": {"n": 1}, "names": ["x"], "z": people[:2], "a": people}, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps(p) for p in people[:3]) + "\nno json\n[1]\n")
+    (tmp_path / "clash.json").write_text('{"a": {"b": 1}, "a__b": 2, "mobile": "1", "cell": "2", "mobile": "3"}')
+    (tmp_path / "deep.json").write_text('{"a":' * 200_000 + "1" + "}" * 200_000)
+    (tmp_path / "broken.json").write_text('[{"a": 1}, {"b": ')
+    (tmp_path / "late.json").write_text('{"data": [{"a": 1}], "x" }')
+    (tmp_path / "number.json").write_text("17")
+    found, errors = rows_of(spark, tmp_path)
+    assert len(found["pretty.json"]) == 50 and len(found["wrapped.json"]) == 2
+    assert found["pretty.json"][3] == {
+        "email": "p3@x.com", "address__city": "Rome", "address__geo__lat": "3.5", "tags": '["a",3]', "on": "true"}
+    assert len(found["lines.json"]) == 3
+    assert list(found["clash.json"][0].items()) == [("a__b", "2"), ("mobile", "3"), ("cell", "2")]
+    assert errors == {
+        ("lines.json", "Line 4: JSON parse error"), ("lines.json", "Row 4: expected object, got list — skipped"),
+        ("deep.json", "JSON parse error: nested too deeply"), ("broken.json", "JSON parse error"), ("late.json", "JSON parse error"),
+        ("number.json", "Unexpected top-level JSON type: int")}
+    (tmp_path / "nested.json").write_text('{"a":' * 500 + "1" + "}" * 500)
+    assert rows_of(spark, tmp_path)[0]["nested.json"] == [{"__".join("a" * 500): "1"}]
+
+
+def test_xml_records_are_the_children_of_the_root(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<r xmlns="u:n"><grp><c>n</c></grp><c id="7">a<d e="f"> g </d></c><c><d/><h>1</h><h>2</h></c></r>')
+    found, errors = rows_of(spark, tmp_path)
+    assert found == {"a.xml": [{"@id": "7", "d@e": "f", "d": "g"}, {"h": "2"}]} and not errors
+
+
+def test_damaged_and_odd_files_stop_nothing(spark, tmp_path):
+    (tmp_path / "case.csv").write_text("Email,email,_id\na@b.cd,c@d.ef,9\n")
+    book = spark.createDataFrame([("dan@x.com", 5)], "Email string, points int")
+    export.write_xlsx(book.coalesce(1), str(tmp_path / "out"))
+    source = next((tmp_path / "out").glob("*.xlsx"))
+    (tmp_path / "UPPER.XLSX").write_bytes(source.read_bytes())
+    with zipfile.ZipFile(source) as old, zipfile.ZipFile(tmp_path / "bad.xlsx", "w") as new:
+        for name in old.namelist():
+            data = old.read(name)
+            new.writestr(name, data[: len(data) // 2] if "sheet" in name and "rels" not in name else data)
+    (tmp_path / "cut.xlsx").write_bytes(source.read_bytes()[:200])
+    source.unlink()
+    found, errors = rows_of(spark, tmp_path)
+    assert found["case.csv"] == [{"Email": "a@b.cd", "email": "c@d.ef", "_id": "9"}]
+    assert found["UPPER.XLSX"] == [{"Email": "dan@x.com", "points": "5"}]
+    assert {name for name, _ in errors} == {"bad.xlsx", "cut.xlsx"}
+    row = integrate(spark, str(tmp_path)).customers.where("email = 'c@d.ef'").first()
+    assert row.extra_fields == {"_id": "9"}
+
+
+def test_cut_values_are_reported(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"email,city\na@b.cd,{'x' * 300}\n")
+    run = integrate(spark, str(tmp_path))
+    assert len(run.customers.first().city) == 100
+    issue = run.issues.where("error_code = 'VALUE_TRUNCATED'").first()
+    assert (issue.field_name, issue.error_message, issue.severity) == ("city", "Truncated to 100 chars", "warning")
+
+
+def test_large_json_is_read_whole(spark, tmp_path):
+    """Beyond the size of one variant value."""
+    with open(tmp_path / "a.json", "w") as out:
+        out.write("[\n")
+        out.write(",\n".join('{"n": %d, "pad": "%s"}' % (n, "x" * 1_400_000) for n in range(100)))
+        out.write("\n]")
+    rows, errors = extract(spark, str(tmp_path))
+    assert rows.count() == 100 and errors.isEmpty()

@@ -125,7 +125,7 @@ class Config:
     schema_sample_rows: int = 20
     max_upload_bytes: int = 50 * 1024 * 1024
     max_attributes: int = 50
-    max_pages: int = 50
+    max_pages: int | None = None  # all pages
 
     def alias_lookup(self) -> dict:
         """Lower-case source name -> canonical field."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from contactloom.config import DEFAULT, LABEL_VALUE_PATTERN, TEXT_PATTERNS, Config
 from contactloom.functions import text
 
-RAW_TEXT_CHARS = 500
 MAX_LABEL = 40
 NO_LABEL_PATTERN = r"[A-Za-z _/\-]++(?!\s*+[:=])"
 
@@ -85,7 +84,7 @@ def page_kinds(pages: DataFrame, doc: str, config: Config = DEFAULT) -> DataFram
 
     ``pages`` is (doc, page_no from 1, has_table, text).
     """
-    read = F.col("page_no") <= config.max_pages
+    read = F.lit(True) if config.max_pages is None else F.col("page_no") <= config.max_pages
     is_table = F.coalesce(F.col("has_table"), F.lit(False))
     has_text = ~text.blank(F.col("text"))
     counted = pages.groupBy(doc).agg(
@@ -95,16 +94,17 @@ def page_kinds(pages: DataFrame, doc: str, config: Config = DEFAULT) -> DataFram
         F.count_if(read & ~is_table & has_text).alias("text_pages"),
         F.count_if(read & ~is_table & ~has_text).alias("empty_pages"),
     )
+    whole = F.lit(True) if config.max_pages is None else F.col("_pages") <= config.max_pages
     warning = F.concat(
         F.lit("PDF has "), F.col("_pages").cast("string"), F.lit(f" pages; only first {config.max_pages} processed")
     )
     return counted.select(
         doc, "pages_total", "table_pages", "text_pages", "empty_pages",
         ((F.col("pages_total") > 0) & (F.col("empty_pages") == F.col("pages_total"))).alias("is_scanned"),
-        F.when(F.col("_pages") > config.max_pages, warning).alias("warning"),
+        F.when(~whole, warning).alias("warning"),
     )
 
 
-def raw_text(c: Column) -> Column:
-    """What a text record keeps of its page."""
-    return F.substring(c, 1, RAW_TEXT_CHARS)
+def raw_text(c: Column, chars: int | None = None) -> Column:
+    """What a text record keeps of its page: all of it, or the first ``chars``."""
+    return c if chars is None else F.substring(c, 1, chars)

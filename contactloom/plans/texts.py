@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactloom.config import LABEL_VALUE_PATTERN, TEXT_PATTERNS, Config
+from contactloom.config import LABEL_VALUE_PATTERN, TEXT_PATTERNS
 from contactloom.operators import text_fields as t
 from contactloom.plans.registry import query, table
 from contactloom.plans.rows import WS_SQL
@@ -46,7 +46,7 @@ def text_records(spark, sf):
     return t.text_records(texts(spark, sf), ["id"])
 
 
-@query("raw_text", f"WITH {TEXTS_SQL} SELECT id, substr(text, 1, 500) AS raw_text FROM texts")
+@query("raw_text", f"WITH {TEXTS_SQL} SELECT id, text AS raw_text FROM texts")
 def raw_text(spark, sf):
     return texts(spark, sf).select("id", t.raw_text(F.col("text")).alias("raw_text"))
 
@@ -73,16 +73,15 @@ _KIND = "role = 'assistant' AND turn % 2 = 1 AND conv_id % 3 = 0"
 
 @query("page_kinds", f"""
 WITH p AS (SELECT conv_id, turn + 1 AS page_no, {_KIND} AS has_table, CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE text END AS text FROM conversations)
-SELECT conv_id, count(*) FILTER (page_no <= 3) AS pages_total, count(*) FILTER (page_no <= 3 AND has_table) AS table_pages,
-       count(*) FILTER (page_no <= 3 AND NOT has_table AND trim(text, {WS_SQL}) <> '') AS text_pages,
-       count(*) FILTER (page_no <= 3 AND NOT has_table AND trim(text, {WS_SQL}) = '') AS empty_pages,
-       bool_and(NOT has_table AND trim(text, {WS_SQL}) = '') FILTER (page_no <= 3) AS is_scanned,
-       CASE WHEN max(page_no) > 3 THEN 'PDF has ' || max(page_no) || ' pages; only first 3 processed' END AS warning
+SELECT conv_id, count(*) AS pages_total, count(*) FILTER (has_table) AS table_pages,
+       count(*) FILTER (NOT has_table AND trim(text, {WS_SQL}) <> '') AS text_pages,
+       count(*) FILTER (NOT has_table AND trim(text, {WS_SQL}) = '') AS empty_pages,
+       bool_and(NOT has_table AND trim(text, {WS_SQL}) = '') AS is_scanned, CAST(NULL AS VARCHAR) AS warning
 FROM p GROUP BY conv_id""")
 def page_kinds(spark, sf):
-    """A conversation as a document, a turn as a page; three pages are read."""
+    """A conversation as a document, a turn as a page."""
     pages = table(spark, sf, "conversations").select(
         "conv_id", (F.col("turn") + 1).alias("page_no"), F.expr(_KIND).alias("has_table"),
         F.when(F.col("conv_id") % 5 == 0, "  ").otherwise(F.col("text")).alias("text"),
     )
-    return t.page_kinds(pages, "conv_id", Config(max_pages=3))
+    return t.page_kinds(pages, "conv_id")

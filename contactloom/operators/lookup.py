@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
+MAX_HOT_BYTES = 64 << 20
 MIN_HOT_ROWS = 200_000
 
 
@@ -16,23 +17,31 @@ def lookup_join(
     rows_column: str,
     how: str = "inner",
     min_hot_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``big`` joined to ``per_key`` (unique in ``on``) without a hot task.
 
-    ``rows_column`` of ``per_key`` tells how many rows of ``big`` hold the key. Keys with
-    more than 1/10,000 of all rows are hot; there can be at most 10,000 of them, so their
-    side is broadcast and the hot rows stay where they are. All other keys are joined by
-    shuffle, where none can fill more than its share of a task. Both inputs are read more
-    than once, so pass staged tables.
+    ``rows_column`` tells how many rows of ``big`` hold a key. It is a column of ``per_key``
+    if that has every key of ``big``; otherwise ``counts`` (``on``, ``rows_column``) must be given
+    for all of them, as a key that finds nothing can be as hot as any. Keys with more than
+    1/10,000 of all rows are hot; there can be at most 10,000 of them, so their side is
+    broadcast, if it is no larger than ``MAX_HOT_BYTES``, and the hot rows stay where they are.
+    All other keys are joined by shuffle, where none can fill more than its share of a
+    task. All inputs are read more than once, so pass staged tables.
     """
+    sizes = per_key if counts is None else counts
     floor = MIN_HOT_ROWS if min_hot_rows is None else min_hot_rows
-    size = per_key.agg(F.sum(rows_column).alias("total"), F.max(rows_column).alias("top")).first()
+    size = sizes.agg(F.sum(rows_column).alias("total"), F.max(rows_column).alias("top")).first()
     limit = max(floor, (size.total or 0) // MAX_HOT_KEYS)
-    per_key_out = per_key.drop(rows_column)
+    found = per_key.drop(rows_column)
     if (size.top or 0) <= limit:
-        return big.join(per_key_out, on, how)
-    hot = per_key.where(F.col(rows_column) > limit).drop(rows_column)
-    cold = per_key.where(F.col(rows_column) <= limit).drop(rows_column)
-    at_hot = big.join(F.broadcast(hot), on, "inner")
-    at_cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+        return big.join(found, on, how)
+    hot_keys = sizes.where(F.col(rows_column) > limit).select(*on)
+    hot = found.join(F.broadcast(hot_keys), on, "left_semi")
+    width = hot_keys.join(hot, on, "left").agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if width > MAX_HOT_BYTES:  # a few very wide rows; adaptive execution splits their tasks
+        return big.join(found, on, how)
+    at_hot = big.join(F.broadcast(hot_keys), on, "left_semi").join(F.broadcast(hot), on, how)
+    cold = found.join(F.broadcast(hot_keys), on, "left_anti")
+    at_cold = big.join(F.broadcast(hot_keys), on, "left_anti").join(cold, on, how)
     return at_hot.unionByName(at_cold)

@@ -126,7 +126,9 @@ def key_owners(
         )
         owned = stage(first.join(unique, "owner", "left_semi"), "owned")
         owned_parts.append(owned.select("key_set", "key", "owner"))
-        hit = lookup_join(open_edges, owned, ["key_set", "key"], "holders", min_hot_rows=min_hot_rows)
+        # Hot keys whose first record lost at another key are not owned, but open all the same.
+        held = first.select("key_set", "key", "holders")
+        hit = lookup_join(open_edges, owned, ["key_set", "key"], "holders", min_hot_rows=min_hot_rows, counts=held)
         open_rows = stage(open_rows.join(hit.select("rid").distinct(), "rid", "left_anti"), "open")
     if not owned_parts:
         return edges(open_rows).select("key_set", "key", F.col("rid").alias("owner"))
@@ -151,10 +153,12 @@ def first_seen(
     keyed_df = stage(keyed(df, key_sets, scope, record_id), "keyed")
     owners = key_owners(keyed_df, min_hot_rows, ordered_rest)
     record_edges = edges(keyed_df)
-    holders = record_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders"))
+    holders = stage(record_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders")), "holders")
     owners = stage(owners.join(holders, ["key_set", "key"]), "owners")
     # Only owners that came earlier count: a key may find its owner after the record.
-    hits = lookup_join(record_edges, owners, ["key_set", "key"], "holders", min_hot_rows=min_hot_rows)
+    hits = lookup_join(
+        record_edges, owners, ["key_set", "key"], "holders", min_hot_rows=min_hot_rows, counts=holders
+    )
     matched = (
         hits.where(F.col("owner") < F.col("rid"))
         .groupBy("rid")

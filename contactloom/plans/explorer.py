@@ -59,8 +59,8 @@ def jobs_of_owner(spark, sf):
     """A file may have any share of the jobs, so its row is looked up."""
     mine = files(spark, sf).where("uploaded_by = 7").select("file_id", "original_name", "uploaded_by")
     all_jobs = jobs(spark, sf).select("job_id", "file_id", "status")
-    sizes = all_jobs.groupBy("file_id").agg(F.count("*").alias("n"))
-    return lookup_join(all_jobs, stage(mine.join(sizes, "file_id"), "mine"), ["file_id"], "n")
+    sizes = stage(all_jobs.groupBy("file_id").agg(F.count("*").alias("n")), "sizes")
+    return lookup_join(all_jobs, stage(mine.join(sizes, "file_id"), "mine"), ["file_id"], "n", counts=sizes)
 
 
 @query("batches_of_owner", """
@@ -379,8 +379,8 @@ def batch_detail(spark, sf):
     gather it in one task."""
     inside = files(spark, sf).where("batch_id = 8").drop("uploaded_by")
     all_jobs = jobs(spark, sf).select("file_id", "job_id", "status")
-    sizes = all_jobs.groupBy("file_id").agg(F.count("*").alias("n"))
-    with_jobs = lookup_join(all_jobs, stage(inside.join(sizes, "file_id"), "inside"), ["file_id"], "n")
+    sizes = stage(all_jobs.groupBy("file_id").agg(F.count("*").alias("n")), "sizes")
+    with_jobs = lookup_join(all_jobs, stage(inside.join(sizes, "file_id"), "inside"), ["file_id"], "n", counts=sizes)
     without = inside.join(sizes, "file_id", "left_anti")
     return with_jobs.unionByName(without, allowMissingColumns=True)
 

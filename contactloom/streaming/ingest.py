@@ -89,12 +89,12 @@ def match_new(rows: DataFrame, owners: DataFrame, key_sets, scope=(), record_id:
     """
     keyed = stage(matching.keyed(rows, key_sets, scope, record_id), "newkeys")
     new_edges = stage(matching.edges(keyed), "newedges")
-    holders = new_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders"))
+    holders = stage(new_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders")), "holders")
     known = stage(owners.join(holders, ["key_set", "key"]), "known")
-    taken = lookup_join(new_edges, known, ["key_set", "key"], "holders").select("rid").distinct()
+    taken = lookup_join(new_edges, known, ["key_set", "key"], "holders", counts=holders).select("rid").distinct()
     fresh = stage(matching.key_owners(keyed.join(taken, "rid", "left_anti")), "fresh")
     here = stage(known.unionByName(fresh.join(holders, ["key_set", "key"])), "here")
-    hits = lookup_join(new_edges, here, ["key_set", "key"], "holders")
+    hits = lookup_join(new_edges, here, ["key_set", "key"], "holders", counts=holders)
     found = hits.where("owner < rid").groupBy("rid").agg(F.min(F.struct("key_set", "owner")).alias("hit"))
     assigned = keyed.select("rid").join(found, "rid", "left").select(
         "rid", F.coalesce("hit.owner", "rid").alias("primary_id"), F.col("hit.key_set").alias("key_set")

@@ -206,3 +206,17 @@ def test_fixture_duplicates_per_file(spark):
         1: (2790, 1535, 9647, 31.43, 48.83), 2: (2790, 1338, 12437, 40.52, 55.40), 3: (2791, 1528, 9651, 31.44, 49.07),
         4: (2790, 1520, 9647, 31.43, 49.33), 5: (2790, 1525, 9647, 31.43, 49.17),
     }
+
+
+def test_hot_keys_that_find_nothing_are_not_shuffled(spark):
+    from contactloom.operators.lookup import lookup_join
+
+    big = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 1 ELSE id END AS k", "id AS v").repartition(4)
+    counts = big.groupBy("k").count().withColumnRenamed("count", "n")
+    per_key = counts.where("k != 1 AND k % 2 = 0").selectExpr("k", "n", "k * 10 AS w")
+    joined = lookup_join(big, per_key, ["k"], "n", min_hot_rows=100, counts=counts)
+    assert sorted((r.k, r.w) for r in joined.collect()) == [(k, k * 10) for k in range(2000, 3000, 2)]
+    left = lookup_join(big, per_key, ["k"], "n", "left", min_hot_rows=100, counts=counts)
+    assert left.count() == 3000 and left.where("k = 1 AND w IS NULL").count() == 2000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan

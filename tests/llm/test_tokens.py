@@ -17,7 +17,7 @@ BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 ODD = [
     "", " ", "  ", " a", "a ", "a  b", "a\n\nb", "a \nb", "a\n b", "\n", "a\n", "\nb", "a\r\nb\r\n", "x\u00a0y", "x \u00a0y", "x\u00a0 \ny",
     "don't we'll, x.", "1,000.5, 3.", "日本語 テスト, 、。", "ΣΑΣ ς, İstanbul İ_ İ,", "<|endoftext|> x", "a,, b.. c", "\0 x", "e\u0301, e\u0301",
-    "ſ K, ẞ.", "'s 't it's, 'll.", "_a _, a_.", "a\x1cb \x1d c", "\u200d, a\u200d.", "🎉🎉 🎉, !?",
+    "ſ K, ẞ.", "'s 't it's, 'll.", "_a _, a_.", "H\u0331 T\u0308x, I\u0307 E\u0301A",  "a\x1cb \x1d c", "\u200d, a\u200d.", "🎉🎉 🎉, !?",
 ]
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.config import DEFAULT, GOLDEN_FIELDS, Config
 from contactloom.functions import text
-from contactloom.operators import batch, lineage, matching, quality, schema
+from contactloom.operators import batch, matching, quality, schema
 from contactloom.operators.lookup import lookup_join
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows, transform_rows, valid_rows, with_issues
@@ -68,12 +68,30 @@ def extract(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def with_file_ids(rows: DataFrame) -> DataFrame:
-    """Adds ``file_id``: files counted by name. The numbering sorts one row per file, which
-    the driver has listed anyway; rows find their number whatever the size of their file."""
+def with_file_ids(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Adds ``file_id``: files counted by name. Files that are ``known`` (_file, file_id) from earlier
+    runs keep their number, new ones follow. One row per file meets in a task; rows find
+    their number whatever the size of their file."""
     sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    numbered = stage(sizes.withColumn("file_id", F.row_number().over(W.orderBy("_file"))), "files")
-    return lookup_join(rows, numbered, ["_file"], "_n")
+    number = F.row_number().over(W.orderBy("_file"))
+    if known is None:
+        numbered = sizes.withColumn("file_id", number)
+    else:
+        last = known.agg(F.max("file_id")).first()[0] or 0
+        old = sizes.join(known.select("_file", "file_id"), "_file")
+        new = sizes.join(known, "_file", "left_anti").withColumn("file_id", last + number)
+        numbered = old.unionByName(new)
+    return lookup_join(rows, stage(numbered, "files"), ["_file"], "_n")
+
+
+def record_id(batch_id: int) -> Column:
+    """The same in every run, and of no other batch: batch (below 2^15), file (below 2^16) and
+    row (below 2^32), in this order."""
+    if not 0 <= batch_id < 1 << 15:
+        raise ValueError("batch ids run from 0 to 32767")
+    number = F.lit(batch_id << 48) + F.shiftleft(F.col("file_id").cast("bigint"), 32) + F.col("source_row")
+    fits = (F.col("file_id") < 1 << 16) & (F.col("source_row") < 1 << 32)
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("a batch holds 65535 files of 4294967295 rows at most")))
 
 
 def golden_columns(mapped: DataFrame) -> DataFrame:
@@ -112,6 +130,19 @@ class Integration:
     batch_id: int
     config: Config
 
+    @property
+    def files(self) -> DataFrame:
+        """(_file, file_id), to be given to later runs of the batch."""
+        return self.raw.select("_file", "file_id").distinct()
+
+    @property
+    def report(self) -> DataFrame:
+        """(_file, file_format, file_id, total_rows, errors) of every file that gave rows or errors."""
+        rows = self.raw.groupBy("_file").agg(F.first("file_id").alias("file_id"), F.count("*").alias("total_rows"))
+        bad = self.errors.groupBy("_file").agg(F.count("*").alias("errors"))
+        both = rows.join(bad, "_file", "full").fillna(0, ["total_rows", "errors"])
+        return both.select("_file", formats.extension(F.col("_file")).alias("file_format"), "file_id", "total_rows", "errors")
+
     @property
     def issues(self) -> DataFrame:
         return issue_rows(self.checked, KEYS)
@@ -148,16 +179,22 @@ class Integration:
 
 
 def integrate(
-    spark: SparkSession, folder: str, batch_id: int = 1, attributes: list[str] | None = None, config: Config = DEFAULT
+    spark: SparkSession,
+    folder: str,
+    batch_id: int = 1,
+    attributes: list[str] | None = None,
+    config: Config = DEFAULT,
+    known_files: DataFrame | None = None,
 ) -> Integration:
     """Extract, map, clean, check and match within files; merging follows on demand.
 
     ``attributes`` limits the data to these canonical fields. Files are told apart by
-    ``file_id``; all of them are processed in one job.
+    ``file_id``; all of them are processed in one job. With ``known_files``, the ``files`` of
+    an earlier run of the batch, files keep their ids when others come.
     """
     extracted, errors = extract(spark, folder)
-    raw = with_file_ids(stage(extracted, "extracted")).withColumnRenamed("_source_row", "source_row")
-    raw = stage(raw.withColumn("rid", lineage.lineage_id("file_id", "source_row")), "raw")
+    raw = with_file_ids(stage(extracted, "extracted"), known_files).withColumnRenamed("_source_row", "source_row")
+    raw = stage(raw.withColumn("rid", record_id(batch_id)), "raw")
     mapped = schema.map_open_rows(raw, config=config)
     if attributes:
         wanted = schema.requested_attributes(attributes, config)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.config import DEFAULT, Config
 from contactloom.operators.lookup import lookup_join
+from contactloom.operators.transform import transform_rows, with_issues
 from contactloom.session import stage
 
 MAX_ERROR_TEXT = 2000
@@ -21,10 +23,17 @@ def lineage_id(file_id: str = "upload_file_id", row: str = "source_row") -> Colu
     return F.shiftleft(F.col(file_id).cast("bigint"), 40) + F.col(row)
 
 
-def lineage_rows(raw: DataFrame, checked: DataFrame, columns: list[str], keys=("upload_file_id", "source_row")) -> DataFrame:
-    """Every source row with its raw and mapped values and whether it was valid."""
-    mapped = checked.select(*keys, json_of(columns).alias("mapped_data"), (F.col("error_count") == 0).alias("is_valid"))
-    return raw.select(*keys, lineage_id(*keys).alias("id"), json_of(columns).alias("raw_data")).join(mapped, list(keys), "left")
+def lineage_rows(
+    raw: DataFrame, columns: list[str], keys: tuple[str, ...] = ("upload_file_id", "source_row"), config: Config = DEFAULT
+) -> DataFrame:
+    """Every source row with its raw and mapped values and whether it was valid: the raw values are
+    carried through the cleaning, so it is one pass without a join."""
+    carried = raw.withColumn("_raw", json_of(columns))
+    checked = with_issues(transform_rows(carried, (*keys, "_raw"), config), (*keys, "_raw"), config)
+    return checked.select(
+        *keys, lineage_id(*keys).alias("id"), F.col("_raw").alias("raw_data"), json_of(columns).alias("mapped_data"),
+        (F.col("error_count") == 0).alias("is_valid"),
+    )
 
 
 def link_sources(sources: DataFrame, assignments: DataFrame, base: DataFrame) -> DataFrame:

@@ -125,3 +125,47 @@ def _with_head(head: str):
             yield pd.DataFrame({"value": batch.iloc[:, 0]})
 
     return add
+
+
+@query("integrate_report", f"""{i.WITH_CONTACTS}
+SELECT 'json' AS file_format, count(*) FILTER (source_row % 3 = 1) AS total_rows, 0 AS errors FROM contacts
+UNION ALL SELECT 'csv', count(*) FILTER (source_row % 3 = 0), 0 FROM contacts
+UNION ALL SELECT 'ndjson', count(*) FILTER (source_row % 3 = 2), count(*) FILTER (source_row % 3 = 2 AND source_row % 5 = 0) FROM contacts
+UNION ALL SELECT 'xml', 0, 1""")
+def integrate_report(spark, sf):
+    """Rows and errors per format; every fifth line of the line-delimited files is broken as well."""
+    folder = new_path(spark, "folder")
+    rows = _contacts(spark, sf)
+    number = F.col("ref").cast("long")
+    rows.where(number % 3 == 0).write.options(header=True, escape='"').csv(f"{folder}/a")
+    _write_json(rows.where(number % 3 == 1), f"{folder}/b")
+    lines = rows.where(number % 3 == 2).select("ref", F.to_json(F.struct("*")).alias("value"))
+    broken = lines.where(F.col("ref").cast("long") % 5 == 0).select(F.concat(F.lit("{"), "ref").alias("value"))
+    lines.select("value").unionByName(broken).write.text(f"{folder}/c")
+    _as(spark, f"{folder}/c", ".ndjson")
+    rows.limit(1).select(F.lit("<r><c>").alias("value")).write.text(f"{folder}/d")
+    _as(spark, f"{folder}/d", ".xml")
+    report = integrate(spark, folder).report
+    return report.groupBy("file_format").agg(F.sum("total_rows").alias("total_rows"), F.sum("errors").alias("errors"))
+
+
+@query("integrate_two_batches", f"""{i.WITH_CONTACTS}
+SELECT count(*) AS records, count(*) AS ids, count(*) FILTER (source_row % 2 = 0) AS unchanged FROM contacts""")
+def integrate_two_batches(spark, sf):
+    """Two batches, of which the first is run again when a file has come that sorts first: no id is
+    given twice, and all rows of the earlier files keep theirs."""
+    first, second = new_path(spark, "folder"), new_path(spark, "folder")
+    rows = _contacts(spark, sf)
+    number = F.col("ref").cast("long")
+    rows.where(number % 2 == 0).write.json(f"{first}/b")
+    rows.where(number % 4 == 1).write.json(f"{second}/b")
+    once = integrate(spark, first, batch_id=1)
+    rows.where(number % 4 == 3).write.json(f"{first}/a")
+    again = integrate(spark, first, batch_id=1, known_files=once.files)
+    other = integrate(spark, second, batch_id=2)
+    ids = again.raw.select("rid").unionByName(other.raw.select("rid"))
+    ref = F.try_element_at("raw", F.lit("ref")).alias("ref")
+    kept = once.raw.select("rid", ref).join(again.raw.select("rid", ref), ["rid", "ref"], "left_semi")
+    return ids.agg(F.count("*").alias("records"), F.count_distinct("rid").alias("ids")).withColumn(
+        "unchanged", F.lit(kept.count())
+    )

@@ -28,7 +28,7 @@ SELECT r.upload_file_id, r.source_row, CAST(r.upload_file_id AS BIGINT) * 109951
 FROM (SELECT upload_file_id, source_row, CAST({_JSON} AS VARCHAR) AS raw_data FROM contacts) r
 JOIN (SELECT source_row, CAST({_JSON} AS VARCHAR) AS mapped_data, NOT ({i.BAD_EMAIL_SQL}) AS is_valid FROM clean) c USING (source_row)""")
 def lineage_rows(spark, sf):
-    return lineage.lineage_rows(i.contacts(spark, sf), i.checked(spark, sf), LINEAGE_FIELDS)
+    return lineage.lineage_rows(i.contacts(spark, sf), LINEAGE_FIELDS)
 
 
 @query("lineage_link", f"""{i.WITH_VALID}, {e.EMAIL_MEMBERS_SQL},

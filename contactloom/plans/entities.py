@@ -34,9 +34,9 @@ def match_keys(spark, sf):
     return matching.match_keys(i.valid(spark, sf), DEFAULT.file_match_keys, record_id="source_row")
 
 
-@query("dedup_first_seen")
+@query("dedup_first_seen", f"{i.first_seen_sql()} SELECT rid, primary_id, key_set FROM seen")
 def dedup_first_seen(spark, sf):
-    """Over all valid rows, without file limits. Checked by brute force in the tests."""
+    """Over all valid rows, without file limits."""
     return matching.first_seen(i.valid(spark, sf), DEFAULT.file_match_keys, record_id="source_row")
 
 

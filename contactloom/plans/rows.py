@@ -224,7 +224,18 @@ def quality_report(spark, sf):
     return quality.quality_report(rows, quality.duplicates_by_key(valid_rows(rows)))
 
 
-@query("quality_report_full")
+@query("quality_report_full", f"""{i.first_seen_sql(scope='upload_file_id')},
+t AS (SELECT upload_file_id, count(*) AS total_rows FROM clean GROUP BY 1),
+u AS (SELECT upload_file_id, count(*) AS duplicate_rows FROM seen JOIN valid ON rid = source_row
+      WHERE rid <> primary_id GROUP BY 1),
+v AS (SELECT upload_file_id, count(*) AS valid_rows, sum({MISSING_SQL}) AS missing_fields_count FROM valid GROUP BY 1)
+SELECT upload_file_id, total_rows, valid_rows, total_rows - valid_rows AS invalid_rows, duplicate_rows,
+       CAST(missing_fields_count AS BIGINT) AS missing_fields_count,
+       round(missing_fields_count / (valid_rows * 11) * 100, 2) AS missing_pct,
+       total_rows - valid_rows AS validation_error_count,
+       round(100 - missing_fields_count / (valid_rows * 11) * 100, 2) AS completeness_score,
+       round((total_rows - duplicate_rows) / total_rows * 100, 2) AS uniqueness_score
+FROM t JOIN v USING (upload_file_id) JOIN u USING (upload_file_id)""")
 def quality_report_full(spark, sf):
     """Duplicates by the first-seen rule within each file, over all match keys."""
     rows = stage(i.checked(spark, sf), "checked")

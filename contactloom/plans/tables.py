@@ -190,7 +190,10 @@ def stream_counts(spark, sf):
     return st.latest_counts(spark, out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "errors")
 
 
-@query("incremental_merge")
+_ARRIVAL = "CAST(CASE WHEN upload_file_id <= 2 THEN 0 WHEN upload_file_id <= 4 THEN 1 ELSE 2 END AS BIGINT) * 281474976710656 + source_row"
+
+
+@query("incremental_merge", f"{i.first_seen_sql(_ARRIVAL)} SELECT rid, primary_id, key_set FROM seen")
 def incremental_merge(spark, sf):
     """Valid rows arrive in three deliveries; equals one first-seen run over all of them."""
     arrived, state, mark = (new_path(spark, n) for n in ("arrived", "state", "mark"))

@@ -61,23 +61,40 @@ def value_type(c: Column) -> Column:
     )
 
 
+def _kind(c: Column) -> Column:
+    return F.when(~text.blank(c), value_type(c))
+
+
+def _commonest(counts: dict[str, Column]) -> tuple[Column, Column]:
+    """The type with most values (the earlier one on a tie), and the number of values."""
+    top = F.greatest(*counts.values())
+    kind = F.when(top == 0, "unknown")
+    for t, n in counts.items():
+        kind = kind.when(n == top, t)
+    return kind, sum(counts.values(), F.lit(0))
+
+
 def infer_types(values: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """The commonest type of the non-blank values per column; ``unknown`` without any.
     Five counters per column: one partial aggregate over any number of rows."""
-    typed = values.select(*by, F.when(~text.blank(F.col(value)), value_type(F.col(value))).alias("_type"))
+    typed = values.select(*by, _kind(F.col(value)).alias("_type"))
     counted = typed.groupBy(*by).agg(*[F.count_if(F.col("_type") == t).alias(f"_{t}") for t in TYPES])
-    top = F.greatest(*[F.col(f"_{t}") for t in TYPES])
-    kind = F.when(top == 0, "unknown")
-    for t in TYPES:
-        kind = kind.when(F.col(f"_{t}") == top, t)
-    total = sum((F.col(f"_{t}") for t in TYPES), F.lit(0))
+    kind, total = _commonest({t: F.col(f"_{t}") for t in TYPES})
     return counted.select(*by, kind.alias("inferred_type"), total.alias("value_count"))
 
 
-def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column, value) from a wide table, in one scan."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    return df.select(*by, F.explode(cells).alias("c")).select(*by, "c.column", "c.value")
+def infer_column_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, inferred_type, value_count) of the columns of a wide table: one row of counters
+    per task is all that is shuffled, and no cell becomes a row."""
+    kinds = df.select(*[_kind(F.col(f"`{c}`").cast("string")).alias(f"_{n}") for n, c in enumerate(columns)])
+    counted = kinds.agg(*[
+        F.count_if(F.col(f"_{n}") == t).alias(f"_{n}_{t}") for n in range(len(columns)) for t in TYPES
+    ])
+    found = []
+    for n, c in enumerate(columns):
+        kind, total = _commonest({t: F.col(f"_{n}_{t}") for t in TYPES})
+        found.append(F.struct(F.lit(c).alias("column"), kind.alias("inferred_type"), total.alias("value_count")))
+    return counted.select(F.inline(F.array(*found)))
 
 
 def map_columns(df: DataFrame, collision: str = "last", config: Config = DEFAULT) -> DataFrame:

@@ -95,11 +95,11 @@ _PLURALITY = """SELECT {by}, arg_max(t, n * 10 - CASE t WHEN 'integer' THEN 0 WH
 @query("infer_types", _PLURALITY.format(
     by='table_name, "column"', cells=f'SELECT table_name, "column", {_type_sql("v")} AS t FROM ({_CELLS})'))
 def infer_types(spark, sf):
-    cells = None
+    found = None
     for name, columns in TYPED_TABLES.items():
-        part = schema.long_values(table(spark, sf, name).withColumn("table_name", F.lit(name)), columns, ["table_name"])
-        cells = part if cells is None else cells.unionByName(part)
-    return schema.infer_types(cells, ["table_name", "column"])
+        part = schema.infer_column_types(table(spark, sf, name), columns).withColumn("table_name", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 @query("unknown_columns", f"""{WITH_NAMED} SELECT DISTINCT file_id, "column" FROM named WHERE is_unknown""")

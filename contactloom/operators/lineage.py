@@ -69,6 +69,45 @@ def latest_jobs(events: DataFrame) -> DataFrame:
     )
 
 
+COUNTERS = ["rows_extracted", "rows_valid", "rows_invalid", "rows_merged"]
+
+
+def update_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """The job table after its updates, which are ordered by ``seq``.
+
+    Both have job_id, status, the ``COUNTERS``, error_message, started_at and completed_at; jobs
+    also duration_seconds. An update sets status, message and all counters, those it does not name to 0; it
+    sets the times only if it has them, and with a completion the duration since the start known by then.
+    Updates of unknown jobs are ignored.
+    """
+    known = updates.join(jobs.select("job_id"), "job_id", "left_semi")
+    moment = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    last = F.max_by(F.struct("status", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS], "error_message"), "seq")
+    done = F.max(F.when(F.col("completed_at").isNotNull(), F.col("seq")))
+    news = known.groupBy("job_id").agg(
+        last.alias("last"), moment("started_at").alias("began"), moment("completed_at").alias("ended"), done.alias("done")
+    )
+    # The start that was known when the last completion came.
+    before = known.join(news.select("job_id", "done"), "job_id").where("started_at IS NOT NULL AND seq <= done")
+    starts = before.groupBy("job_id").agg(F.max_by("started_at", "seq").alias("start"))
+    found = jobs.join(news, "job_id", "left").join(starts, "job_id", "left")
+    start = F.coalesce("start", "started_at")
+    seconds = F.timestamp_diff("MICROSECOND", start, F.col("ended")) / 1_000_000
+    named = F.col("last").isNotNull()
+    return found.select(
+        "job_id",
+        *[F.when(named, F.col("last")[c]).otherwise(F.col(c)).alias(c) for c in ("status", *COUNTERS, "error_message")],
+        F.coalesce("began", "started_at").alias("started_at"),
+        F.coalesce("ended", "completed_at").alias("completed_at"),
+        F.coalesce(seconds, "duration_seconds").alias("duration_seconds"),
+    )
+
+
+def append_logs(entries: DataFrame, path: str) -> None:
+    """Appends log lines (job_id, level, stage, message, detail, logged_at); detail is JSON text or null."""
+    entries.select("job_id", "level", "stage", "message", "detail", "logged_at").write.mode("append").parquet(path)
+
+
 def log_rollup(logs: DataFrame) -> DataFrame:
     return logs.groupBy("job_id", "stage", "level").agg(F.count("*").alias("entries"), F.max("logged_at").alias("last_at"))
 

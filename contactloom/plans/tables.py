@@ -63,6 +63,57 @@ def job_latest(spark, sf):
     return lineage.latest_jobs(events)
 
 
+_UPDATES = """updates AS (SELECT user_id AS job_id, event_id AS seq, event_type AS status, CAST(floor(value) AS BIGINT) AS rows_extracted,
+  CASE WHEN event_id % 2 = 0 THEN event_id END AS rows_valid, CAST(NULL AS BIGINT) AS rows_invalid, CAST(user_id AS BIGINT) AS rows_merged,
+  CASE WHEN event_type = 'error' THEN props END AS error_message, CASE WHEN event_id % 5 = 0 THEN ts END AS started_at,
+  CASE WHEN event_id % 7 = 0 THEN ts END AS completed_at FROM events)"""
+
+
+@query("job_updates", f"""WITH {_UPDATES},
+j AS (SELECT DISTINCT job_id FROM updates WHERE job_id % 3 <> 0 UNION SELECT -1),
+u AS (SELECT *, max_by(started_at, CASE WHEN started_at IS NOT NULL THEN seq END) OVER (PARTITION BY job_id ORDER BY seq) AS known
+      FROM updates WHERE job_id % 3 <> 0),
+a AS (SELECT job_id, arg_max(status, seq) AS status, arg_max(rows_extracted, seq) AS rows_extracted,
+             coalesce(arg_max_null(rows_valid, seq), 0) AS rows_valid, arg_max(rows_merged, seq) AS rows_merged,
+             arg_max_null(error_message, seq) AS error_message, arg_max(started_at, seq) AS began, arg_max(completed_at, seq) AS ended,
+             arg_max_null(known, CASE WHEN completed_at IS NOT NULL THEN seq END) AS start
+      FROM u GROUP BY job_id)
+SELECT job_id, coalesce(status, 'pending') AS status, coalesce(rows_extracted, 0) AS rows_extracted, coalesce(rows_valid, 0) AS rows_valid,
+       CAST(0 AS BIGINT) AS rows_invalid, coalesce(rows_merged, 0) AS rows_merged, error_message,
+       epoch_us(began) AS started_us, epoch_us(ended) AS completed_us,
+       (epoch_us(ended) - epoch_us(start)) / 1000000 AS duration_seconds FROM j LEFT JOIN a USING (job_id)""")
+def job_updates(spark, sf):
+    """Two in three users are jobs, their events are updates; one job has none."""
+    table(spark, sf, "events").createOrReplaceTempView("job_events")
+    updates = spark.sql("WITH " + _UPDATES.replace("FROM events", "FROM job_events") + " SELECT * FROM updates")
+    ids = updates.where("job_id % 3 != 0").select("job_id").distinct().unionByName(spark.sql("SELECT -1L AS job_id"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in lineage.COUNTERS]
+    none = F.lit(None).cast("timestamp")
+    jobs_now = ids.select(
+        "job_id", F.lit("pending").alias("status"), *zero, F.lit(None).cast("string").alias("error_message"),
+        none.alias("started_at"), none.alias("completed_at"), F.lit(None).cast("double").alias("duration_seconds"),
+    )
+    after = lineage.update_jobs(stage(jobs_now, "jobs"), stage(updates, "updates"))
+    micros = {c: F.unix_micros(F.col(f"{c}_at").cast("timestamp")).alias(f"{c}_us") for c in ("started", "completed")}
+    return after.select("job_id", "status", *lineage.COUNTERS, "error_message", *micros.values(), "duration_seconds")
+
+
+@query("log_append", """
+SELECT user_id AS job_id, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, event_type AS stage, props AS detail
+FROM events""")
+def log_append(spark, sf):
+    """Log lines of two stages, appended one after the other."""
+    path = new_path(spark, "log")
+    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
+    lines = table(spark, sf, "events").select(
+        F.col("user_id").alias("job_id"), level.alias("level"), F.col("event_type").alias("stage"),
+        F.concat(F.lit("event "), F.col("event_id")).alias("message"), F.col("props").alias("detail"), F.col("ts").alias("logged_at"),
+    )
+    lineage.append_logs(lines.where("level = 'ERROR'"), path)
+    lineage.append_logs(lines.where("level != 'ERROR'"), path)
+    return spark.read.schema(lines.schema).parquet(path).select("job_id", "level", "stage", "detail")
+
+
 @query("log_rollup", """
 SELECT user_id AS job_id, event_type AS stage, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
        count(*) AS entries, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM events GROUP BY ALL""")

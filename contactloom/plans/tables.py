@@ -16,7 +16,7 @@ from contactloom.plans.registry import query, table
 from contactloom.plans.rows import ISSUES_SQL, MISSING_SQL
 from contactloom.session import new_path, stage
 from contactloom.sinks import export
-from contactloom.sources import xlsx
+from contactloom.sources import records, xlsx
 from contactloom.streaming import ingest as st
 
 LINEAGE_FIELDS = ["email", "phone", "first_name", "city", "country"]
@@ -193,6 +193,18 @@ def export_json(spark, sf):
     return spark.read.schema(kind).json(path).withColumn("count", F.lit(written).cast("bigint"))
 
 
+@query("export_json_document", f"""{i.WITH_GOLDEN}
+SELECT CAST(count(*) OVER () AS INT) AS count, CAST(id AS VARCHAR) AS id, email, city, CAST(source_count AS VARCHAR) AS source_count
+FROM golden WHERE id IN (SELECT l_orderkey + 2 FROM lineitem WHERE l_returnflag = 'R')""")
+def export_json_document(spark, sf):
+    """The records of selected ids in one document, read back by the reader of such files."""
+    path = new_path(spark, "export")
+    ids = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") + 2).alias("id"))
+    written = export.write_json_document(export.export_rows(i.golden(spark, sf), ids), path)
+    names = ["id", "email", "city", "source_count"]
+    return records.read_records(spark, path, "json").select(F.lit(written).alias("count"), *[F.col("raw")[n].alias(n) for n in names])
+
+
 @query("export_xlsx", f"""{i.WITH_GOLDEN}
 SELECT CAST(id AS VARCHAR) AS id, email, full_name, city, CAST(source_count AS VARCHAR) AS source_count,
        CASE WHEN is_duplicate THEN 'True' ELSE 'False' END AS is_duplicate FROM golden""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -27,6 +30,27 @@ def write_json(rows: DataFrame, path: str) -> int:
     return counted.get["n"]
 
 
+def write_json_document(rows: DataFrame, path: str) -> int:
+    """One document ``{"count": n, "results": [...]}``; returns n. A document is one file and so is
+    written by one task, a record at a time: meant for selected ids, ``write_json`` is for all."""
+    records = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    count = records.count()
+
+    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [f'{{"count": {count}, "results": [']})
+        left = count
+        for batch in batches:
+            ends = [","] * len(batch)
+            left -= len(batch)
+            if left == 0 and ends:
+                ends[-1] = ""
+            yield pd.DataFrame({"value": batch["value"] + ends})
+        yield pd.DataFrame({"value": ["]}"]})
+
+    records.coalesce(1).mapInPandas(document, "value string").write.text(path)
+    return count
+
+
 def write_xlsx(rows: DataFrame, path: str) -> None:
     """Workbooks with a sheet "Customers", one or more per task."""
     from contactloom.sinks.xlsx import register

@@ -5,22 +5,18 @@ Intents, first that applies: invalid (blank), count, duplicates, city_filter, se
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from contactloom.config import ANSWER_SEARCH_FIELDS
 from contactloom.functions import text
 from contactloom.operators.matching import SEPARATOR
+from contactloom.session import stage
 
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
-PHRASES_PER_PASS = 20_000
+#: Longest substrings of the phrase index.
+GRAM = 3
 
 # Words of the intents.
 COUNT_PHRASES = ["how many", "count", "number of customers"]
@@ -71,50 +67,49 @@ def with_intent(queries: DataFrame, column: str = "query") -> DataFrame:
     return out.withColumn("argument", argument).drop("_normal", "_digits", "_search")
 
 
-def _wild(phrase: str) -> str:
-    """SQL wildcards as a regular expression that stays within one field."""
-    within = f"[^{SEPARATOR}]"
-    return "".join(within + "*" if c == "%" else within if c == "_" else re.escape(c) for c in phrase)
-
-
-def _finder(phrases: list[str], whole: bool) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    """All phrases a record holds, in one pass over its text. A phrase with wildcards is
-    looked for by its longest literal part and checked where that occurs. ``whole``: the
-    phrase must be the value, not a part of it."""
-    by_part: dict[str, list[str]] = {}
-    for p in phrases:
-        by_part.setdefault(max(re.split("[%_]", p), key=len), []).append(p)
-
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = ahocorasick.Automaton()
-        for part in by_part:
-            if part:
-                words.add_word(part, part)
-        if len(words):
-            words.make_automaton()
-        patterns = {p: re.compile(_wild(p)) for p in phrases if "%" in p or "_" in p}
-
-        def holds(phrase, value):
-            if phrase in patterns:
-                return patterns[phrase].fullmatch(value) if whole else patterns[phrase].search(value)
-            return phrase == value if whole else True
-
-        def one(value):
-            if value is None or value != value:
-                return []
-            parts = {part for _, part in words.iter(value)} if len(words) else set()
-            parts.add("")
-            return sorted(p for part in parts for p in by_part.get(part, ()) if holds(p, value))
-
-        for values in batches:
-            yield values.map(one)
-
-    return find
-
-
-def _hits(golden: DataFrame, phrases: list[str], value: Column, whole: bool) -> DataFrame:
-    find = F.pandas_udf(_finder(phrases, whole), ArrayType(StringType()))
-    return golden.select("id", F.explode(find(value)).alias("argument"))
+def _grams(value: Column, size: int) -> Column:
+    """The distinct substrings of ``size`` characters; for size 0 the empty one."""
+    if size == 0:
+        return F.array(F.lit(""))
+    places = F.sequence(F.lit(1), F.length(value) - size + 1)
+    found = F.array_distinct(F.transform(places, lambda i: F.substr(value, i, F.lit(size))))
+    return F.when(F.length(value) >= size, found).otherwise(F.array().cast("array<string>"))
+
+
+def _holds(value: Column, phrase: Column, whole: bool) -> Column:
+    """SQL pattern matching: ``%`` and ``_`` are wildcards, nothing is escaped."""
+    pattern = phrase if whole else F.concat(F.lit("%"), phrase, F.lit("%"))
+    plain = (value == phrase) if whole else value.contains(phrase)
+    return F.when(phrase.rlike("[%_]"), F.like(value, pattern, F.lit("\x01"))).otherwise(plain)
+
+
+def phrase_hits(values: DataFrame, phrases: DataFrame, whole: bool = False) -> DataFrame:
+    """(id, argument): which of the values (id, texts ARRAY) hold which phrases (argument).
+
+    An index by substrings: the longest literal part of a phrase is cut into substrings of
+    three characters (fewer if it is shorter), of which the one that fewest values have is
+    joined with the same substrings of the values. Only these pairs are compared.
+    """
+    longest = F.array_max(F.transform(F.split("argument", "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))
+    asked = stage(phrases.select("argument", longest["part"].alias("part"), F.least(longest["n"], F.lit(GRAM)).alias("size")), "asked")
+    sizes = [r.size for r in asked.select("size").distinct().collect()]
+    if not sizes:
+        return values.select("id", F.lit("").alias("argument")).limit(0)
+    cut = F.coalesce(*[F.when(F.col("size") == n, _grams(F.col("part"), n)) for n in sizes])
+    wanted = stage(asked.select("argument", F.explode(cut).alias("gram")), "wanted")
+    joined = F.array_join("texts", SEPARATOR)
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(joined, n) for n in sizes])))
+    held = values.select("id", "texts", F.explode(grams).alias("gram"))
+    held = stage(held.join(wanted.select("gram").distinct(), "gram", "left_semi"), "held")
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    # A substring that no value has is the rarest: its phrase finds nothing.
+    rarest = wanted.join(counts, "gram", "left").groupBy("argument").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key")
+    )
+    keys = stage(rarest.where("key.n > 0").select("argument", "key.gram"), "keys")
+    return held.join(keys, "gram").where(
+        F.exists("texts", lambda t: _holds(t, F.col("argument"), whole))
+    ).select("id", "argument")
 
 
 def _first_ids(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -124,37 +119,47 @@ def _first_ids(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= MAX_LIMIT)
 
 
+def _found(golden: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(intent, key, rank, id) of the searches and city filters."""
+    def of(intent: str) -> DataFrame:
+        return keyed.where(F.col("intent") == intent).select(F.col("key").alias("argument")).distinct()
+
+    texts = F.array_compact(F.array(*[F.lower(f) for f in ANSWER_SEARCH_FIELDS]))
+    searched = phrase_hits(golden.select("id", texts.alias("texts")), of("search"))
+    in_city = golden.where("city IS NOT NULL").select("id", F.lower("city").alias("city"))
+    plain, wild = of("city_filter").where("NOT argument RLIKE '[%_]'"), of("city_filter").where("argument RLIKE '[%_]'")
+    cities = in_city.select("city").distinct().select(F.col("city").alias("id"), F.array("city").alias("texts"))
+    named = plain.select(F.col("argument").alias("city"), "argument").unionByName(
+        phrase_hits(cities, wild, whole=True).select(F.col("id").alias("city"), "argument")
+    )
+    filtered = in_city.join(named, "city").select("id", "argument")
+    return _first_ids(
+        searched.withColumn("intent", F.lit("search")).unionByName(filtered.withColumn("intent", F.lit("city_filter"))),
+        ["intent", "argument"],
+    ).select("intent", F.col("argument").alias("key"), "rank", "id")
+
+
 def answer(queries: DataFrame, golden: DataFrame, column: str = "query") -> DataFrame:
     """(query, intent, count, id): one row per result in id order of its limit; queries
     without results get one row with a null id. ``count`` is the number of results, or for
     the count intent the number of customers."""
     asked = with_intent(queries.select(column).distinct(), column)
-    found = []
-    for intent, value, whole in (
-        ("search", F.lower(F.concat_ws(SEPARATOR, *[F.coalesce(f, F.lit("")) for f in ANSWER_SEARCH_FIELDS])), False),
-        ("city_filter", F.lower("city"), True),
-    ):
-        # Phrases go to the tasks as a literal list: passes of a fixed size.
-        phrases = [
-            r[0] for r in asked.where(F.col("intent") == intent).select(F.lower("argument")).distinct().toLocalIterator()
-        ]
-        for start in range(0, len(phrases), PHRASES_PER_PASS):
-            hits = _first_ids(_hits(golden, phrases[start:start + PHRASES_PER_PASS], value, whole), ["argument"])
-            found.append(hits.select(F.lit(intent).alias("intent"), F.col("argument").alias("key"), "rank", "id"))
+    keyed = stage(asked.withColumn("key", F.coalesce(F.lower("argument"), F.lit(""))), "queries")
+    has_argument = F.col("intent").isin("search", "city_filter")
+    found = keyed.where(has_argument).join(_found(golden, keyed), ["intent", "key"])
+    # What is the same for every query of an intent is at most ``MAX_LIMIT`` rows of it.
+    same = None
     for intent, rows in (("list", golden), ("duplicates", golden.where("is_duplicate"))):
         top = rows.select("id").orderBy("id").limit(MAX_LIMIT)
-        ranked = top.withColumn("rank", F.row_number().over(W.orderBy("id")))
-        found.append(ranked.select(F.lit(intent).alias("intent"), F.lit("").alias("key"), "rank", "id"))
-    results = found[0]
-    for part in found[1:]:
-        results = results.unionByName(part)
-    keyed = asked.withColumn("key", F.coalesce(F.lower("argument"), F.lit("")))
-    matched = keyed.join(results, ["intent", "key"]).where(F.col("rank") <= F.col("row_limit"))
+        ranked = top.withColumn("rank", F.row_number().over(W.orderBy("id"))).withColumn("intent", F.lit(intent))
+        same = ranked if same is None else same.unionByName(ranked)
+    listed = keyed.where(~has_argument).join(F.broadcast(same), "intent").select(*found.columns)
+    matched = stage(found.unionByName(listed).where(F.col("rank") <= F.col("row_limit")).select(column, "id"), "matched")
     sizes = matched.groupBy(column).agg(F.count("*").alias("n"))
     total = golden.agg(F.count("*").alias("total")).select(F.lit("count").alias("intent"), "total")
     return (
         keyed.join(sizes, column, "left")
         .join(F.broadcast(total), "intent", "left")
-        .join(matched.select(column, "id"), column, "left")
+        .join(matched, column, "left")
         .select(column, "intent", F.coalesce("total", "n", F.lit(0)).alias("count"), "id")
     )

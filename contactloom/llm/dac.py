@@ -34,9 +34,9 @@ MAGIC = b"DAC1"
 #: Ids after which an image is closed; a longer document has one of its own.
 IMAGE_IDS = 1 << 19
 #: Bytes of text that are encoded at once.
-BUFFER = 3 << 20
-#: Entries of a worker's word table: small, as texts are being sorted in the same executor.
-TABLE = 550_000
+BUFFER = 5 << 20
+#: Entries of a worker's word table; texts are being sorted in the same executor.
+TABLE = 850_000
 BITS = 8
 
 

@@ -26,7 +26,8 @@ from contactloom.operators.lookup import lookup_join
 from contactloom.session import stage
 
 SEPARATOR = "\x1f"
-ORDERED_REST = 50_000
+#: Open key rows up to which a caller lets one ordered task finish; by default none.
+ORDERED_REST = 0
 
 
 def key_columns(key_sets: Sequence[Sequence[str]], scope: Sequence[str] = ()) -> list[Column]:
@@ -98,9 +99,8 @@ def key_owners(
     """(key_set, key, owner): the unique record that owns each key, if any does.
 
     The number of rounds is the longest alternation of unique and duplicate records along
-    rising ids, a handful in contact data. Once at most ``ordered_rest`` key rows are open
-    they are finished in one ordered task, so that long chains of few records cost no
-    more rounds; a larger rest always goes on in rounds.
+    rising ids, a handful in contact data. A caller who knows that long chains of few
+    records are left may have at most ``ordered_rest`` open key rows finished in one ordered task.
     """
     open_rows = stage(_combinations(keyed_df), "open")
     keys = [c for c in open_rows.columns if c != "rid"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,11 +74,21 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Deletes the tables this process has staged. Call it when the results that were
-    computed from them are written; DataFrames that still read them stop working."""
+def drop_staged(spark: SparkSession, first: int = 0) -> None:
+    """Deletes the tables this process has staged, from number ``first`` on. Call it when the results
+    that were computed from them are written; DataFrames that still read them stop working."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    for path in _staged:
+    for path in _staged[first:]:
         target = hadoop.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    _staged.clear()
+    del _staged[first:]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end; their results must be written by then."""
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        drop_staged(spark, first)

@@ -13,7 +13,7 @@ from contactloom.config import DEFAULT, Config
 from contactloom.operators import matching
 from contactloom.operators.lookup import lookup_join
 from contactloom.operators.transform import transform_rows, with_issues
-from contactloom.session import stage
+from contactloom.session import scratch, stage
 
 
 def run_available(writer, checkpoint: str) -> StreamingQuery:
@@ -108,9 +108,10 @@ def merge_incrementally(rows: DataFrame, path: str, checkpoint: str, key_sets, s
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         owners = _table(spark, f"{path}/owners", OWNERS, number)
-        assigned, fresh = match_new(stage(batch, "arrived"), owners, key_sets, scope, record_id)
-        _upsert(f"{path}/owners")(fresh, number)
-        _upsert(f"{path}/assigned")(assigned, number)
+        with scratch(spark):  # a stream runs for ever, its steps' tables must not stay
+            assigned, fresh = match_new(stage(batch, "arrived"), owners, key_sets, scope, record_id)
+            _upsert(f"{path}/owners")(fresh, number)
+            _upsert(f"{path}/assigned")(assigned, number)
     run_available(rows.writeStream.foreachBatch(each), checkpoint)
 
 

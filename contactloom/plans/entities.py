@@ -166,13 +166,6 @@ def file_customers(spark, sf):
     )
 
 
-@query("merge_batch")
-def batch(spark, sf):
-    """Five files, merged within themselves, then across the batch."""
-    merged = merge_batch(file_customers(spark, sf))
-    return merged.drop("extra_fields")
-
-
 @query("merge_batch_closed")
 def batch_closed(spark, sf):
     """As ``merge_batch``, until no two survivors share a key."""
@@ -186,6 +179,30 @@ BATCH_MEMBERS_SQL = """members AS (SELECT v.source_row AS rid, v.*, CASE WHEN em
 _OPEN = ", arg_max(created_date, rid) FILTER (replaces) AS created_date, arg_max(loyalty_tier, rid) FILTER (replaces) AS loyalty_tier"
 
 
+_CUSTOMER_FIELDS = [f for f in FOLD_FIELDS if f in GOLDEN_FIELDS]
+MERGE_SQL = f"""{i.first_seen_sql(scope='upload_file_id')},
+in_file AS (SELECT source_row AS rid, valid.*, primary_id FROM valid JOIN seen ON rid = source_row),
+of_file AS ({fold_sql('in_file', 'primary_id', FOLD_FIELDS, FOLD_FIELDS)}),
+customers AS (SELECT CAST(upload_file_id AS BIGINT) * 281474976710656 + primary_id AS id, of_file.source_count AS sources,
+                     {', '.join(f'of_file.{f}' for f in _CUSTOMER_FIELDS)}
+              FROM of_file JOIN valid ON source_row = primary_id),
+{i.first_seen_ctes('customers', 'id', DEFAULT.batch_match_keys, seen='met')},
+in_batch AS (SELECT customers.*, rid, primary_id FROM customers JOIN met ON rid = id),
+merged AS ({fold_sql('in_batch', 'primary_id', _FILLED, _SURVIVOR_FIELDS, ', sum(sources) AS total')})
+SELECT b.id, 1 AS batch_id, CAST(CASE WHEN b.id = m.base_id THEN m.total ELSE b.sources END AS BIGINT) AS source_count,
+       b.id <> m.base_id AS is_duplicate, CASE WHEN b.id <> m.base_id THEN m.base_id END AS merged_into_id,
+       {', '.join(f'CASE WHEN b.id = m.base_id THEN m.{f} ELSE b.{f} END AS {f}' for f in _SURVIVOR_FIELDS)},
+       {', '.join(f'CAST(NULL AS VARCHAR) AS {f}' for f in GOLDEN_FIELDS if f not in _SURVIVOR_FIELDS)}
+FROM in_batch b JOIN merged m USING (primary_id)"""
+
+
+@query("merge_batch", MERGE_SQL)
+def batch(spark, sf):
+    """Five files, merged within themselves, then across the batch."""
+    merged = merge_batch(file_customers(spark, sf))
+    return merged.drop("extra_fields")
+
+
 @query("merge_batch_email", f"""{i.WITH_VALID}, {BATCH_MEMBERS_SQL},
 gold AS ({fold_sql('members', 'primary_id', _FILLED, _SURVIVOR_FIELDS, _OPEN)})
 SELECT m.rid AS id, m.upload_file_id AS batch_id, m.rid <> g.base_id AS is_duplicate,

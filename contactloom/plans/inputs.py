@@ -92,28 +92,35 @@ WITH_VALID = f"{WITH_CLEAN}, valid AS (SELECT * FROM clean WHERE NOT ({BAD_EMAIL
 _KEYS = [("email",), ("phone", "full_name"), ("first_name", "last_name", "postal_code")]
 
 
-def first_seen_sql(rid: str = "source_row", scope: str = "") -> str:
-    """A WITH head in which ``seen`` (rid, primary_id, key_set) is the ordered rule in rounds: open records that
-    come first at all their keys are unique, those that share a key with one are duplicates, both leave."""
+def first_seen_ctes(source: str, rid: str, key_sets=_KEYS, scope: str = "", seen: str = "seen") -> str:
+    """Steps of a WITH RECURSIVE up to ``seen`` (rid, primary_id, key_set), the ordered rule in rounds: open
+    records that come first at all their keys are unique, those that share a key with one are duplicates, both leave."""
     lead = f"CAST({scope} AS VARCHAR) || chr(31) || " if scope else ""
-    keys = ", ".join(f"{lead}{' || chr(31) || '.join(f'lower({p})' for p in parts)} AS k{n}" for n, parts in enumerate(_KEYS))
-    names = [f"k{n}" for n in range(len(_KEYS))]
+    keys = ", ".join(f"{lead}{' || chr(31) || '.join(f'lower({p})' for p in parts)} AS k{n}" for n, parts in enumerate(key_sets))
+    names = [f"k{n}" for n in range(len(key_sets))]
+    columns = ", ".join(names)
     first = " AND ".join(f"({k} IS NULL OR rid = min(rid) OVER (PARTITION BY {k}))" for k in names)
     shares = " OR ".join(f"({k} IS NOT NULL AND bool_or(u) OVER (PARTITION BY {k}))" for k in names)
-    held = " UNION ALL ".join(f"SELECT rid, {n} AS key_set, {k} AS key, s FROM {{0}} WHERE {k} IS NOT NULL" for n, k in enumerate(names))
-    columns = ", ".join(names)
-    return f"""{WITH_VALID.replace('WITH', 'WITH RECURSIVE', 1)},
-wide AS (SELECT {rid} AS rid, {keys} FROM valid),
-rounds(rid, {columns}, s) AS (
-  SELECT rid, {columns}, 'open' FROM wide
+
+    def held(table: str, where: str) -> str:
+        return " UNION ALL ".join(f"SELECT rid, {n} AS key_set, {k} AS key FROM {table} WHERE {where} AND {k} IS NOT NULL" for n, k in enumerate(names))
+
+    return f"""{seen}_wide AS (SELECT {rid} AS rid, {keys} FROM {source}),
+{seen}_rounds(rid, {columns}, s) AS (
+  SELECT rid, {columns}, 'open' FROM {seen}_wide
   UNION ALL
   SELECT rid, {columns}, CASE WHEN u THEN 'unique' WHEN {shares} THEN 'duplicate' ELSE 'open' END
-  FROM (SELECT *, {first} AS u FROM rounds WHERE s = 'open')),
-owned AS (SELECT key_set, key, rid AS owner FROM ({held.format('rounds')}) WHERE s = 'unique'),
-held AS (SELECT rid, key_set, key FROM ({held.format("(SELECT *, '' AS s FROM wide)")})),
-hits AS (SELECT rid, min(key_set) AS key_set, min_by(owner, key_set) AS owner FROM held JOIN owned USING (key_set, key)
-         WHERE owner < rid GROUP BY rid),
-seen AS (SELECT rid, coalesce(owner, rid) AS primary_id, key_set FROM wide LEFT JOIN hits USING (rid))"""
+  FROM (SELECT *, {first} AS u FROM {seen}_rounds WHERE s = 'open')),
+{seen}_owned AS ({held(f"{seen}_rounds", "s = 'unique'")}),
+{seen}_held AS ({held(f"{seen}_wide", "true")}),
+{seen}_hits AS (SELECT h.rid, min(h.key_set) AS key_set, min_by(o.rid, h.key_set) AS owner
+  FROM {seen}_held h JOIN {seen}_owned o ON h.key_set = o.key_set AND h.key = o.key WHERE o.rid < h.rid GROUP BY h.rid),
+{seen} AS (SELECT rid, coalesce(owner, rid) AS primary_id, key_set FROM {seen}_wide LEFT JOIN {seen}_hits USING (rid))"""
+
+
+def first_seen_sql(rid: str = "source_row", scope: str = "") -> str:
+    """A WITH head over ``valid``."""
+    return f"{WITH_VALID.replace('WITH', 'WITH RECURSIVE', 1)},\n{first_seen_ctes('valid', rid, scope=scope)}"
 
 
 # Golden table of the explorer queries: one record per valid row; the first row of an

@@ -89,3 +89,16 @@ def test_pages(spark):
         explore.page(df, "password")
     with pytest.raises(ValueError):
         explore.page(df, "city", 1, 201)
+
+
+def test_scratch_deletes_what_is_staged_inside(spark):
+    from contactloom import session
+
+    kept = session.stage(spark.range(3), "kept")
+    with session.scratch(spark):
+        inside = session.stage(spark.range(5), "inside")
+        path = session._staged[-1]
+        assert inside.count() == 5
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    assert kept.count() == 3 and path not in session._staged

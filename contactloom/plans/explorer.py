@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contactloom.config import DEFAULT, STATUS_LABELS
+from contactloom.config import STATUS_LABELS
 from contactloom.operators import explore, quality
 from contactloom.operators.answers import answer, with_intent
 from contactloom.operators.lookup import lookup_join

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contactloom.config import DEFAULT, EXPORT_FIELDS
 from contactloom.integrate import integrate
-from contactloom.operators import lineage, matching
+from contactloom.operators import lineage
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows
 from contactloom.plans import entities as e

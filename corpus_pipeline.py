@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import word_count
 from contactloom.llm.line_runs import drop_repeated_lines
 from contactloom.llm.mixing import repeat_by_mix
 from contactloom.llm.packing import pack_documents
+from contactloom.llm.passages import drop_repeated_passages
 from contactloom.llm.quality_gate import keep_good
 from contactloom.llm.simhash import keep_one_each
 from contactloom.llm.tokens import vocabulary_file
@@ -26,9 +28,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines are cut out; documents of which nothing is left go."""
+    """Later copies of repeated runs of lines are cut out, and then those of passages that begin or end
+    inside a line; documents of which nothing is left go."""
     cut = drop_repeated_lines(docs).where("n_removed < n_lines")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
+    lines = stage(cut.select("doc.doc_id", "text", "doc.lang", "doc.source", n_chars.alias("n_chars")), "lines")
+    cut = drop_repeated_passages(lines).where(~F.col("cut") | (word_count(F.col("text")) > 0))
+    n_chars = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("doc.n_chars"))
     return cut.select("doc.doc_id", "text", "doc.lang", "doc.source", n_chars.alias("n_chars"))
 
 

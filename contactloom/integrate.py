@@ -33,18 +33,28 @@ def _union(parts: list[DataFrame], names: list[str], spark: SparkSession, kinds:
     return out
 
 
-def extract(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+#: Formats whose files are read whole, so that Spark's limit on the content of a file holds for them.
+WHOLE = ["json", "xml", "xlsx"]
+
+
+def extract(spark: SparkSession, folder: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of all supported files below a folder, each format read by its
-    reader: rows are (_file, _source_row, raw MAP), errors (_file, error)."""
+    reader: rows are (_file, _source_row, raw MAP), errors (_file, error). Files too large to be read
+    whole are told from the listing. CSV files without quoted line breaks are split if
+    ``multi_line`` is off."""
     listing = stage(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.col("_metadata.file_path").alias("_file"), formats.extension(F.col("path")).alias("extension")), "listing")
+        F.col("_metadata.file_path").alias("_file"), formats.extension(F.col("path")).alias("extension"), "length"), "listing")
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    large = F.col("extension").isin(WHOLE) & (F.col("length") > most)
     paths: dict[str, list[str]] = {}
-    for f in listing.toLocalIterator():
+    for f in listing.where(~large).toLocalIterator():
         paths.setdefault(f.extension, []).append(f._file)
     rows, errors = [], [listing.select("_file", formats.format_error(F.col("_file")).alias("error")).where("error IS NOT NULL")]
+    message = F.format_string("File too large to be read whole (%d bytes, limit %d)", "length", F.lit(most))
+    errors.append(listing.where(large).select("_file", message.alias("error")))
     if "csv" in paths:
         for layout in files.csv_layouts(spark, paths["csv"]).toLocalIterator():
-            read = files.read_csv(spark, layout.files, sep=layout.delimiter, encoding=layout.encoding, as_map=True)
+            read = files.read_csv(spark, layout.files, sep=layout.delimiter, encoding=layout.encoding, as_map=True, multi_line=multi_line)
             rows.append(read)
             errors.append(files.csv_report(read).select("_file", "error").where("error IS NOT NULL"))
     for kind in ("json", "xml"):
@@ -185,14 +195,16 @@ def integrate(
     attributes: list[str] | None = None,
     config: Config = DEFAULT,
     known_files: DataFrame | None = None,
+    multi_line: bool = True,
 ) -> Integration:
     """Extract, map, clean, check and match within files; merging follows on demand.
 
     ``attributes`` limits the data to these canonical fields. Files are told apart by
     ``file_id``; all of them are processed in one job. With ``known_files``, the ``files`` of
-    an earlier run of the batch, files keep their ids when others come.
+    an earlier run of the batch, files keep their ids when others come. ``multi_line=False`` lets
+    Spark split CSV files, which then must not have quoted line breaks.
     """
-    extracted, errors = extract(spark, folder)
+    extracted, errors = extract(spark, folder, multi_line)
     raw = with_file_ids(stage(extracted, "extracted"), known_files).withColumnRenamed("_source_row", "source_row")
     raw = stage(raw.withColumn("rid", record_id(batch_id)), "raw")
     mapped = schema.map_open_rows(raw, config=config)

@@ -121,3 +121,28 @@ def test_large_json_is_read_whole(spark, tmp_path):
         out.write("\n]")
     rows, errors = extract(spark, str(tmp_path))
     assert rows.count() == 100 and errors.isEmpty()
+
+
+def test_files_too_large_to_be_read_whole_stop_no_others(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"email": f"p{n}@x.com"} for n in range(100)]))
+    (tmp_path / "b.json").write_text('[{"email": "b@x.com"}]')
+    (tmp_path / "c.xml").write_text("<r>" + "<c><email>c@x.com</email></c>" * 50 + "</r>")
+    (tmp_path / "d.csv").write_text("email\n" + "d@x.com\n" * 200)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        found, errors = rows_of(spark, tmp_path)
+    finally:
+        spark.conf.set(key, before)
+    assert {name: len(rows) for name, rows in found.items()} == {"b.json": 1, "d.csv": 200}
+    assert {(name, error.split(" (")[0]) for name, error in errors} == {
+        ("a.json", "File too large to be read whole"), ("c.xml", "File too large to be read whole")}
+
+
+def test_csv_line_breaks_as_asked(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("email,phone\na@x.com,1\nb@x.com,2\n")
+    for multi_line in (True, False):
+        rows, errors = extract(spark, str(tmp_path), multi_line=multi_line)
+        assert sorted(r.raw["email"] for r in rows.collect()) == ["a@x.com", "b@x.com"] and errors.count() == 0
+    assert integrate(spark, str(tmp_path), multi_line=False).raw.count() == 2

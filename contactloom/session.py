@@ -53,17 +53,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write once, read many: cuts the lineage and survives the loss of executors.
 
     A Parquet table rather than ``checkpoint()``: it is computed once, and its
-    readers get column pruning and row-group statistics.
+    readers get column pruning and row-group statistics. ``by`` names a column of few
+    values, whose rows are stored apart, so that a filter on it reads only its own.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``stage`` returned, when the next one of its kind is written."""
+    path = table._staged_at
+    if path in _staged:
+        _staged.remove(path)
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -77,10 +94,8 @@ def spread(scan: DataFrame) -> DataFrame:
 def drop_staged(spark: SparkSession, first: int = 0) -> None:
     """Deletes the tables this process has staged, from number ``first`` on. Call it when the results
     that were computed from them are written; DataFrames that still read them stop working."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for path in _staged[first:]:
-        target = hadoop.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     del _staged[first:]
 
 

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactloom.llm.byte_bpe import decode_documents, encode_documents
 from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.line_runs import drop_repeated_lines
 from contactloom.llm.merkle import edited
 from contactloom.llm.mixing import mix
 from contactloom.llm.packing import pack_documents
+from contactloom.llm.phrases import collocations
 from contactloom.llm.quality_gate import judge
 from contactloom.llm.secrets import BASE, scan
 from contactloom.llm.sharding import shard_documents
 from contactloom.llm.simhash import near_duplicates
+from contactloom.llm.spelling import variants, vocabulary
 from contactloom.llm.tokens import vocabulary_file
 from contactloom.llm.url_equivalence import Rule, judge_urls
+from contactloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -223,3 +227,83 @@ m AS (
   GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
 """)
+
+
+def op11_dic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=100, top=2000, cover=100)
+
+
+_add(op11_dic, r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT lang, k, phrase, f AS a, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:], ' ') AS rest
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT u.lang, u.phrase, a, cut, x.f AS l, y.f AS r, n.n,
+             (1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f) AS score
+      FROM u JOIN f x ON u.lang = x.lang AND u.first = x.phrase JOIN f y ON u.lang = y.lang AND u.rest = y.phrase
+             JOIN n ON u.lang = n.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, phrase, max(f) AS f FROM (
+        SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
+          SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < k)) GROUP BY ALL),
+o AS (SELECT m.* FROM m LEFT JOIN h ON m.lang = h.lang AND m.phrase = h.phrase WHERE h.f IS NULL OR 100 * h.f < 100 * m.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z WHERE rank <= 2000
+""")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = vocabulary_file("byte_bpe_50k.tiktoken")
+    encoded = encode_documents(_table(spark, sf_dir, "documents"), ranks)
+    return decode_documents(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+_add(op12_byte_bpe)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = stage(vocabulary(_table(spark, sf_dir, "documents"), shortest=6, least=5, drop_every=199), "vocabulary")
+    return variants(words, times=5)
+
+
+_add(op13_spelling, r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+      FROM documents),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[a-zÀ-ÿ]+')) AS run FROM d),
+q AS (SELECT id, run, count(*) AS times, hex(encode(id || ':' || run)) AS bytes FROM r WHERE length(run) >= 6 GROUP BY ALL),
+nib(j, v) AS (SELECT j, v FROM (SELECT unnest(range(16)) AS j) t, LATERAL (
+  SELECT list_reduce([j::BIGINT, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v) u),
+tab AS (SELECT list(v ORDER BY j) AS t FROM nib),
+h AS (SELECT id, run, times, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(length(bytes)), lambda i: instr('0123456789ABCDEF', substr(bytes, CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END, 1))::BIGINT - 1)),
+        lambda c, x: xor(c >> 4, t[(xor(c, x) & 15) + 1])), 4294967295) AS h FROM q, tab),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT times, CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word FROM h)
+      WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+v AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS less FROM e),
+b AS (SELECT a.word, c.word AS near, c.n FROM v a JOIN v c ON a.i = c.i AND a.less = c.less AND a.word <> c.word
+      UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word
+      UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word),
+m AS (SELECT word, count(*) AS n_near, max(n) AS near_n, arg_min(near, (-n, near)) AS near FROM b GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form,
+             CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN m USING (word)),
+p AS (SELECT word, word AS upto, 0 AS depth FROM f
+      UNION ALL SELECT p.word, f.form, depth + 1 FROM p JOIN f ON p.upto = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT word, arg_max(upto, depth) AS root FROM p GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN z USING (word)
+""")

@@ -23,6 +23,7 @@ bytes a code point at its peak.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -345,6 +346,29 @@ def encode_documents(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text:
     return rows.mapInArrow(encode, schema)
 
 
+def digest_documents(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids, joined by a space, and of the bytes
+    they decode to. Ids are encoded, decoded and digested in the same task; they do not travel."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(ranks)
+        for batch in batches:
+            for low, length in byte_ranges(batch.column(1), BUFFER):
+                part = batch.slice(low, length)
+                ids, _, upto = own.encode(part.column(1))
+                decimals, decoded = [], []
+                for first, last in zip([0, *upto.tolist()], upto.tolist(), strict=False):
+                    mine = ids[first:last]
+                    decimals.append(hashlib.sha256(" ".join(map(str, mine.tolist())).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode(mine)).hexdigest())
+                columns = [part.column(0), pa.array(np.diff(upto, prepend=0)), pa.array(decimals, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(digest, schema)
+
+
 def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     """``encoded`` (doc_id, ids, ...) with ``decoded``, the bytes that the ids stand for; null ids count as none."""
     kept = encoded.select("*", F.lit(b"").alias("decoded")).schema

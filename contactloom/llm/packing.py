@@ -27,20 +27,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import byte_ranges
-from contactloom.llm.tokens import END, tokenizer
+from contactloom.llm.tokens import END, TABLE, forget, tokenizer
 from contactloom.session import stage
 
 WIDTH = 2048
 #: Bytes of text that are encoded at once.
 BUFFER = 4 << 20
+#: The same, and words in a worker's table, where memory is short.
+LEAN_BUFFER = 1 << 20
+LEAN_TABLE = 200_000
 #: A length is numbered in so many slices.
 SLICES = 64
 
 
 def cut_pieces(
-    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, ids: bool = False
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, ids: bool = False,
+    lean: bool = False,
 ) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for): the pieces of each document."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, and ids if asked for): the pieces of each document.
+
+    Workers keep the words they have met for their next task, unless ``lean``: then they keep fewer, and none when
+    a task ends. That costs time, and leaves memory to what else runs in the session.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = {"start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long"}
     if ids:
@@ -48,9 +56,9 @@ def cut_pieces(
     schema = rows.select("doc_id", *[F.lit(None).cast(kind).alias(name) for name, kind in parts.items()]).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = tokenizer(vocabulary)
+        words = tokenizer(vocabulary, LEAN_TABLE if lean else TABLE)
         for batch in batches:
-            for low, length in byte_ranges(batch.column(1), BUFFER):
+            for low, length in byte_ranges(batch.column(1), LEAN_BUFFER if lean else BUFFER):
                 part = batch.slice(low, length)
                 found, ends = words.encode(part.column(1), END)
                 sizes = np.diff(ends, prepend=0)
@@ -70,6 +78,9 @@ def cut_pieces(
                 if ids:
                     columns.append(pa.array([p.view("<i4") for p in pieces], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        if lean:
+            del words
+            forget()
 
     return rows.mapInArrow(cut, schema)
 
@@ -140,9 +151,9 @@ def pack(pieces: DataFrame, width: int = WIDTH, order: tuple[str, ...] = ("doc_i
     )
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, ids: bool = False):
+def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, ids: bool = False, lean: bool = False):
     """Every document in sequences of ``width`` ids: its pieces with sequence_id and offset."""
-    return pack(stage(cut_pieces(docs, vocabulary, doc_id, text, width, ids), "pieces"), width)
+    return pack(stage(cut_pieces(docs, vocabulary, doc_id, text, width, ids, lean), "pieces"), width)
 
 
 def sequences(packed: DataFrame, width: int = WIDTH, padding: int = 0) -> DataFrame:

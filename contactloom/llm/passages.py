@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from contactloom.llm.line_runs import MIN_WORDS
 from contactloom.session import stage
 
+#: Windows that are looked at together.
+PART = 1 << 15
+
 # Odd multipliers of two independent hashes.
 FIRST = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SECOND = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -64,7 +67,9 @@ def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     if len(words) < least:
         return half, np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(half, width)
-    return half, windows.argmin(axis=1) + np.arange(len(windows))
+    # Taking the least of each window copies them, so a long text is looked at in parts.
+    least_of = [windows[i : i + PART].argmin(axis=1) for i in range(0, len(windows), PART)]
+    return half, np.concatenate(least_of) + np.arange(len(windows))
 
 
 def _hashes(text: str) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm.byte_bpe import decode_documents, encode_documents
+from contactloom.llm.byte_bpe import digest_documents
 from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.line_runs import drop_repeated_lines
 from contactloom.llm.merkle import edited
@@ -262,12 +262,7 @@ FROM z WHERE rank <= 2000
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary_file("byte_bpe_50k.tiktoken")
-    encoded = encode_documents(_table(spark, sf_dir, "documents"), ranks)
-    return decode_documents(encoded, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digest_documents(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.tiktoken"))
 
 
 _add(op12_byte_bpe)

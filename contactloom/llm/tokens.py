@@ -179,16 +179,18 @@ def _replace(ids: np.ndarray, ends: np.ndarray, whole: np.ndarray, own: list[byt
 
 
 def tokenizer(path: str, entries: int = TABLE) -> WordTokenizer:
-    """One per worker and file."""
+    """One per worker and file, with room for ``entries`` words."""
     loaded = worker_state().setdefault("tokenizers", {})
     if path not in loaded:
         loaded[path] = WordTokenizer(path, entries)
+    loaded[path].entries = entries
     return loaded[path]
 
 
 def forget() -> None:
     """Gives back the memory of the word tables of this worker."""
     worker_state().pop("tokenizers", None)
+    pa.default_memory_pool().release_unused()
 
 
 def vocabulary_file(name: str) -> str:

@@ -77,6 +77,14 @@ def test_query(documents, queried, library):
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))) for r in rows)
 
 
+def test_tables_of_ids(documents, library):
+    rows = decode_documents(encode_documents(documents(HARD), RANKS), RANKS).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in HARD)
+    for row in rows:
+        assert row.ids == library.encode_ordinary(row.decoded.decode())
+        assert row.ends[-1:] == [len(row.decoded)][: len(row.ids)]
+
+
 def test_empty(documents, spark):
     none = documents([(1, "x")]).where("doc_id = 2")
     assert decode_documents(encode_documents(none, RANKS), RANKS).count() == 0

@@ -50,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 ids."""
-    return pack_documents(docs, vocabulary_file("byte_bpe_50k.json"))
+    return pack_documents(docs, vocabulary_file("byte_bpe_50k.json"), lean=True)
 
 
 STAGES = [

@@ -5,18 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.config import DEFAULT, GOLDEN_FIELDS, Config
+from contactloom.config import DEFAULT, FORMATS, GOLDEN_FIELDS, Config
 from contactloom.functions import text
 from contactloom.operators import batch, matching, quality, schema
 from contactloom.operators.lookup import lookup_join
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows, transform_rows, valid_rows, with_issues
 from contactloom.session import stage
-from contactloom.sources import files, formats, records, xlsx
+from contactloom.sources import delimited, formats, records, xlsx
 
 ROW = ["_file", "_source_row", "raw"]
 KEYS = ("file_id", "source_row", "rid")
@@ -39,38 +39,36 @@ WHOLE = ["json", "xml", "xlsx"]
 
 def extract(spark: SparkSession, folder: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of all supported files below a folder, each format read by its
-    reader: rows are (_file, _source_row, raw MAP), errors (_file, error). Files too large to be read
-    whole are told from the listing. CSV files without quoted line breaks are split if
-    ``multi_line`` is off."""
+    reader: rows are (_file, _source_row, raw MAP), errors (_file, error). Readers take the folder and tell
+    files by their names' endings, so names may hold any character. Files too large to be read
+    whole are told from the listing. CSV files are always split; ``multi_line`` is no longer needed."""
     listing = stage(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
         F.col("_metadata.file_path").alias("_file"), formats.extension(F.col("path")).alias("extension"), "length"), "listing")
     most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
     large = F.col("extension").isin(WHOLE) & (F.col("length") > most)
-    paths: dict[str, list[str]] = {}
-    for f in listing.where(~large).toLocalIterator():
-        paths.setdefault(f.extension, []).append(f._file)
+    present = {r.extension for r in listing.select("extension").distinct().collect() if r.extension in FORMATS}
     rows, errors = [], [listing.select("_file", formats.format_error(F.col("_file")).alias("error")).where("error IS NOT NULL")]
+    errors.append(formats.hidden_files(spark, folder))
     message = F.format_string("File too large to be read whole (%d bytes, limit %d)", "length", F.lit(most))
     errors.append(listing.where(large).select("_file", message.alias("error")))
-    if "csv" in paths:
-        for layout in files.csv_layouts(spark, paths["csv"]).toLocalIterator():
-            read = files.read_csv(spark, layout.files, sep=layout.delimiter, encoding=layout.encoding, as_map=True, multi_line=multi_line)
-            rows.append(read)
-            errors.append(files.csv_report(read).select("_file", "error").where("error IS NOT NULL"))
+    if "csv" in present:
+        read, bad = delimited.read_delimited(spark, folder)
+        rows.append(read)
+        errors.append(bad)
     for kind in ("json", "xml"):
-        if kind in paths:
-            read = stage(records.read_records(spark, paths[kind], kind), kind)
+        if kind in present:
+            read = stage(records.read_records(spark, folder, kind), kind)
             rows.append(read.where("error IS NULL"))
             errors.append(read.where("error IS NOT NULL"))
-    if "ndjson" in paths:
-        read, bad = records.read_lines(spark, paths["ndjson"])
+    if "ndjson" in present:
+        read, bad = records.read_lines(spark, folder)
         rows.append(read)
         errors.append(bad)
-    if "xlsx" in paths:
-        read = stage(xlsx.read_xlsx(spark, paths["xlsx"]), "sheets")
+    if "xlsx" in present:
+        read = stage(xlsx.read_xlsx(spark, folder), "sheets")
         rows.append(read.where("error IS NULL"))
         errors.append(read.where("error IS NOT NULL"))
-    if "pdf" in paths:
+    if "pdf" in present:
         errors.append(listing.where("extension = 'pdf'").withColumn("error", F.lit("PDF text must be extracted beforehand")))
     return (
         _union(rows, ROW, spark, "_file string, _source_row long, raw map<string,string>"),
@@ -78,30 +76,47 @@ def extract(spark: SparkSession, folder: str, multi_line: bool = True) -> tuple[
     )
 
 
-def with_file_ids(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Adds ``file_id``: files counted by name. Files that are ``known`` (_file, file_id) from earlier
-    runs keep their number, new ones follow. One row per file meets in a task; rows find
-    their number whatever the size of their file."""
-    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
-    number = F.row_number().over(W.orderBy("_file"))
-    if known is None:
-        numbered = sizes.withColumn("file_id", number)
-    else:
-        last = known.agg(F.max("file_id")).first()[0] or 0
-        old = sizes.join(known.select("_file", "file_id"), "_file")
-        new = sizes.join(known, "_file", "left_anti").withColumn("file_id", last + number)
-        numbered = old.unionByName(new)
-    return lookup_join(rows, stage(numbered, "files"), ["_file"], "_n")
+#: Record numbers of a batch: the rest of 63 bits is the batch.
+RECORD_BITS = 48
+RANGES = "array<struct<row: bigint, low: bigint, size: bigint>>"
+
 
+def number_files(sizes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(_file, file_id, ranges) for files (_file, top), whose rows are numbered up to ``top``, and for all others that are
+    ``known`` from earlier runs.
 
-def record_id(batch_id: int) -> Column:
-    """The same in every run, and of no other batch: batch (below 2^15), file (below 2^16) and
-    row (below 2^32), in this order."""
-    if not 0 <= batch_id < 1 << 15:
-        raise ValueError("batch ids run from 0 to 32767")
-    number = F.lit(batch_id << 48) + F.shiftleft(F.col("file_id").cast("bigint"), 32) + F.col("source_row")
-    fits = (F.col("file_id") < 1 << 16) & (F.col("source_row") < 1 << 32)
-    return F.when(fits, number).otherwise(F.raise_error(F.lit("a batch holds 65535 files of 4294967295 rows at most")))
+    A file gets a range of record numbers (row, low, size), as many as it has rows, after those of all files before it.
+    Known files keep their number and ranges; if one has grown, its further rows get another range, and new files
+    follow, so any number of files of any sizes fits. One row per file meets in a task.
+    """
+    none = F.lit(None).cast(RANGES)
+    if known is None:
+        known = sizes.select("_file", F.lit(0).alias("file_id"), none.alias("ranges")).limit(0)
+    last = known.agg(
+        F.max("file_id").alias("id"),
+        F.max(F.array_max(F.transform("ranges", lambda r: r.low + r["size"]))).alias("mark"),
+    ).first()
+    both = sizes.join(known, "_file", "full")
+    upto = F.coalesce(F.array_max(F.transform("ranges", lambda r: r.row + r["size"])), F.lit(0).cast("bigint"))
+    both = both.withColumn("row", upto).withColumn("size", F.greatest(F.coalesce("top", F.lit(-1)) + 1 - F.col("row"), F.lit(0)))
+    order = W.orderBy("_file")
+    earlier = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fresh = F.sum(F.col("file_id").isNull().cast("int")).over(order)
+    made = F.array(F.struct("row", (F.lit(last.mark or 0) + earlier).alias("low"), "size"))
+    ranges = F.concat(F.coalesce("ranges", F.array().cast(RANGES)), F.when(F.col("size") > 0, made).otherwise(F.array().cast(RANGES)))
+    return both.select("_file", F.coalesce("file_id", F.lit(last.id or 0) + fresh).cast("int").alias("file_id"), ranges.alias("ranges"))
+
+
+def with_record_ids(rows: DataFrame, numbered: DataFrame, sizes: DataFrame, batch_id: int) -> DataFrame:
+    """``rows`` (_file, _source_row) with ``file_id`` and ``rid``, which no other batch and no other row has. ``sizes`` holds
+    the rows (``rows``) of each file; rows find their file's ranges whatever its size."""
+    if not 0 <= batch_id < 1 << 63 - RECORD_BITS:
+        raise ValueError(f"batch ids run from 0 to {(1 << 63 - RECORD_BITS) - 1}")
+    found = lookup_join(rows, numbered.join(sizes.select("_file", "rows"), "_file"), ["_file"], "rows")
+    mine = F.element_at(F.filter("ranges", lambda r: r.row <= F.col("_source_row")), -1)
+    number = mine.low + F.col("_source_row") - mine.row
+    fits = F.when(number < 1 << RECORD_BITS, number).otherwise(F.raise_error(F.lit(f"a batch holds 2^{RECORD_BITS} rows at most")))
+    return found.withColumn("rid", F.lit(batch_id << RECORD_BITS) + fits).drop("ranges")
 
 
 def golden_columns(mapped: DataFrame) -> DataFrame:
@@ -131,20 +146,17 @@ def clean_and_check(mapped: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 @dataclass
 class Integration:
-    """A run: its stored inputs, and the tables that follow from them when asked for."""
+    """A run: its stored inputs, and the tables that follow from them when asked for. ``files`` (_file, file_id,
+    ranges of record numbers) are to be given to later runs of the batch."""
 
     raw: DataFrame
+    files: DataFrame
     checked: DataFrame
     within: DataFrame
     errors: DataFrame
     batch_id: int
     config: Config
 
-    @property
-    def files(self) -> DataFrame:
-        """(_file, file_id), to be given to later runs of the batch."""
-        return self.raw.select("_file", "file_id").distinct()
-
     @property
     def report(self) -> DataFrame:
         """(_file, file_format, file_id, total_rows, errors) of every file that gave rows or errors."""
@@ -201,16 +213,18 @@ def integrate(
 
     ``attributes`` limits the data to these canonical fields. Files are told apart by
     ``file_id``; all of them are processed in one job. With ``known_files``, the ``files`` of
-    an earlier run of the batch, files keep their ids when others come. ``multi_line=False`` lets
-    Spark split CSV files, which then must not have quoted line breaks.
+    an earlier run of the batch, files and rows keep their ids when others come.
     """
     extracted, errors = extract(spark, folder, multi_line)
-    raw = with_file_ids(stage(extracted, "extracted"), known_files).withColumnRenamed("_source_row", "source_row")
-    raw = stage(raw.withColumn("rid", record_id(batch_id)), "raw")
+    extracted = stage(extracted, "extracted")
+    sizes = stage(extracted.groupBy("_file").agg(F.max("_source_row").alias("top"), F.count("*").alias("rows")), "sizes")
+    numbered = stage(number_files(sizes.select("_file", "top"), known_files), "files")
+    raw = with_record_ids(extracted, numbered, sizes, batch_id).withColumnRenamed("_source_row", "source_row")
+    raw = stage(raw, "raw")
     mapped = schema.map_open_rows(raw, config=config)
     if attributes:
         wanted = schema.requested_attributes(attributes, config)
         mapped = mapped.withColumn("mapped", F.map_filter("mapped", lambda k, v: k.isin(wanted)))
     checked = stage(clean_and_check(mapped, config), "checked")
     within = stage(matching.first_seen(valid_rows(checked), config.file_match_keys, ["file_id"]), "within")
-    return Integration(raw, checked, within, errors, batch_id, config)
+    return Integration(raw, numbered, checked, within, errors, batch_id, config)

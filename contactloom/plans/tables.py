@@ -202,7 +202,7 @@ def export_json_document(spark, sf):
     ids = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") + 2).alias("id"))
     written = export.write_json_document(export.export_rows(i.golden(spark, sf), ids), path)
     names = ["id", "email", "city", "source_count"]
-    return records.read_records(spark, path, "json").select(F.lit(written).alias("count"), *[F.col("raw")[n].alias(n) for n in names])
+    return records.read_records(spark, path, "json", "*").select(F.lit(written).alias("count"), *[F.col("raw")[n].alias(n) for n in names])
 
 
 @query("export_xlsx", f"""{i.WITH_GOLDEN}

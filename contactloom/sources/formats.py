@@ -15,6 +15,29 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(F.lower(path), r"[^/]\.([^./]+)$", 1)
 
 
+def glob_of(extension: str) -> str:
+    """Pattern of the names with an extension, in either case."""
+    return "*." + "".join(f"[{c}{c.upper()}]" for c in extension)
+
+
+#: How deep below a folder hidden files are looked for.
+HIDDEN_DEPTH = 6
+
+
+def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(_file, error): files of a supported format that Spark does not read, as their names begin with ``_`` or ``.``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    safe = "".join("\\" + c if c in "\\{}[]*?^" else c for c in folder.rstrip("/"))
+    system = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for depth in range(HIDDEN_DEPTH):
+        for status in system.globStatus(hadoop.Path(safe + "/*" * depth + "/{_,.}*")) or []:
+            name = status.getPath().toString()
+            if status.isFile() and name.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() in FORMATS:
+                found.append((name, "Not read: the name begins with '_' or '.'"))
+    return spark.createDataFrame(found, "_file string, error string")
+
+
 def stored_format(path: Column) -> Column:
     """Format under which a file is stored; null if it is not supported."""
     table = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])

@@ -14,6 +14,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from contactloom.session import stage
 from contactloom.sources.files import position, with_ordinals
-from contactloom.sources.formats import BOM
+from contactloom.sources.formats import BOM, glob_of
 
 ROWS = "_file string, _source_row bigint, raw map<string,string>, error string"
 CHUNK = 5000
@@ -38,9 +39,13 @@ _SPACE = re.compile(r"[ \t\n\r]*")
 _NAMES = {list: "list", bool: "bool", str: "str", int: "int", float: "float", type(None): "NoneType"}
 
 
-def read_records(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
-    """Records and errors of files of one ``kind``, "json" or "xml"."""
-    contents = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_file"), "content")
+def read_records(spark: SparkSession, folder: str, kind: str, glob: str | None = None) -> DataFrame:
+    """Records and errors of the files of one ``kind``, "json" or "xml", below a folder, or of all whose
+    names fit ``glob``. Files above Spark's limit on
+    the content of a file are not opened."""
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob or glob_of(kind)).load(folder)
+    contents = files.where(F.col("length") <= most).select(F.col("_metadata.file_path").alias("_file"), "content")
     return contents.mapInArrow(_reader(JSON if kind == "json" else XML), ROWS)
 
 
@@ -50,10 +55,11 @@ def _reader(parse: Callable[[bytes], Iterable[Found]]):
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.set_int_max_str_digits(0)
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 chunk: list[Found] = []
-                for found in parse(content.as_py()):
+                for found in _guarded(parse(content.as_py())):
                     chunk.append(found)
                     if len(chunk) == CHUNK:
                         yield _batch(name.as_py(), chunk, schema)
@@ -64,11 +70,32 @@ def _reader(parse: Callable[[bytes], Iterable[Found]]):
     return read
 
 
+def _guarded(found: Iterable[Found]) -> Iterator[Found]:
+    """What is found, and an error where the file cannot be read on."""
+    try:
+        yield from found
+    except (ValueError, LookupError, RecursionError) as e:
+        yield None, None, f"File cannot be read: {e}"
+
+
+def _clean(value):
+    """Text without lone surrogates, which JSON can write and UTF-8 cannot."""
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) else value
+
+
+def _maps(raws: list[dict | None]) -> pa.Array:
+    kind = pa.map_(pa.string(), pa.string())
+    try:
+        return pa.array([None if raw is None else list(raw.items()) for raw in raws], kind)
+    except UnicodeEncodeError:
+        return pa.array([None if raw is None else list({_clean(k): _clean(v) for k, v in raw.items()}.items()) for raw in raws], kind)
+
+
 def _batch(name: str, chunk: list[Found], schema: pa.Schema) -> pa.RecordBatch:
     numbers, raws, errors = zip(*chunk, strict=True)
-    maps = [None if raw is None else list(raw.items()) for raw in raws]
-    columns = [[name] * len(chunk), numbers, maps, errors]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    errors = [_clean(e) for e in errors]
+    columns = [pa.array([name] * len(chunk)), pa.array(numbers, pa.int64()), _maps(raws), pa.array(errors, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 # --- JSON -----------------------------------------------------------------------------------------
@@ -151,7 +178,7 @@ def _lines(text: str) -> Iterator[Found]:
         if line.strip():
             try:
                 found.append(json.loads(line))
-            except (json.JSONDecodeError, RecursionError):
+            except (ValueError, RecursionError):
                 bad.append(number)
     if not any(isinstance(value, dict) for value in found):
         yield None, None, "JSON parse error"
@@ -220,10 +247,10 @@ def JSON(content: bytes) -> Iterator[Found]:
         yield None, None, f"Unexpected top-level JSON type: {_NAMES[type(value)]}"
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of line-delimited JSON, which Spark splits: rows (_file, _source_row, raw) are
+def read_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of the line-delimited JSON below a folder, which Spark splits: rows (_file, _source_row, raw) are
     numbered among the lines that parse, errors (_file, error) name the line."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select("value", *position())
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob_of("ndjson")).text(folder).select("value", *position())
     parsed = stage(
         lines.mapInArrow(_line_reader, "_file string, _block bigint, _seq bigint, raw map<string,string>, other string, bad boolean"),
         "lines",
@@ -235,6 +262,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
 
 
 def _line_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.set_int_max_str_digits(0)
     names = ["_file", "_block", "_seq", "raw", "other", "bad"]
     for batch in batches:
         raws, others, bads = [], [], []
@@ -244,15 +272,14 @@ def _line_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if line.strip():
                 try:
                     value = json.loads(line)
-                    raw = list(_flat(value).items()) if isinstance(value, dict) else None
+                    raw = _flat(value) if isinstance(value, dict) else None
                     other = None if isinstance(value, dict) else _NAMES[type(value)]
-                except (json.JSONDecodeError, RecursionError):
+                except (ValueError, RecursionError):
                     bad = True
             raws.append(raw)
             others.append(other)
             bads.append(bad)
-        kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_()]
-        made = [pa.array(c, k) for c, k in zip((raws, others, bads), kinds, strict=True)]
+        made = [_maps(raws), pa.array(others, pa.string()), pa.array(bads, pa.bool_())]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
 
 
@@ -281,7 +308,7 @@ def XML(content: bytes) -> Iterator[Found]:
     tie), numbered among all children."""
     try:
         names = Counter(_local(child.tag) for child in _children(content))
-    except ElementTree.ParseError as e:
+    except (ElementTree.ParseError, ValueError, LookupError) as e:  # also encodings that are not known
         yield None, None, f"XML parse error: {e}"
         return
     if not names:

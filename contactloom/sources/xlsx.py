@@ -12,6 +12,9 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactloom.sources.formats import glob_of
 
 ROWS = "_file string, _source_sheet string, _source_row long, raw map<string,string>, error string"
 CHUNK = 5_000
@@ -163,5 +166,6 @@ def read_xlsx(spark: SparkSession, path: str, all_sheets: bool = False) -> DataF
     """(_file, _source_sheet, _source_row, raw, error): rows of the first or of all sheets;
     rows without values are left out. A workbook that cannot be read gives one error row.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path)
-    return files.select("path", "content").mapInPandas(_reader(all_sheets), ROWS)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob_of("xlsx")).load(path)
+    return files.where(F.col("length") <= most).select("path", "content").mapInPandas(_reader(all_sheets), ROWS)

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from contactloom.integrate import extract, integrate
+from contactloom.integrate import extract, integrate, number_files
 from contactloom.sinks import export
 
 
@@ -146,3 +146,43 @@ def test_csv_line_breaks_as_asked(spark, tmp_path):
         rows, errors = extract(spark, str(tmp_path), multi_line=multi_line)
         assert sorted(r.raw["email"] for r in rows.collect()) == ["a@x.com", "b@x.com"] and errors.count() == 0
     assert integrate(spark, str(tmp_path), multi_line=False).raw.count() == 2
+
+
+def test_names_of_any_characters(spark, tmp_path):
+    for name in ("my contacts", "list[1]", "list{1}", "100%", "a%20b", "é?*", "a+b"):
+        (tmp_path / f"{name}.csv").write_text("email\nx@x.com\n")
+        (tmp_path / f"{name}.JSON").write_text('[{"email": "x@x.com"}]')
+        (tmp_path / f"{name}.xml").write_text("<r><c><email>x@x.com</email></c></r>")
+        (tmp_path / f"{name}.ndjson").write_text('{"email": "x@x.com"}')
+    (tmp_path / "_contacts.csv").write_text("email\nx@x.com\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / ".x.json").write_text("[]")
+    (tmp_path / "_SUCCESS").write_text("")
+    rows, errors = extract(spark, str(tmp_path))
+    assert rows.where("raw['email'] = 'x@x.com'").count() == rows.count() == 28
+    assert {e._file.rsplit("/", 1)[-1] for e in errors.collect()} == {"_contacts.csv", ".x.json"}
+
+
+def test_values_that_break_readers(spark, tmp_path):
+    big = "1" * 5000
+    (tmp_path / "a.json").write_text('[{"email": "a\\ud800b", "\\udc00": 1}, {"n": ' + big + "}]")
+    (tmp_path / "b.ndjson").write_text('{"email": "\\ud83d"}\n{"n": ' + big + "}\n")
+    (tmp_path / "c.xml").write_bytes('<?xml version="1.0" encoding="shift_jis"?><r><c><a>1</a></c></r>'.encode("shift_jis"))
+    (tmp_path / "d.xml").write_text('<?xml version="1.0" encoding="no-such"?><r><c><a>1</a></c></r>')
+    (tmp_path / "e.csv").write_text("email\nok@x.com\n")
+    found, errors = rows_of(spark, tmp_path)
+    assert found["a.json"] == [{"email": "a�b", "�": "1"}, {"n": big}]
+    assert found["b.ndjson"] == [{"email": "�"}, {"n": big}] and found["e.csv"] == [{"email": "ok@x.com"}]
+    assert "d.xml" in {name for name, _ in errors} and {name for name, _ in errors} <= {"c.xml", "d.xml"}
+
+
+def test_numbers_of_many_files(spark):
+    sizes = spark.range(70_000).selectExpr("format_string('f%06d', id) AS _file", "id % 7 + 2 AS top")
+    first = number_files(sizes.where("_file >= 'f000100'"))
+    ids = {r._file: (r.file_id, r.ranges) for r in number_files(sizes.withColumn("top", F.expr("top + 1")), first).collect()}
+    before = {r._file: (r.file_id, r.ranges) for r in first.collect()}
+    assert len(ids) == 70_000 and all(ids[f][0] == n and ids[f][1][: len(r)] == r for f, (n, r) in before.items())
+    assert sorted(n for n, _ in ids.values()) == list(range(1, 70_001))
+    ranges = sorted((r.low, r["size"]) for _, found in ids.values() for r in found)
+    assert all(a + n <= b for (a, n), (b, _) in zip(ranges, ranges[1:], strict=False))
+    assert sum(n for _, n in ranges) == sum(i % 7 + 4 for i in range(70_000))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from contactloom.config import DEFAULT, FORMATS, GOLDEN_FIELDS, Config
 from contactloom.functions import text
 from contactloom.operators import batch, matching, quality, schema
+from contactloom.operators.isolate import Transform, apply_isolated
 from contactloom.operators.lookup import lookup_join
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows, transform_rows, valid_rows, with_issues
@@ -37,8 +38,8 @@ def _union(parts: list[DataFrame], names: list[str], spark: SparkSession, kinds:
 WHOLE = ["json", "xml", "xlsx"]
 
 
-def extract(spark: SparkSession, folder: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of all supported files below a folder, each format read by its
+def extract(spark: SparkSession, folder: str | list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of all supported files below a folder (or of a bounded list of files, as Spark's readers take it), each format read by its
     reader: rows are (_file, _source_row, raw MAP), errors (_file, error). Readers take the folder and tell
     files by their names' endings, so names may hold any character. Files too large to be read
     whole are told from the listing. CSV files are always split; ``multi_line`` is no longer needed."""
@@ -48,7 +49,8 @@ def extract(spark: SparkSession, folder: str, multi_line: bool = True) -> tuple[
     large = F.col("extension").isin(WHOLE) & (F.col("length") > most)
     present = {r.extension for r in listing.select("extension").distinct().collect() if r.extension in FORMATS}
     rows, errors = [], [listing.select("_file", formats.format_error(F.col("_file")).alias("error")).where("error IS NOT NULL")]
-    errors.append(formats.hidden_files(spark, folder))
+    if isinstance(folder, str):
+        errors.append(formats.hidden_files(spark, folder))
     message = F.format_string("File too large to be read whole (%d bytes, limit %d)", "length", F.lit(most))
     errors.append(listing.where(large).select("_file", message.alias("error")))
     if "csv" in present:
@@ -126,9 +128,13 @@ def golden_columns(mapped: DataFrame) -> DataFrame:
     return mapped.select(*KEYS, *[F.try_element_at(entry, F.lit(f)).alias(f) for f in GOLDEN_FIELDS], extra.alias("_extra"))
 
 
-def clean_and_check(mapped: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Golden fields and the other entries cleaned, with the issues of each row."""
-    clean = transform_rows(golden_columns(mapped), KEYS, config, warnings=True)
+def clean_and_check(mapped: DataFrame, config: Config = DEFAULT, transform: Transform | None = None) -> DataFrame:
+    """Golden fields and the other entries cleaned, with the issues of each row. ``transform`` changes batches of the golden
+    fields and of the map ``_extra`` before that; rows for which it fails are flagged."""
+    columns = golden_columns(mapped)
+    if transform is not None:
+        columns = apply_isolated(columns, transform, KEYS)
+    clean = transform_rows(columns, KEYS, config, warnings=True)
     extra = F.map_filter(F.transform_values("_extra", lambda k, v: text.clean(v)), lambda k, v: v.isNotNull())
     clean = clean.withColumn("_cleaned", extra).withColumn("extra_fields", F.when(F.size("_cleaned") > 0, F.col("_cleaned")))
     checked = with_issues(clean.drop("_extra", "_cleaned"), (*KEYS, "_warnings"), config)
@@ -200,6 +206,25 @@ class Integration:
         return quality.quality_report(self.checked, per_file, "file_id")
 
 
+def prepare(
+    spark: SparkSession, extracted: DataFrame, errors: DataFrame, batch_id: int, attributes: list[str] | None = None,
+    config: Config = DEFAULT, known_files: DataFrame | None = None, transform: Transform | None = None,
+) -> Integration:
+    """Rows with their ids, mapped, cleaned, checked and matched within their files."""
+    extracted = stage(extracted, "extracted")
+    sizes = stage(extracted.groupBy("_file").agg(F.max("_source_row").alias("top"), F.count("*").alias("rows")), "sizes")
+    numbered = stage(number_files(sizes.select("_file", "top"), known_files), "files")
+    raw = with_record_ids(extracted, numbered, sizes, batch_id).withColumnRenamed("_source_row", "source_row")
+    raw = stage(raw, "raw")
+    mapped = schema.map_open_rows(raw, config=config)
+    if attributes:
+        wanted = schema.requested_attributes(attributes, config)
+        mapped = mapped.withColumn("mapped", F.map_filter("mapped", lambda k, v: k.isin(wanted)))
+    checked = stage(clean_and_check(mapped, config, transform), "checked")
+    within = stage(matching.first_seen(valid_rows(checked), config.file_match_keys, ["file_id"]), "within")
+    return Integration(raw, numbered, checked, within, errors, batch_id, config)
+
+
 def integrate(
     spark: SparkSession,
     folder: str,
@@ -208,23 +233,14 @@ def integrate(
     config: Config = DEFAULT,
     known_files: DataFrame | None = None,
     multi_line: bool = True,
+    transform: Transform | None = None,
 ) -> Integration:
     """Extract, map, clean, check and match within files; merging follows on demand.
 
     ``attributes`` limits the data to these canonical fields. Files are told apart by
     ``file_id``; all of them are processed in one job. With ``known_files``, the ``files`` of
-    an earlier run of the batch, files and rows keep their ids when others come.
+    an earlier run of the batch, files and rows keep their ids when others come. ``transform`` is
+    the caller's own step on Arrow batches of mapped rows (see ``operators.isolate``).
     """
     extracted, errors = extract(spark, folder, multi_line)
-    extracted = stage(extracted, "extracted")
-    sizes = stage(extracted.groupBy("_file").agg(F.max("_source_row").alias("top"), F.count("*").alias("rows")), "sizes")
-    numbered = stage(number_files(sizes.select("_file", "top"), known_files), "files")
-    raw = with_record_ids(extracted, numbered, sizes, batch_id).withColumnRenamed("_source_row", "source_row")
-    raw = stage(raw, "raw")
-    mapped = schema.map_open_rows(raw, config=config)
-    if attributes:
-        wanted = schema.requested_attributes(attributes, config)
-        mapped = mapped.withColumn("mapped", F.map_filter("mapped", lambda k, v: k.isin(wanted)))
-    checked = stage(clean_and_check(mapped, config), "checked")
-    within = stage(matching.first_seen(valid_rows(checked), config.file_match_keys, ["file_id"]), "within")
-    return Integration(raw, numbered, checked, within, errors, batch_id, config)
+    return prepare(spark, extracted, errors, batch_id, attributes, config, known_files, transform)

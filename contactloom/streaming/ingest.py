@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from contactloom.config import DEFAULT, Config
 from contactloom.operators import matching
 from contactloom.operators.lookup import lookup_join
+from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import transform_rows, with_issues
 from contactloom.session import scratch, stage
+from contactloom.streaming.buckets import BucketLog
 
 
 def run_available(writer, checkpoint: str) -> StreamingQuery:
@@ -40,13 +42,15 @@ def _upsert(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+COUNTS = "window_start timestamp_ntz, event_type string, n bigint, errors bigint"
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
 def running_counts(events: DataFrame, path: str, checkpoint: str, window: str = "1 day", delay: str = "1 hour") -> None:
     """Events per window and type, in UTC whatever the session's time zone. Late events
     within ``delay`` still count; the state of older windows is dropped. Every micro-batch
-    writes the counts that changed."""
+    writes the counts that changed; what they replace is dropped now and then, so that the table
+    stays in proportion to the windows, however many batches there were."""
     if isinstance(events.schema["ts"].dataType, TimestampNTZType):
         # Watermarks need instants.
         events = events.withColumn("ts", F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, ts))"))
@@ -56,14 +60,17 @@ def running_counts(events: DataFrame, path: str, checkpoint: str, window: str =
         .withColumn("window_start", F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {EPOCH})"))
         .select("window_start", "event_type", "n", "errors")
     )
-    run_available(counts.writeStream.outputMode("update").foreachBatch(_upsert(path)), checkpoint)
+    log = _counts(events.sparkSession, path)
+    run_available(counts.writeStream.outputMode("update").foreachBatch(log.append), checkpoint)
+
+
+def _counts(spark: SparkSession, path: str) -> BucketLog:
+    return BucketLog(spark, path, COUNTS, ["window_start", "event_type"], buckets=8, replace=True)
 
 
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
     """The current count per window and type."""
-    changes = spark.read.parquet(path)
-    last = F.max_by(F.struct("n", "errors"), "batch").alias("c")
-    return changes.groupBy("window_start", "event_type").agg(last).select("window_start", "event_type", "c.*")
+    return _counts(spark, path).read()
 
 
 # --- matching against what is already there -------------------------------------------------------
@@ -72,16 +79,11 @@ OWNERS = "key_set int, key string, owner bigint"
 FOUND = "rid bigint, primary_id bigint, key_set int"
 
 
-def _table(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """The parts written by earlier micro-batches."""
-    if before == 0:
-        return spark.createDataFrame([], schema)
-    stored = spark.read.schema(schema + ", batch int").option("basePath", path).parquet(path)
-    return stored.where(F.col("batch") < before).drop("batch")
-
-
-def match_new(rows: DataFrame, owners: DataFrame, key_sets, scope=(), record_id: str = "rid") -> tuple[DataFrame, DataFrame]:
-    """(assignments, new owners) for rows that arrived after all records behind ``owners``.
+def match_new(
+    rows: DataFrame, owners_of: Callable[[DataFrame], DataFrame], key_sets, scope=(), record_id: str = "rid"
+) -> tuple[DataFrame, DataFrame]:
+    """(assignments, new owners) for rows that arrived after all records behind the owners. ``owners_of`` gives
+    the owners of at least the keys (key_set, key) that it is called with.
 
     A new row with a key that is already owned is a duplicate and owns nothing. Only the
     rest is matched among itself, and each new row then takes its first key whose owner
@@ -90,7 +92,7 @@ def match_new(rows: DataFrame, owners: DataFrame, key_sets, scope=(), record_id:
     keyed = stage(matching.keyed(rows, key_sets, scope, record_id), "newkeys")
     new_edges = stage(matching.edges(keyed), "newedges")
     holders = stage(new_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders")), "holders")
-    known = stage(owners.join(holders, ["key_set", "key"]), "known")
+    known = stage(owners_of(holders).join(holders, ["key_set", "key"]), "known")
     taken = lookup_join(new_edges, known, ["key_set", "key"], "holders", counts=holders).select("rid").distinct()
     fresh = stage(matching.key_owners(keyed.join(taken, "rid", "left_anti")), "fresh")
     here = stage(known.unionByName(fresh.join(holders, ["key_set", "key"])), "here")
@@ -102,18 +104,58 @@ def match_new(rows: DataFrame, owners: DataFrame, key_sets, scope=(), record_id:
     return assigned, fresh
 
 
-def merge_incrementally(rows: DataFrame, path: str, checkpoint: str, key_sets, scope=(), record_id: str = "rid") -> None:
+def _refreshed(old: DataFrame, rows: DataFrame, assigned: DataFrame, fields: Sequence[str], record_id: str) -> DataFrame:
+    """Golden records of the clusters that got rows: the fold goes on from the record it had come to.
+
+    The fold's state after some records of a cluster is the merged record itself, so this equals a fold over all
+    of them. A stored record stands first, under the identifier of its cluster's first row.
+    """
+    held = old.select("primary_id", F.col("primary_id").alias("rid"), *fields, F.col("source_count").alias("_count"))
+    mine = rows.withColumnRenamed(record_id, "rid").join(assigned.select("rid", "primary_id"), "rid")
+    members = mine.select("primary_id", "rid", *fields, F.lit(1).cast("bigint").alias("_count")).unionByName(held)
+    folded = golden_fold(members, fields, count=F.col("_count"))
+    before = old.select("primary_id", F.col("base_id").alias("_base"))
+    base = F.when(F.col("base_id") == F.col("primary_id"), F.coalesce("_base", "base_id")).otherwise(F.col("base_id"))
+    return folded.join(before, "primary_id", "left").select("primary_id", base.alias("base_id"), "source_count", *fields)
+
+
+def merge_incrementally(
+    rows: DataFrame, path: str, checkpoint: str, key_sets, scope=(), record_id: str = "rid",
+    fields: Sequence[str] | None = None, buckets: int = 64,
+) -> None:
     """Matches a stream of cleaned rows, ids rising with arrival, against the golden
-    records so far. ``path`` holds the key owners and the assignments."""
+    records so far. ``path`` holds the key owners and the assignments, and with ``fields`` the golden records, of
+    which a micro-batch reads the ``buckets`` its keys and clusters fall into and writes those that change."""
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        owners = _table(spark, f"{path}/owners", OWNERS, number)
+        owners = BucketLog(spark, f"{path}/owners", OWNERS, ["key_set", "key"], buckets)
         with scratch(spark):  # a stream runs for ever, its steps' tables must not stay
-            assigned, fresh = match_new(stage(batch, "arrived"), owners, key_sets, scope, record_id)
-            _upsert(f"{path}/owners")(fresh, number)
+            arrived = stage(batch, "arrived")
+            assigned, fresh = match_new(arrived, lambda keys: owners.read(number, keys), key_sets, scope, record_id)
+            assigned = stage(assigned, "assigned")
+            if fields:
+                golden = _golden_log(spark, path, _golden_type(arrived, fields), buckets)
+                clusters = assigned.select("primary_id").distinct()
+                old = stage(golden.read(number, clusters).join(clusters, "primary_id", "left_semi"), "before")
+                golden.append(_refreshed(old, arrived, assigned, fields, record_id), number)
+            owners.append(fresh, number)
             _upsert(f"{path}/assigned")(assigned, number)
     run_available(rows.writeStream.foreachBatch(each), checkpoint)
 
 
+def _golden_type(rows: DataFrame, fields: Sequence[str]) -> StructType:
+    ids = StructType.fromDDL("primary_id bigint, base_id bigint, source_count bigint")
+    return StructType([*ids.fields, *[rows.schema[f] for f in fields]])
+
+
+def _golden_log(spark: SparkSession, path: str, schema: StructType | None, buckets: int = 64) -> BucketLog:
+    return BucketLog(spark, f"{path}/golden", schema, ["primary_id"], buckets, replace=True)
+
+
+def golden_records(spark: SparkSession, path: str) -> DataFrame:
+    """(primary_id, base_id, source_count, fields...) of all clusters, as of the last complete micro-batch."""
+    return _golden_log(spark, path, None).read()
+
+
 def assignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FOUND + ", batch int").parquet(f"{path}/assigned").drop("batch")

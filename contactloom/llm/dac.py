@@ -134,7 +134,8 @@ def write_ids(
 ) -> DataFrame:
     """Writes the ids of whole texts, each ended by id ``END``; the table of images (start, n_ids, image).
 
-    ``start`` is the number of ids before an image. Null texts count as empty.
+    ``start`` is the number of ids before an image. Null texts count as empty. Rows of one identifier are in the
+    order of their texts' hashes and then of their texts, so the images do not depend on how the rows were dealt.
     """
     spark = docs.sparkSession
     pieces = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -143,7 +144,7 @@ def write_ids(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(vocabulary, TABLE)

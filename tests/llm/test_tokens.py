@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from contactloom.llm.dac import Image, read_documents, write_ids, write_image
 from contactloom.llm.packing import cut_pieces, pack, pack_documents, sequences, shortest_pack_first
@@ -93,6 +94,16 @@ def test_one_identifier_may_fill_many_ranges(spark, documents):
     assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == sorted(r[0] for r in rows)
 
 
+def test_images_do_not_depend_on_how_rows_were_dealt(spark, documents):
+    rows = [(7, f"text {i % 90} of one identifier") for i in range(200)] + [(None, "x"), (None, None), (3, "y")]
+    vocabulary, found = vocabulary_file(WORDS), []
+    for n in (1, 3, 11):
+        dealt = documents(rows).orderBy(F.rand(n)).repartition(n)
+        images = write_ids(dealt, vocabulary)
+        found.append((sorted(bytes(r.image) for r in images.collect()), sorted(map(tuple, read_documents(images).collect()), key=repr)))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 203
+
+
 def test_patterns_use_every_piece_once():
     rng = random.Random(5)
     for width in (8, 100, 2048):

@@ -10,8 +10,8 @@ are edges between URLs, and all URLs connected by such edges are one thing. In a
 explicit allow of any member goes before a block of another one; with neither, the verdict is
 ``DEFAULT``. A page's own rule always goes first. URLs that are only pointed to count as members.
 
-URLs are nodes by host and path with query, without scheme and fragment. Relative targets are
-taken relative to the page. Null URLs, and those without ``://``, have an empty host and path,
+URLs are nodes by host and path with query, without scheme and fragment; an empty path is ``/``, and dot segments are
+resolved. Targets are resolved against the page as RFC 3986 has it, ``&amp;`` in them decoded; those of other kinds (``mailto:``) are none. Null URLs, and those without ``://``, have an empty host and path,
 fit no rule and join no component. Rows that repeat are judged alike; extra columns are ignored.
 """
 
@@ -53,9 +53,22 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """Host, path and query: the same for every scheme and fragment. Null without a host."""
-    rest = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    """Host, path and query: the same for every scheme and fragment, for ``h`` and ``h/``, and for ``/a/./b/../c``
+    and ``/a/c``. Null without a host."""
+    query = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), _without_dots(path_of(url)), query))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` resolved; ``/`` if it is empty."""
+    segments = F.slice(F.split(path, "/", -1), 2, F.length(path) + 1)
+    none = F.array().cast("array<string>")
+    left = F.aggregate(segments, none, lambda done, s: (
+        F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    ))
+    ends = F.when(F.rlike(path, F.lit(r"/\.\.?\z")), F.array(F.lit(""))).otherwise(none)
+    resolved = F.concat(F.lit("/"), F.array_join(F.concat(left, ends), "/"))
+    return F.when(path == "", F.lit("/")).when(F.rlike(path, F.lit(r"/\.\.?(/|\z)")), resolved).otherwise(path)
 
 
 def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -82,15 +95,17 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def _target(base: Column, href: Column) -> Column:
-    """The URL a page points to; relative ones resolved against its own."""
+    """The URL a page points to, resolved against its own; node_of resolves its dot segments."""
     scheme = F.regexp_extract(base, r"(?s)\A(.*?)://", 1)
     root = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
+    own = F.concat(root, path_of(base))
     folder = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
-        F.when(href.contains("://"), href)
+        F.when(F.rlike(href, F.lit(r"\A[A-Za-z][A-Za-z0-9+.\-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
         .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-        .when(href == "", F.lit(None))
+        .when((href == "") | F.startswith(href, F.lit("#")), F.lit(None))
+        .when(F.startswith(href, F.lit("?")), F.concat(own, href))
         .otherwise(F.concat(folder, F.when(F.endswith(folder, F.lit("/")), F.lit("")).otherwise(F.lit("/")), href))
     )
 
@@ -106,7 +121,8 @@ def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     refresh = F.rlike("tag", F.lit(r"(?is)\A<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]*)", 1)
     goal = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?\s*([^\"'\s>]*)", 1)
-    found = each.select("url", F.when(rel, href).when(refresh, goal).alias("href")).where("href IS NOT NULL AND href != ''")
+    said = F.regexp_replace(F.when(rel, href).when(refresh, goal), "(?i)&(?:amp|#38|#x26);", "&")
+    found = each.select("url", said.alias("href")).where("href IS NOT NULL AND href != ''")
     return (
         found.select(node_of(F.col("url")).alias("a"), node_of(_target(F.col("url"), F.col("href"))).alias("b"))
         .where("a IS NOT NULL AND b IS NOT NULL AND a != b")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow.parquet as pq
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from contactloom.llm.automaton import chars, compile_rules, either, many, run, seq, some, word
 from contactloom.llm.quality_gate import FEATURES, RISK, calibrate, features, judge, keep_good, measure, tail
 from contactloom.llm.secrets import KINDS, find, scan
-from contactloom.llm.url_equivalence import Rule, judge_urls
+from contactloom.llm.url_equivalence import Rule, edges, judge_urls
 
 from .conftest import CLASHING, HARD
 
@@ -227,3 +228,32 @@ def test_given_corpus_where_labels_suffice(spark):
     bad = [got[i] for i, q in truth.items() if not q and got[i].stratum == "en"]
     assert sum(not r.kept for r in good) <= 0.02 * len(good)
     assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
+
+
+def plain_node(url):
+    parts = urlsplit(url)
+    path = urlsplit(urljoin("http://h/", "http://h" + parts.path)).path if parts.path else "/"
+    return parts.netloc.lower() + (path or "/") + ("?" + parts.query if parts.query else "")
+
+
+def test_targets_against_a_plain_resolver(spark):
+    """Links of all forms, resolved by the standard library; one page's allow reaches its alias."""
+    bases = ["http://a.net/x/y/z?q=1#f", "https://B.net", "http://c.net/", "http://d.net/one", "http://e.net/x/"]
+    hrefs = ["./p", "../p", "../../../p", "p/./q/../r", "?n=2&amp;m=3", "/abs/../other", "//f.net/q", "http://g.net", "k?u=http://x.net/", "..", ".", "a/b/"]
+    asked = [(b, h) for b in bases for h in hrefs]
+    rows = [(b, f'<link rel="canonical" href="{h}">') for b, h in asked]
+    want = {(plain_node(b), plain_node(urljoin(b, h.replace("&amp;", "&")))) for b, h in asked}
+    got = {tuple(r) for r in edges(pages(spark, rows)).collect()}
+    assert got == {(a, b) for a, b in want if a != b}
+    assert edges(pages(spark, [("http://a.net/", f'<link rel=canonical href="{h}">') for h in ("#x", "mailto:a@b.cd", "http://a.net", "./")])).count() == 0
+    rows = [("http://a.net/en/p", '<link rel="canonical" href="../../x/../ok">'), ("https://a.net/ok", None), ("http://a.net", '<meta http-equiv="refresh" content="0; url=en/p">')]
+    rules = [Rule("block", "a.net", "/ok"), Rule("allow", "a.net", "/none")]
+    assert {r.verdict for r in judge_urls(pages(spark, rows), rules).collect()} == {"block"}
+
+
+def test_many_aliases_of_one_page(spark):
+    """A chain and a star of thousands of pages become one component, which a single block decides."""
+    star = [(f"http://s{i}.net/", '<link rel="canonical" href="http://hub.net/">') for i in range(3000)]
+    chain = [(f"http://hub.net/{i}", f'<link rel="canonical" href="./{i + 1}">') for i in range(300)] + [("http://hub.net/300", '<link rel="canonical" href="..">')]
+    got = judge_urls(pages(spark, star + chain), [Rule("block", "hub.net", "/77")]).collect()
+    assert len(got) == 3301 and {r.verdict for r in got} == {"block"} and {r.component for r in got} == {"hub.net/"}

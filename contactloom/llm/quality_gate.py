@@ -3,20 +3,20 @@
 Two fixed rules reject a document outright: fewer than ``MIN_WORDS`` words, or more than
 half of its words in repeated three-word windows. Every other rule compares a score of the
 document with a cutoff that is chosen from labelled documents, separately in each stratum
-(language). Half of the labels, by a hash of the identifier, propose: for each tolerance, the
-strictest cutoff of each rule that rejects at most that share of their good documents. The
-other half, the holdout, decides: of these sets of cutoffs, the strictest is taken for which an
-exact binomial (Clopper-Pearson) bound proves that all rules together reject at most ``RISK``
-of the good documents: had the true rate been larger, as few rejections among the n good
-documents of the holdout would have a probability below ``ERROR`` divided by the number of all
-tests, over all strata and tolerances (Bonferroni). So with probability 1 - ``ERROR`` no
-stratum loses more than ``RISK`` of its good documents to these rules. A stratum with too few
-labels proves nothing, and its documents face the fixed rules only. Labels of documents that
-fail a fixed rule do not count.
+(language). The labels are halved by a hash of the identifier, and each half proposes to the other one: for each
+tolerance, the strictest cutoff of each rule that rejects at most that share of the proposing half's good documents. The
+other half, the holdout, decides: an exact binomial (Clopper-Pearson) bound must prove that all rules together reject at
+most ``RISK`` of the good documents: had the true rate been larger, as few rejections among the n good documents of the
+holdout would have a probability below the stratum's share of ``ERROR`` (Bonferroni over strata and the two directions;
+within a direction tolerances are tested in rising order until one fails, which needs no correction). So with probability
+1 - ``ERROR`` no stratum loses more than ``RISK`` of its good documents to these rules. Strata with so few labels that
+not even a holdout without any rejection would prove it are told by their counts alone and form one stratum together, of which
+the bound holds as a whole. If that proves nothing either, its documents face the fixed rules only. Labels of documents
+that fail a fixed rule do not count.
 
 Null and empty texts have no words and are rejected. A null stratum is a stratum of its own.
 Labels that are null, repeated or without a document do no harm: a document counts as good if
-all its labels say so, once.
+all its labels say so, once; different texts of one identifier each count.
 """
 
 from __future__ import annotations
@@ -159,25 +159,50 @@ def calibrate(
     asked = labels.select(F.col(label_id).alias("doc_id"), F.col(label).alias("good")).groupBy("doc_id").agg(
         F.min("good").alias("good")
     )
-    known = measured.where(~base_failed()).join(asked.where("good = 1"), "doc_id").dropDuplicates(["doc_id"])
+    # Texts that share an identifier share its label; each distinct one counts, however the rows were dealt.
+    known = measured.where(~base_failed()).join(asked.where("good = 1"), "doc_id").dropDuplicates(["doc_id", "key", "stratum"])
     exceeded = [
         reduce(lambda a, b: a + b, [(F.expr(score) > F.lit(c)).cast("int") for c in cutoffs]).alias(rule)
         for rule, (score, cutoffs) in RULES.items()
     ]
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")
     rows = known.select("stratum", half, *exceeded).groupBy("stratum", "half", *RULES).count().collect()
-    strata = {r.stratum for r in rows}
-    level = error / max(1, len(strata) * len(TOLERANCES))
-    cutoffs: dict[str | None, dict[str, float]] = {}
-    for stratum in strata:
-        halves = [[r for r in rows if r.stratum == stratum and r.half == h] for h in (0, 1)]
-        total = sum(r["count"] for r in halves[1])
-        cutoffs[stratum] = {}
-        for tolerance in TOLERANCES:
-            places = _propose(halves[0], tolerance)
-            hit = sum(r["count"] for r in halves[1] if any(_over(r, rule, at) for rule, at in places.items()))
-            if tail(hit, total, risk) <= level:
-                cutoffs[stratum] = {rule: RULES[rule][1][at] for rule, at in places.items()}
+    labelled = {s: [r for r in rows if r.stratum == s] for s in {r.stratum for r in rows}}
+    level = error / max(1, len(labelled))
+    least = labels_needed(risk, level / 2)
+    short = [s for s, own in labelled.items() if min(_good(own, h) for h in (0, 1)) < least]
+    parts = [([s], own) for s, own in labelled.items() if s not in short]
+    if short:
+        parts.append((short, [r for s in short for r in labelled[s]]))
+    level = error / max(1, len(parts))
+    return {s: cutoffs for members, own in parts for cutoffs in [_certified(own, risk, level)] for s in members}
+
+
+def labels_needed(risk: float, level: float) -> int:
+    """Good labels of which none may exceed a cutoff for it to be certified."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def _good(rows, half: int) -> int:
+    return sum(r["count"] for r in rows if r.half == half)
+
+
+def _certified(rows, risk: float, level: float) -> dict[str, float]:
+    """{rule: cutoff}: each half proposes, the other one certifies at half the error. Tolerances are tested in rising order at the full
+    level until one fails (fixed sequence: no division by their number); of both directions the one that came further counts, then the
+    one whose certifying half exceeds less."""
+    best, cutoffs = None, {}
+    for proposing in (0, 1):
+        own, others = ([r for r in rows if r.half == h] for h in (proposing, 1 - proposing))
+        total = sum(r["count"] for r in others)
+        for step, tolerance in enumerate(TOLERANCES):
+            places = _propose(own, tolerance)
+            hit = sum(r["count"] for r in others if any(_over(r, rule, at) for rule, at in places.items()))
+            if tail(hit, total, risk) > level / 2:
+                break
+            if best is None or (step, -hit) > best:
+                best = (step, -hit)
+                cutoffs = {rule: RULES[rule][1][at] for rule, at in places.items()}
     return cutoffs
 
 

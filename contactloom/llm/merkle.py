@@ -1,15 +1,19 @@
 """Merkle-tree fingerprints of documents, with DataFrame functions only.
 
-A text is cut into paragraphs (lines), and paragraphs into sections: a section ends with a
-paragraph whose hash begins with one of four of the sixteen hexadecimal digits, so the cuts follow the content and
-an insertion changes the sections around it only. The hash of a paragraph is the SHA-256 of its text; of a
-section, of the hashes of its paragraphs; the root, of those of its sections. Equal roots
-mean equal texts. Where roots differ, the first and last sections that differ are opened, and
-the first and last paragraphs that differ in them locate the edit (``changed``).
+A text is cut into paragraphs (lines), paragraphs into chunks of words, and paragraphs are gathered in sections. All
+cuts follow the content, so an edit changes what is around it only: a chunk ends with a word whose MD5 begins with
+one of four of the sixteen hexadecimal digits, and after 16 words at the latest; a section ends with a paragraph
+whose hash begins so. A word is a run of non-blanks with the blanks behind it; each character of scripts
+written without blanks is one. The hash of a chunk is the SHA-256 of its text; of a paragraph, of the hashes of its chunks;
+of a section, of those of its paragraphs; the root, of those of its sections. Equal roots mean equal texts. Where roots
+differ, the first and last sections that differ are opened, and the first and last paragraphs that differ in them
+locate the edit (``changed``).
 
-The fingerprint is the root. The likeness of two trees goes one level below the paragraphs: twice the number
-of sentences that both have, over the sum of their numbers of distinct sentences (1 for equal texts). So two texts of one long
-paragraph each are alike if most of their sentences are.
+The fingerprint is the root. The likeness of two trees is found by descent: sections that agree from either end count
+whole, those between are opened; so are their paragraphs; of the paragraphs that are left, chunks are matched
+wherever they stand, as often as both trees hold them. It is twice the characters matched over the characters of
+both texts, line breaks aside (1 for equal roots, 0 for other texts without characters). What agrees in both may be taken from both
+without changing how much of the rest can be matched, so the descent gives the same as matching all chunks.
 
 A null text counts as empty: one empty paragraph.
 """
@@ -21,17 +25,66 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.common import let, ordered_buckets
 
-#: Ends of sentences, and of cells and other parts that marks set apart.
-SENTENCES = "\n|[.!?;|*#$%&] "
+_BLANK, _DENSE = r" \t\x0B\x0C\r", r"\x{2E80}-\x{10FFFF}"
+
+#: A word with its blanks, at most 64 characters: every character of a line lies in exactly one.
+WORD = rf"[{_DENSE}][{_BLANK}]{{0,32}}|[^{_BLANK}{_DENSE}]{{1,32}}[{_BLANK}]{{0,32}}|[{_BLANK}]{{1,32}}"
+
+#: Words of a chunk at most. With 64 characters a word, the length of a chunk fits the bits that ``keys`` gives it.
+CHUNK_WORDS = 16
+
+_LENGTH_BITS = 12
+_NO_KEYS = "array<bigint>"
+
+
+def _cuts(end: Column) -> Column:
+    """Whether a hash ends what it belongs to: one in four does."""
+    return end < "4"
+
+
+def chunks(paragraph: Column) -> Column:
+    """The chunks of a line, in order; none for an empty line."""
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | _cuts(F.md5(F.get(words, i - 1))))
+
+        def pieces(e: Column, end: Column, k: Column) -> Column:
+            first = F.when(k == 0, 0).otherwise(F.get(e, k - 1))
+            return F.transform(
+                F.sequence(first, end - 1, F.lit(CHUNK_WORDS)),
+                lambda at: F.array_join(F.slice(words, at + 1, F.least(end - at, F.lit(CHUNK_WORDS))), ""),
+            )
+
+        found = let(ends, lambda e: F.flatten(F.transform(e, lambda end, k: pieces(e, end, k))))
+        return F.when(n > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0)), cut)
+
+
+def _weight(keys: Column) -> Column:
+    """Characters of the chunks with these keys."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda n, key: n + key.bitwiseAND((1 << _LENGTH_BITS) - 1))
 
 
 def tree(text: Column) -> Column:
-    """struct(root, sections array<struct<hash, first, paragraphs array<hash>>>) of a text that is not null."""
+    """struct(root, sections array<struct<hash, first, paragraphs array<hash>>>, keys array<array<long>>) of a text
+    that is not null. ``keys`` has a number for each chunk of each paragraph: a hash of its hash, then its length in 12 bits."""
+
+    def paragraph(text: Column) -> Column:
+        found = F.transform(chunks(text), lambda c: F.struct(F.sha2(c, 256).alias("hash"), F.length(c).alias("length")))
+        return let(
+            found,
+            lambda c: F.struct(
+                F.sha2(F.array_join(c.getField("hash"), ""), 256).alias("hash"),
+                F.transform(c, lambda x: F.shiftleft(F.xxhash64(x.hash), _LENGTH_BITS) + x.length).alias("keys"),
+            ),
+        )
 
     def sections(hashes: Column) -> Column:
         n = F.size(hashes)
         numbers = F.sequence(F.lit(1), n)
-        ends = F.filter(numbers, lambda i: (i == n) | (F.substring(F.get(hashes, i - 1), 1, 1) < "4"))
+        ends = F.filter(numbers, lambda i: (i == n) | _cuts(F.get(hashes, i - 1)))
         return let(
             ends,
             lambda e: F.transform(
@@ -48,21 +101,97 @@ def tree(text: Column) -> Column:
             ),
         )
 
-    paragraphs = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
-    return let(
-        let(paragraphs, sections),
-        lambda s: F.struct(F.sha2(F.array_join(s.getField("hash"), ""), 256).alias("root"), s.alias("sections")),
-    )
+    def whole(paragraphs: Column) -> Column:
+        return let(
+            sections(paragraphs.getField("hash")),
+            lambda s: F.struct(
+                F.sha2(F.array_join(s.getField("hash"), ""), 256).alias("root"),
+                s.alias("sections"),
+                paragraphs.getField("keys").alias("keys"),
+            ),
+        )
 
+    return let(F.transform(F.split(text, "\n", -1), paragraph), whole)
 
-def sentences(text: Column) -> Column:
-    """Hashes of the distinct sentences of a text."""
-    return F.array_distinct(F.transform(F.split(text, SENTENCES, -1), lambda s: F.xxhash64(s)))
+
+def _numbered(keys: Column) -> Column:
+    """Keys such that the n-th copy of one differs from its other copies and equals the n-th copy elsewhere."""
+
+    def copies(held: Column, starts: Column, at: Column, k: Column) -> Column:
+        n = F.coalesce(F.get(starts, k + 1), F.size(held)) - at
+        key = F.get(held, at)
+        length = key.bitwiseAND((1 << _LENGTH_BITS) - 1)
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda nth: F.when(nth == 0, key).otherwise(F.shiftleft(F.xxhash64(key, nth), _LENGTH_BITS) + length),
+        )
+
+    def runs(held: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(held) - 1)
+        starts = F.filter(numbers, lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+        return let(starts, lambda s: F.flatten(F.transform(s, lambda at, k: copies(held, s, at, k))))
+
+    return F.when(F.size(keys) > 0, let(F.sort_array(keys), runs)).otherwise(F.array().cast(_NO_KEYS))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of ``sentences``: 0 to 1."""
-    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    """Of two trees: 0 to 1."""
+
+    def between(own: Column, other: Column) -> Column:
+        """struct(head, tail): how many members agree from the beginning, and of the rest from the end."""
+        rest = F.least(F.size(own), F.size(other))
+        return let(
+            _alike(own, other),
+            lambda head: F.struct(
+                head.alias("head"), F.least(_alike(F.reverse(own), F.reverse(other)), rest - head).alias("tail")
+            ),
+        )
+
+    def opened(members: Column, same: Column) -> Column:
+        return F.slice(members, same.getField("head") + 1, F.size(members) - same.getField("head") - same.getField("tail"))
+
+    def paragraphs(tree: Column, same: Column) -> Column:
+        """struct(hashes, keys) of the paragraphs of the sections that are opened."""
+        return let(
+            F.flatten(F.transform(opened(tree.getField("sections"), same), lambda s: s.paragraphs)),
+            lambda hashes: F.struct(
+                hashes.alias("hashes"),
+                F.slice(
+                    tree.getField("keys"),
+                    F.coalesce(F.get(tree.getField("sections"), same.getField("head")).getField("first"), F.lit(0)) + 1,
+                    F.size(hashes),
+                ).alias("keys"),
+            ),
+        )
+
+    def left(own: Column, other: Column) -> Column:
+        """struct(own, other): keys of the chunks of the paragraphs that are opened."""
+        return let(
+            between(own.getField("hashes"), other.getField("hashes")),
+            lambda same: F.struct(
+                F.flatten(opened(own.getField("keys"), same)).alias("own"),
+                F.flatten(opened(other.getField("keys"), same)).alias("other"),
+            ),
+        )
+
+    def hashes(tree: Column) -> Column:
+        return tree.getField("sections").getField("hash")
+
+    def share(own: Column, other: Column, total: Column) -> Column:
+        """``total``: characters of both. All are matched but those of opened paragraphs without a partner."""
+        matched = _weight(F.array_intersect(_numbered(own), _numbered(other)))
+        return F.when(total > 0, (total - _weight(own) - _weight(other) + 2 * matched) / total).otherwise(0.0)
+
+    total = _weight(F.flatten(a.getField("keys"))) + _weight(F.flatten(b.getField("keys")))
+    rest = let(
+        between(hashes(a), hashes(b)),
+        lambda same: let(
+            F.struct(paragraphs(a, same).alias("a"), paragraphs(b, same).alias("b")),
+            lambda p: left(p.getField("a"), p.getField("b")),
+        ),
+    )
+    found = let(rest, lambda r: let(total, lambda n: share(r.getField("own"), r.getField("other"), n)))
+    return F.when(a.getField("root") == b.getField("root"), 1.0).otherwise(found)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -102,10 +231,9 @@ def changed(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, sections, sentences), a row for each of ``docs``."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(doc_id).alias("doc_id"), tree(content).alias("tree"), sentences(content).alias("sentences"))
-    return found.select("doc_id", F.col("tree.root").alias("fingerprint"), F.col("tree.sections").alias("sections"), "sentences")
+    """(doc_id, fingerprint, sections, keys), a row for each of ``docs``: the tree that the fingerprint is the root of."""
+    found = docs.select(F.col(doc_id).alias("doc_id"), tree(F.coalesce(F.col(text), F.lit(""))).alias("tree"))
+    return found.select("doc_id", F.col("tree.root").alias("fingerprint"), "tree.sections", "tree.keys")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,9 +283,7 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         "edited",
         tree(F.col("text")).alias("tree"),
         tree(F.col("edited")).alias("edited_tree"),
-        sentences(F.col("text")).alias("own"),
-        sentences(F.col("edited")).alias("own_edited"),
-        sentences(F.col("next_text")).alias("own_next"),
+        tree(F.col("next_text")).alias("next_tree"),
     )
     where = changed(F.col("tree"), F.col("edited_tree"))
     return trees.select(
@@ -166,8 +292,8 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         "edited",
         F.col("tree.root").alias("fingerprint"),
         F.col("edited_tree.root").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("own_edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("own_next")).alias("near_next"),
+        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
+        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
         where.getField("first").alias("first_changed"),
         where.getField("last").alias("last_changed"),
     )

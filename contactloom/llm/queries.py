@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from contactloom.llm.byte_bpe import digest_documents
 from contactloom.llm.dac import read_documents, write_ids
 from contactloom.llm.line_runs import drop_repeated_lines
-from contactloom.llm.merkle import edited
+from contactloom.llm.merkle import CHUNK_WORDS, WORD, edited
 from contactloom.llm.mixing import mix
 from contactloom.llm.packing import pack_documents
 from contactloom.llm.phrases import collocations
@@ -51,30 +51,44 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
 
 
-def _duck_tree(text: str) -> str:
-    """(hashes of paragraphs, root) in DuckDB; a section ends where a hash begins with 0 to 3."""
-    return f"""
-  SELECT *, sha256(array_to_string(list_transform(list_filter(range(1, len(p) + 1),
-              lambda i: i = len(p) OR p[i][1] < '4'), lambda e: sha256(array_to_string(
-                p[coalesce(list_max(list_filter(range(1, e), lambda j: p[j][1] < '4')), 0) + 1:e], ''))), '')) AS root
-  FROM (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: sha256(x)) AS p,
-               list_distinct(regexp_split_to_array({text}, '\n|[.!?;|*#$%&] ')) AS s FROM n)"""
-
-
-_add(op2_merkle, f"""
+_add(op2_merkle, rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt
       FROM d),
 n AS (SELECT doc_id, text, nxt, text[1:length(text) - length(text) // 4] || nxt[1:length(text) // 4] AS edited FROM o),
-a AS ({_duck_tree("text")}),
-b AS ({_duck_tree("edited")}),
-c AS ({_duck_tree("nxt")}),
-z AS (SELECT n.doc_id, n.text, n.edited, a.root AS fingerprint, b.root AS edited_fingerprint, a.p AS p, b.p AS q,
-             a.s AS s, b.s AS t, c.s AS u
-      FROM n JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id))
+v AS (SELECT doc_id, 'a' AS kind, text AS body FROM n UNION ALL SELECT doc_id, 'b', edited FROM n
+      UNION ALL SELECT doc_id, 'c', nxt FROM n),
+p AS (SELECT doc_id, kind, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line
+      FROM (SELECT doc_id, kind, string_split(body, chr(10)) AS parts FROM v)),
+w AS (SELECT doc_id, kind, i, unnest(range(1, len(words) + 1)) AS j, unnest(words) AS word
+      FROM (SELECT doc_id, kind, i, regexp_extract_all(line, '{WORD}') AS words FROM p)),
+g AS (SELECT *, coalesce(sum((md5(word) < '4')::INT) OVER (PARTITION BY doc_id, kind, i ORDER BY j
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM w),
+k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, kind, i, run ORDER BY j) - 1) // {CHUNK_WORDS} AS piece FROM g),
+u AS (SELECT doc_id, kind, i, min(j) AS j, string_agg(word, '' ORDER BY j) AS chunk FROM k
+      GROUP BY doc_id, kind, i, run, piece),
+h AS (SELECT p.doc_id, p.kind, p.i, sha256(coalesce(string_agg(sha256(u.chunk), '' ORDER BY u.j), '')) AS hash
+      FROM p LEFT JOIN u ON p.doc_id = u.doc_id AND p.kind = u.kind AND p.i = u.i GROUP BY p.doc_id, p.kind, p.i),
+e AS (SELECT *, coalesce(sum((hash < '4')::INT) OVER (PARTITION BY doc_id, kind ORDER BY i
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section FROM h),
+s AS (SELECT doc_id, kind, section, sha256(string_agg(hash, '' ORDER BY i)) AS hash FROM e GROUP BY doc_id, kind, section),
+r AS (SELECT doc_id, kind, sha256(string_agg(hash, '' ORDER BY section)) AS root FROM s GROUP BY doc_id, kind),
+t AS (SELECT doc_id, max(root) FILTER (kind = 'a') AS a, max(root) FILTER (kind = 'b') AS b, max(root) FILTER (kind = 'c') AS c
+      FROM r GROUP BY doc_id),
+q AS (SELECT doc_id, kind, list(hash ORDER BY i) AS p FROM h GROUP BY doc_id, kind),
+c AS (SELECT doc_id, length(chunk) AS size, count(*) FILTER (kind = 'a') AS a, count(*) FILTER (kind = 'b') AS b,
+             count(*) FILTER (kind = 'c') AS c FROM u GROUP BY doc_id, chunk),
+m AS (SELECT doc_id, sum(size * least(a, b)) AS ab, sum(size * least(a, c)) AS ac, sum(size * a) AS a, sum(size * b) AS b,
+             sum(size * c) AS c FROM c GROUP BY doc_id),
+z AS (SELECT n.doc_id, n.text, n.edited, t.a AS fingerprint, t.b AS edited_fingerprint, t.c AS next_fingerprint,
+             x.p AS p, y.p AS q, m.ab, m.ac, m.a, m.b, m.c
+      FROM n JOIN t USING (doc_id) JOIN q AS x ON x.doc_id = n.doc_id AND x.kind = 'a'
+      JOIN q AS y ON y.doc_id = n.doc_id AND y.kind = 'b' LEFT JOIN m ON m.doc_id = n.doc_id)
 SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-       2.0::DOUBLE * len(list_intersect(s, t)) / (len(s) + len(t)) AS near_edited,
-       2.0::DOUBLE * len(list_intersect(s, u)) / (len(s) + len(u)) AS near_next,
+       CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN a + b > 0 THEN (2 * ab)::DOUBLE / (a + b)::DOUBLE
+            ELSE 0.0::DOUBLE END AS near_edited,
+       CASE WHEN fingerprint = next_fingerprint THEN 1.0::DOUBLE WHEN a + c > 0 THEN (2 * ac)::DOUBLE / (a + c)::DOUBLE
+            ELSE 0.0::DOUBLE END AS near_next,
        CASE WHEN fingerprint <> edited_fingerprint THEN coalesce(list_min(list_filter(range(1, len(p) + 1),
          lambda i: p[i] IS DISTINCT FROM q[i])), len(p) + 1) - 1 END::INT AS first_changed,
        CASE WHEN fingerprint <> edited_fingerprint THEN coalesce(list_max(list_filter(range(1, len(p) + 1),

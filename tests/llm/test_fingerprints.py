@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from contactloom.llm.components import components
-from contactloom.llm.merkle import changed, edited, fingerprints, likeness, sentences, tree
+from contactloom.llm.merkle import changed, edited, fingerprints, likeness, tree
 from contactloom.llm.simhash import fingerprint, keep_one_each, link, near_duplicates
 
 from .conftest import HARD
@@ -18,9 +19,33 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def plain_chunks(line):
+    """Chunks of a line, read character by character."""
+    words, blanks = [], " \t\x0b\x0c\r"
+    for ch in line:
+        dense = ord(ch) >= 0x2E80
+        last = words[-1] if words else ""
+        body = last.rstrip(blanks)
+        if ch in blanks:
+            fits = last and len(last) - len(body) < 32
+        else:
+            fits = last and last == body and not dense and ord(last[0]) < 0x2E80 and len(last) < 32
+        if fits:
+            words[-1] += ch
+        else:
+            words.append(ch)
+    found, own = [], []
+    for i, word in enumerate(words):
+        own.append(word)
+        if hashlib.md5(word.encode()).hexdigest()[0] in "0123" or len(own) == 16 or i == len(words) - 1:
+            found.append("".join(own))
+            own = []
+    return found
+
+
 def plain_root(text):
     sections, own = [], []
-    paragraphs = [sha(p) for p in (text or "").split("\n")]
+    paragraphs = [sha("".join(sha(c) for c in plain_chunks(p))) for p in (text or "").split("\n")]
     for i, p in enumerate(paragraphs):
         own.append(p)
         if p[0] in "0123" or i == len(paragraphs) - 1:
@@ -29,6 +54,14 @@ def plain_root(text):
     return sha("".join(sections))
 
 
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    own, other = (Counter(c for p in t.split("\n") for c in plain_chunks(p)) for t in (a, b))
+    total = sum(len(c) * n for held in (own, other) for c, n in held.items())
+    return 2 * sum(len(c) * n for c, n in (own & other).items()) / total if total else 0.0
+
+
 def test_roots_tell_texts_apart(spark, documents):
     rows = [(i, "\n".join(f"paragraph {j * (i % 7)}" for j in range(i % 30))) for i in range(200)]
     got = {r.doc_id: r.fingerprint for r in fingerprints(documents(rows)).collect()}
@@ -56,10 +89,29 @@ def test_changes_are_located(spark):
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
 
 
-def test_likeness(spark):
-    df = spark.createDataFrame([("One. Two. Three", "One. Two. Four"), ("a", "a"), ("a", "b"), ("", "")], "a string, b string")
-    got = [r.x for r in df.select(likeness(sentences(F.col("a")), sentences(F.col("b"))).alias("x")).collect()]
-    assert got == pytest.approx([2 / 3, 1.0, 0.0, 1.0])
+def test_likeness_is_that_of_all_chunks(spark):
+    rng = random.Random(5)
+    words = ["the", "of", "a", "é", "日本", "x" * 70, "🎉", "end.", " " * 70, "\t"]
+    texts = ["", "\n", "a", "日本語" * 500, "same " * 900, "same " * 900 + "other", " ".join(f"w{i}" for i in range(3000))]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", "", "\n", " "]) for _ in range(rng.randrange(90))) for _ in range(80)]
+    pairs = [(a, b) for a in texts[:12] for b in texts[:12]]
+    for text in texts:  # an edit in the middle, a moved and a repeated part, a cut end
+        at = rng.randrange(len(text) + 1)
+        pairs += [(text, text[:at] + " new " + text[at:]), (text, text[at:] + text[:at]), (text, text + text), (text, text[: len(text) * 3 // 4])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    trees = df.select("i", tree(F.col("a")).alias("a"), tree(F.col("b")).alias("b"))
+    got = {r.i: r for r in trees.select("i", "a.root", likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert all(got[i].root == plain_root(a) for i, (a, _) in enumerate(pairs))
+    assert [got[i].x for i in range(len(pairs))] == pytest.approx([plain_likeness(a, b) for a, b in pairs])
+
+
+def test_texts_without_sentences_stay_near_their_edits(spark, documents):
+    rng = random.Random(9)
+    prose = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 400, 20_000)]
+    dense = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(3000))
+    rows = list(enumerate([*prose, dense, "la " * 5000]))
+    got = edited(documents(rows)).collect()
+    assert all(r.near_edited > 0.55 and r.near_next < 0.05 for r in got)
 
 
 def test_edited_pairs_with_every_next_document(spark, documents):
@@ -76,7 +128,7 @@ def test_edited_pairs_with_every_next_document(spark, documents):
         r = got[name]
         assert (r.n_chars, r.edited) == (len(text), want)
         assert (r.fingerprint, r.edited_fingerprint) == (plain_root(text), plain_root(want))
-        assert 0 <= r.near_next <= 1 and (r.near_edited == 1.0 or text != want)
+        assert (r.near_edited, r.near_next) == pytest.approx((plain_likeness(text, want), plain_likeness(text, following)))
 
 
 def test_merkle_hard_rows_and_empty_table(spark, documents, queried):

@@ -13,7 +13,8 @@ has been counted in, so none counts twice. Nothing else is sent to the tasks. Wi
 phrase is counted once, and counts meet by key, so no frequent word or pair fills a task.
 
 While counting, a phrase is 64 and 32 bits of a hash of its language and words. A last scan names those
-that reached the threshold; scores and ranks are then computed by exact decimal arithmetic on strings.
+that reached the threshold, in three parts: what a part has named is no longer looked for in the next, so that a
+phrase gives a few rows and not one for each task. The last part is all texts that are left. Scores and ranks are then computed by exact decimal arithmetic on strings.
 
 Null texts count as empty, a null language as "und". Repeated rows count each time. Empty tables give no rows.
 """
@@ -21,6 +22,7 @@ Null texts count as empty, a null language as "und". Repeated rows count each ti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ SHARDS = 3
 FILTER_BITS = 1 << 25
 #: Bytes of text that are counted at once.
 BUFFER = 8 << 20
+#: Ends of the parts of the texts in which names are looked for, in 64ths.
+NAMING = (1, 8, 64)
 #: Ranges that a language's candidates are ranked in before all of them are.
 SLICES = 64
 
@@ -166,8 +170,9 @@ def _count(texts: DataFrame, single: bool, every: np.ndarray | None, recent: np.
     return texts.select("lang", "text").mapInArrow(scan, "a long, b int, n long")
 
 
-def _named(texts: DataFrame, every: np.ndarray) -> DataFrame:
-    """(a, b, lang, phrase, n): phrases in ``every``, words among them; without keys, the words of each language."""
+def _named(texts: DataFrame, every: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """(a, b, lang, phrase, n): phrases in ``wanted``, words among them, whose parts are in ``every``; without keys,
+    the words of each language."""
     schema = "a long, b int, lang string, phrase string, n long"
     names = ["a", "b", "lang", "phrase", "n"]
 
@@ -183,11 +188,11 @@ def _named(texts: DataFrame, every: np.ndarray) -> DataFrame:
             for lang, own in _by_language(batch):
                 found = Phrases(own, lang)
                 yield rows(lang, [None], [None], [None], [len(found.numbers)])
-                at = np.flatnonzero(_has(every, found.own[:, 0]))
+                at = np.flatnonzero(_has(wanted, found.own[:, 0]))
                 a, b = found.own[at, 0].copy().view(np.int64), _short(found.own[at, 1], 1)
                 yield rows(lang, a, b, [found.words[i].decode() for i in at.tolist()], np.ones(len(at), np.int64))
                 for length, at, a, b in found.levels(every, None):
-                    hit = _has(every, a)
+                    hit = _has(wanted, a)
                     at, a, b = at[hit], a[hit], _short(b[hit], length)
                     if len(at):
                         one, counts = distinct(a, b)
@@ -245,8 +250,10 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f) of all phrases of 1 to 5 words with ``least`` occurrences, (lang, n) words per language)."""
     content, kind = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(lang), F.lit("und"))
-    dealt = F.pmod(F.xxhash64(content, F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    texts = stage(docs.select(kind.alias("lang"), content.alias("text"), dealt.alias("shard")), "shards", by="shard")
+    dealt = docs.select(kind.alias("lang"), content.alias("text"), F.xxhash64(content, F.monotonically_increasing_id()).alias("h"))
+    shard = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
+    part = F.pmod(F.shiftrightunsigned("h", 8), F.lit(NAMING[-1])).cast("int").alias("part")
+    texts = stage(dealt.select("lang", "text", part, shard), "shards", by="shard")
     totals, step, every, recent = None, 0, None, None
     while step < shards or recent is not None:
         shard = texts.where(F.col("shard") == step % shards)
@@ -257,11 +264,20 @@ def frequent_phrases(
         part = totals.where(F.col("reached").isNotNull() & (F.col("b").bitwiseAND(F.lit(KIND)) < LONGEST))
         every, recent = _bitmaps(part, step - shards, filter_bits)
     reached = totals.where("reached IS NOT NULL")
+    none = np.zeros(filter_bits // 8, np.uint8)
     every, _ = _bitmaps(reached, 0, filter_bits)
-    named = _named(texts, np.zeros(filter_bits // 8, np.uint8) if every is None else every)
-    named = stage(named.groupBy("a", "b", "lang", "phrase").agg(F.sum("n").alias("n")), "named")
-    sizes = named.where("a IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    found = named.join(reached.select("a", "b", "f"), ["a", "b"]).select("lang", "phrase", F.col("b").bitwiseAND(F.lit(KIND)).alias("k"), "f")
+    left, met, sizes = reached, [], []
+    for low, high in zip((0, *NAMING), NAMING, strict=False):
+        wanted, _ = _bitmaps(left, 0, filter_bits)
+        those = texts.where((F.col("part") >= low) & (F.col("part") < high))
+        named = _named(those, none if every is None else every, none if wanted is None else wanted)
+        named = stage(named.groupBy("a", "b", "lang", "phrase").agg(F.sum("n").alias("n")), "named")
+        sizes.append(named.where("a IS NULL").select("lang", "n"))
+        met.append(named.join(left.select("a", "b", "f"), ["a", "b"]).select("lang", "phrase", F.col("b").bitwiseAND(F.lit(KIND)).alias("k"), "f"))
+        if high < NAMING[-1]:
+            left = stage(left.join(named.select("a", "b"), ["a", "b"], "left_anti"), "unnamed")
+    sizes = reduce(DataFrame.unionAll, sizes).groupBy("lang").agg(F.sum("n").alias("n"))
+    found = reduce(DataFrame.unionAll, met)
     found = stage(found, "frequent")
     discard(texts)
     discard(totals)

@@ -131,7 +131,7 @@ def _short(second: np.ndarray, length: int) -> np.ndarray:
 
 def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of one of each key, how often it occurs)."""
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)  # which of equal keys comes first does not matter
     a, b = first[order], second[order]
     new = a[1:] != a[:-1]
     if (~new & (b[1:] != b[:-1])).any():  # equal in one key only

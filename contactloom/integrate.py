@@ -17,7 +17,7 @@ from contactloom.operators.lookup import lookup_join
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows, transform_rows, valid_rows, with_issues
 from contactloom.session import stage
-from contactloom.sources import delimited, formats, records, xlsx
+from contactloom.sources import delimited, formats, records, streams, xlsx
 
 ROW = ["_file", "_source_row", "raw"]
 KEYS = ("file_id", "source_row", "rid")
@@ -34,8 +34,9 @@ def _union(parts: list[DataFrame], names: list[str], spark: SparkSession, kinds:
     return out
 
 
-#: Formats whose files are read whole, so that Spark's limit on the content of a file holds for them.
-WHOLE = ["json", "xml", "xlsx"]
+#: Formats whose files one task reads, for which a limit on the content of a file holds. Workbooks are held whole, so Spark's
+#: own limit is theirs; the others are read as streams, and only a limit that was set is theirs.
+STREAMED = ["json", "xml"]
 
 
 def extract(spark: SparkSession, folder: str | list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +47,10 @@ def extract(spark: SparkSession, folder: str | list[str], multi_line: bool = Tru
     listing = stage(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
         F.col("_metadata.file_path").alias("_file"), formats.extension(F.col("path")).alias("extension"), "length"), "listing")
     most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    large = F.col("extension").isin(WHOLE) & (F.col("length") > most)
+    of_stream = streams.most_bytes(spark, folder)
+    large = (F.col("extension") == "xlsx") & (F.col("length") > most)
+    if of_stream is not None:
+        large = large | F.col("extension").isin(STREAMED) & (F.col("length") > of_stream)
     present = {r.extension for r in listing.select("extension").distinct().collect() if r.extension in FORMATS}
     rows, errors = [], [listing.select("_file", formats.format_error(F.col("_file")).alias("error")).where("error IS NOT NULL")]
     if isinstance(folder, str):
@@ -57,7 +61,7 @@ def extract(spark: SparkSession, folder: str | list[str], multi_line: bool = Tru
         read, bad = delimited.read_delimited(spark, folder)
         rows.append(read)
         errors.append(bad)
-    for kind in ("json", "xml"):
+    for kind in STREAMED:
         if kind in present:
             read = stage(records.read_records(spark, folder, kind), kind)
             rows.append(read.where("error IS NULL"))

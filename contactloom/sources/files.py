@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.functions import text
+from contactloom.sources import streams
 from contactloom.sources.formats import BOM
 from contactloom.session import stage
 
@@ -291,40 +293,45 @@ def flatten(df: DataFrame) -> DataFrame:
 
 # --- XML ------------------------------------------------------------------------------------------
 
+_CHILDREN = "_file string, position long, tag string, nth long, error string"
+CHUNK = 50_000
+
+
+def _tags(opened: streams.Opened) -> Iterator[tuple]:
+    """(position, tag, nth of its tag, error) of the children of the root, in order. The document is first read through
+    once, so that a parse error gives one row and no children."""
+    try:
+        count = sum(1 for _ in streams.children(opened))
+    except ElementTree.ParseError as e:
+        yield None, None, None, f"XML parse error: {e}"
+        return
+    if not count:
+        yield None, None, None, "Could not detect record element in XML"
+    seen = Counter()
+    for position, child in enumerate(streams.children(opened), 1):
+        tag = child.tag.rsplit("}", 1)[-1]
+        seen[tag] += 1
+        yield position, tag, seen[tag], None
+
+
 def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tags of the children of each document's root, in order; a parse error gives one row."""
+    def frame(key, found):
+        out = pd.DataFrame(found, columns=["position", "tag", "nth", "error"])
+        out.insert(0, "_file", key)
+        return out.astype({"position": "Int64", "nth": "Int64"})
+
     for batch in batches:
-        found = []
-        for key, content in zip(batch["_file"], batch["content"]):
-            tags, seen, depth = [], Counter(), 0
-            try:
-                parser = ElementTree.XMLPullParser(["start", "end"])
-                parser.feed(content)
-                parser.close()
-                for event, element in parser.read_events():
-                    if event == "start":
-                        if depth == 1:
-                            tag = element.tag.rsplit("}", 1)[-1]
-                            seen[tag] += 1
-                            tags.append((tag, seen[tag]))
-                        depth += 1
-                    else:
-                        depth -= 1
-            except ElementTree.ParseError as e:
-                found.append((key, None, None, None, f"XML parse error: {e}"))
-                continue
-            found += [(key, n, tag, nth, None) for n, (tag, nth) in enumerate(tags, 1)]
-            if not tags:
-                found.append((key, None, None, None, "Could not detect record element in XML"))
-        out = pd.DataFrame(found, columns=["_file", "position", "tag", "nth", "error"])
-        yield out.astype({"position": "Int64", "nth": "Int64"})
+        for key, path, content in zip(batch["_file"], batch["path"], batch["content"], strict=True):
+            rows = _tags(streams.opener(path, content))
+            while found := list(islice(rows, CHUNK)):
+                yield frame(key, found)
 
 
 def xml_children(contents: DataFrame) -> DataFrame:
-    """(_file, position, tag, nth of its tag, error) from (_file, content)."""
-    return contents.select("_file", "content").mapInPandas(
-        _children, "_file string, position long, tag string, nth long, error string"
-    )
+    """(_file, position, tag, nth of its tag, error) from (_file, content), or (_file, path, content) where
+    ``content`` is null for files that tasks open."""
+    path = "path" if "path" in contents.columns else F.lit(None).cast("string").alias("path")
+    return contents.select("_file", path, "content").mapInPandas(_children, _CHILDREN)
 
 
 def xml_record_tags(children: DataFrame) -> DataFrame:
@@ -351,8 +358,7 @@ def read_xml_folder(
     """({record tag: records}, errors). The tag is found per file unless it is given, and
     each tag is read once; records are numbered among all children of the root. A file
     that is no XML as a whole gives its error and no records."""
-    contents = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_file"), "content")
-    children = stage(xml_children(contents), "children")
+    children = stage(xml_children(streams.file_rows(spark, paths)), "children")
     good = children.where("error IS NULL")
     chosen = good.select("_file").distinct().withColumn("record_tag", F.lit(record_tag)) if record_tag else xml_record_tags(good)
     chosen = stage(chosen, "tags")

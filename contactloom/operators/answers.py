@@ -15,8 +15,8 @@ from contactloom.operators.matching import SEPARATOR
 from contactloom.session import stage
 
 DEFAULT_LIMIT, MAX_LIMIT = 10, 50
-#: Longest substrings of the phrase index.
-GRAM = 3
+#: Lengths of the substrings of the phrase index. Long ones are rare, so that phrases that differ late share few values.
+GRAMS = (0, 1, 2, 3, 4, 6, 8, 12, 16)
 
 # Words of the intents.
 COUNT_PHRASES = ["how many", "count", "number of customers"]
@@ -87,11 +87,12 @@ def phrase_hits(values: DataFrame, phrases: DataFrame, whole: bool = False) -> D
     """(id, argument): which of the values (id, texts ARRAY) hold which phrases (argument).
 
     An index by substrings: the longest literal part of a phrase is cut into substrings of
-    three characters (fewer if it is shorter), of which the one that fewest values have is
+    the greatest length in ``GRAMS`` that fits, of which the one that fewest values have is
     joined with the same substrings of the values. Only these pairs are compared.
     """
     longest = F.array_max(F.transform(F.split("argument", "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))
-    asked = stage(phrases.select("argument", longest["part"].alias("part"), F.least(longest["n"], F.lit(GRAM)).alias("size")), "asked")
+    size = F.coalesce(*[F.when(longest["n"] >= n, F.lit(n)) for n in reversed(GRAMS)])
+    asked = stage(phrases.select("argument", longest["part"].alias("part"), size.alias("size")), "asked")
     sizes = [r.size for r in asked.select("size").distinct().collect()]
     if not sizes:
         return values.select("id", F.lit("").alias("argument")).limit(0)
@@ -124,8 +125,13 @@ def _found(golden: DataFrame, keyed: DataFrame) -> DataFrame:
     def of(intent: str) -> DataFrame:
         return keyed.where(F.col("intent") == intent).select(F.col("key").alias("argument")).distinct()
 
-    texts = F.array_compact(F.array(*[F.lower(f) for f in ANSWER_SEARCH_FIELDS]))
-    searched = phrase_hits(golden.select("id", texts.alias("texts")), of("search"))
+    # Phrases are looked up among the distinct texts; of each text that is hit, its first records are enough.
+    texts = F.array_distinct(F.array_compact(F.array(*[F.lower(f) for f in ANSWER_SEARCH_FIELDS])))
+    held = golden.select("id", F.explode(texts).alias("text"))
+    values = held.select("text").distinct().select(F.col("text").alias("id"), F.array("text").alias("texts"))
+    hits = stage(phrase_hits(values, of("search")).withColumnRenamed("id", "text"), "hits")
+    holders = _first_ids(held.join(hits.select("text").distinct(), "text", "left_semi"), ["text"])
+    searched = holders.join(hits, "text").select("id", "argument").distinct()
     in_city = golden.where("city IS NOT NULL").select("id", F.lower("city").alias("city"))
     plain, wild = of("city_filter").where("NOT argument RLIKE '[%_]'"), of("city_filter").where("argument RLIKE '[%_]'")
     cities = in_city.select("city").distinct().select(F.col("city").alias("id"), F.array("city").alias("texts"))

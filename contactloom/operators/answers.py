@@ -5,6 +5,8 @@ Intents, first that applies: invalid (blank), count, duplicates, city_filter, se
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,10 +115,10 @@ def phrase_hits(values: DataFrame, phrases: DataFrame, whole: bool = False) -> D
     ).select("id", "argument")
 
 
-def _first_ids(hits: DataFrame, by: list[str]) -> DataFrame:
+def _first_ids(hits: DataFrame, by: list[str], order: Sequence[str] = ("id",)) -> DataFrame:
     """The first ids per argument. ``row_number() <= k`` is cut within every task before
     the shuffle, so an argument that hits everything moves only k rows per task."""
-    window = W.partitionBy(*by).orderBy("id")
+    window = W.partitionBy(*by).orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= MAX_LIMIT)
 
 
@@ -127,11 +129,13 @@ def _found(golden: DataFrame, keyed: DataFrame) -> DataFrame:
 
     # Phrases are looked up among the distinct texts; of each text that is hit, its first records are enough.
     texts = F.array_distinct(F.array_compact(F.array(*[F.lower(f) for f in ANSWER_SEARCH_FIELDS])))
-    held = golden.select("id", F.explode(texts).alias("text"))
+    # Ids may repeat: a record counts once, however many of its texts are hit, and each record of an id counts.
+    numbered = golden.select("id", F.monotonically_increasing_id().alias("_row"), texts.alias("texts"))
+    held = numbered.select("id", "_row", F.explode("texts").alias("text"))
     values = held.select("text").distinct().select(F.col("text").alias("id"), F.array("text").alias("texts"))
     hits = stage(phrase_hits(values, of("search")).withColumnRenamed("id", "text"), "hits")
-    holders = _first_ids(held.join(hits.select("text").distinct(), "text", "left_semi"), ["text"])
-    searched = holders.join(hits, "text").select("id", "argument").distinct()
+    holders = _first_ids(held.join(hits.select("text").distinct(), "text", "left_semi"), ["text"], ["id", "_row"])
+    searched = holders.join(hits, "text").select("id", "_row", "argument").distinct().drop("_row")
     in_city = golden.where("city IS NOT NULL").select("id", F.lower("city").alias("city"))
     plain, wild = of("city_filter").where("NOT argument RLIKE '[%_]'"), of("city_filter").where("argument RLIKE '[%_]'")
     cities = in_city.select("city").distinct().select(F.col("city").alias("id"), F.array("city").alias("texts"))

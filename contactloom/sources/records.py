@@ -85,7 +85,7 @@ def _clean(value):
     return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) else value
 
 
-def _maps(raws: list[dict | None]) -> pa.Array:
+def maps(raws: list[dict | None]) -> pa.Array:
     try:
         return _map_array(raws)
     except UnicodeEncodeError:
@@ -109,7 +109,7 @@ def _map_array(raws: list[dict | None]) -> pa.Array:
 def _batch(name: str, chunk: list[Found], schema: pa.Schema) -> pa.RecordBatch:
     numbers, raws, errors = zip(*chunk, strict=True)
     errors = [_clean(e) for e in errors]
-    columns = [pa.array([name] * len(chunk)), pa.array(numbers, pa.int64()), _maps(raws), pa.array(errors, pa.string())]
+    columns = [pa.array([name] * len(chunk)), pa.array(numbers, pa.int64()), maps(raws), pa.array(errors, pa.string())]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
@@ -375,7 +375,7 @@ def _line_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raws.append(raw)
             others.append(other)
             bads.append(bad)
-        made = [_maps(raws), pa.array(others, pa.string()), pa.array(bads, pa.bool_())]
+        made = [maps(raws), pa.array(others, pa.string()), pa.array(bads, pa.bool_())]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType, TimestampNTZType
 
 from contactloom.config import DEFAULT, Config
 from contactloom.operators import matching
-from contactloom.operators.lookup import lookup_join
+from contactloom.operators.lookup import lookup_join, shuffled
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import transform_rows, with_issues
 from contactloom.session import scratch, stage
@@ -89,19 +89,22 @@ def match_new(
     rest is matched among itself, and each new row then takes its first key whose owner
     came earlier: the same result as one run over all rows, at the cost of the new ones.
     """
-    keyed = stage(matching.keyed(rows, key_sets, scope, record_id), "newkeys")
-    new_edges = stage(matching.edges(keyed), "newedges")
-    holders = stage(new_edges.groupBy("key_set", "key").agg(F.count("*").alias("holders")), "holders")
-    known = stage(owners_of(holders).join(holders, ["key_set", "key"]), "known")
-    taken = lookup_join(new_edges, known, ["key_set", "key"], "holders", counts=holders).select("rid").distinct()
-    fresh = stage(matching.key_owners(keyed.join(taken, "rid", "left_anti")), "fresh")
-    here = stage(known.unionByName(fresh.join(holders, ["key_set", "key"])), "here")
-    hits = lookup_join(new_edges, here, ["key_set", "key"], "holders", counts=holders)
+    keyed = matching.numbered(matching.keyed(rows, key_sets, scope, record_id))
+    coded, keys = matching.coded(keyed, texts=True)
+    holders, on = matching.holders_of(coded), ["key_set", "key"]
+    known = owners_of(keys).join(shuffled(keys), on).select("key_set", F.col("code").alias("key"), "owner")
+    known = stage(known, "known")
+    new_edges = matching.edges(coded.drop("leads"))
+    taken = lookup_join(new_edges, known, on, "holders", counts=holders).select("row").distinct()
+    open_rows = stage(coded.drop("leads").join(taken, "row", "left_anti"), "free")
+    fresh = stage(matching.code_owners(open_rows, holders), "fresh")
+    hits = lookup_join(new_edges, known.unionByName(fresh), on, "holders", counts=holders)
     found = hits.where("owner < rid").groupBy("rid").agg(F.min(F.struct("key_set", "owner")).alias("hit"))
     assigned = keyed.select("rid").join(found, "rid", "left").select(
         "rid", F.coalesce("hit.owner", "rid").alias("primary_id"), F.col("hit.key_set").alias("key_set")
     )
-    return assigned, fresh
+    named = fresh.withColumnRenamed("key", "code").join(shuffled(keys), ["key_set", "code"]).select("key_set", "key", "owner")
+    return assigned, named
 
 
 def _refreshed(old: DataFrame, rows: DataFrame, assigned: DataFrame, fields: Sequence[str], record_id: str) -> DataFrame:

@@ -55,6 +55,16 @@ def test_first_seen_hot_key(spark):
     assert {r.rid: (r.primary_id, r.key_set) for r in got} == rules.first_seen(records, FILE_MATCH_KEYS)
 
 
+@pytest.mark.parametrize("hot", [None, 1])
+def test_first_seen_repeated_ids(spark, hot):
+    """Rows of one id with different keys, and one without an id: the rounds end, rows decide one by one."""
+    rows = [(1, "a", "x"), (1, "b", None), (1, "b", None), (2, "b", "y"), (3, "c", "y"), (3, None, "x"), (4, "c", None), (None, "c", "x")]
+    df = spark.createDataFrame(rows, "rid long, email string, phone string")
+    got = matching.first_seen(df, (("email",), ("phone",)), min_hot_rows=hot).collect()
+    assert sorted((r.rid or 0, r.primary_id or 0, r.key_set) for r in got) == [
+        (0, 0, None), (1, 1, None), (1, 1, None), (1, 1, None), (2, 1, 0), (3, 1, 1), (3, 1, 1), (4, 3, 0)]
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10**6), partitions=st.integers(1, 5))
 def test_first_seen_any_partitioning(spark, seed, partitions):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.functions import text
-from contactloom.operators.lookup import lookup_join
+from contactloom.operators.lookup import MANY_KEYS, lookup_join, shuffled
 from contactloom.session import stage
 from contactloom.sources.files import DELIMITERS, position, with_ordinals
 from contactloom.sources.formats import BOM
@@ -177,26 +177,31 @@ def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     first line; (_file, error) of records that are too long)."""
     function = F.when(F.contains("value", F.lit('"')), _line_function("value", "delimiter")).otherwise(F.lit(KEEP))
     split = ["_file", "_block"]
-    marked = stage(_running(lines.withColumn("fn", function), split, ["_seq"]), "quotes")
+    upto = W.partitionBy(*split).orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
+    inside = [F.col("before").bitwiseAND(F.lit(1)), F.shiftright("before", 1)]
+    # Line that begins the last record up to here, if the split begins outside and if it begins inside a cell: both are
+    # found in the shuffle that composes the functions, so that lines need not be dealt by split once more.
+    heads = [F.max(F.when(state == 0, F.col("_seq"))).over(upto) for state in inside]
+    marked = _running(lines.withColumn("fn", function), split, ["_seq"])
+    marked = stage(marked.withColumns({"head0": heads[0], "head1": heads[1]}), "quotes")
     whole = marked.groupBy(*split).agg(F.max_by(_after(F.col("before"), F.col("fn")), "_seq").alias("fn"))
     # A file begins outside: what is composed of all splits before, from there.
-    begins = _running(whole, ["_file"], ["_block"]).select(*split, F.col("before").bitwiseAND(F.lit(1)).alias("begin"))
-    known = marked.join(begins, split).withColumn(
-        "before", F.when(F.col("begin") == 1, F.shiftright("before", 1)).otherwise(F.col("before").bitwiseAND(F.lit(1)))
-    )
+    begins = stage(_running(whole, ["_file"], ["_block"]).select(*split, F.col("before").bitwiseAND(F.lit(1)).alias("begin")), "begins")
+    per_split = F.broadcast if begins.count() <= MANY_KEYS else shuffled
+    began = F.col("begin") == 1
+    known = marked.join(per_split(begins), split).withColumn("before", F.when(began, inside[1]).otherwise(inside[0]))
     after = F.when(F.col("before") == 1, F.shiftright("fn", 1)).otherwise(F.col("fn").bitwiseAND(F.lit(1)))
-    starts = F.col("before") == 0
-    upto = W.partitionBy(*split).orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
-    known = stage(known.select(
-        *LINE, "delimiter", starts.alias("starts"), (after == 1).alias("open"),
-        F.max(F.when(starts, F.struct(F.col("_block").alias("b"), F.col("_seq").alias("s")))).over(upto).alias("record"),
-    ), "records")
+    head = F.when(began, F.col("head1")).otherwise(F.col("head0"))
+    known = known.select(
+        *LINE, "delimiter", (F.col("before") == 0).alias("starts"), (after == 1).alias("open"),
+        F.when(head.isNotNull(), F.struct(F.col("_block").alias("b"), head.alias("s"))).alias("record"),
+    )
     single = known.where(F.col("starts") & ~F.col("open")).select(*LINE, "delimiter")
     # Lines before the first record of a split belong to the last one that began before.
     last = known.groupBy(*split).agg(F.max("record").alias("record"))
     earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = last.select(*split, F.max("record").over(earlier).alias("carried"))
-    parts = known.where(~F.col("starts") | F.col("open")).join(carried, split).withColumn("record", F.coalesce("record", "carried"))
+    parts = known.where(~F.col("starts") | F.col("open")).join(per_split(carried), split).withColumn("record", F.coalesce("record", "carried"))
     key = ["_file", F.col("record.b").alias("_block"), F.col("record.s").alias("_seq")]
     pieces = stage(parts.select(*key, F.struct(F.col("_block").alias("b"), F.col("_seq").alias("s"), "value").alias("line"), "delimiter"), "pieces")
     place = ["_file", "_block", "_seq"]

@@ -107,3 +107,13 @@ def test_line_functions():
     cases = {'a,b': (False, True), 'a,"b': (True, False), '"': (True, False), 'x"y,z': (False, False), '""': (False, True), '"""': (True, False)}
     for line, (out, inside) in cases.items():
         assert (ends_inside(line, ",", False), ends_inside(line, ",", True)) == (out, inside), line
+
+
+def test_lines_of_quoted_files_are_stored_once(spark, tmp_path, monkeypatch):
+    """Where records begin is found in the shuffle that composes the lines' functions: no second copy of all lines."""
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    written, store = [], delimited.stage
+    monkeypatch.setattr(delimited, "stage", lambda df, name: written.append((name, "value" in df.columns)) or store(df, name))
+    rows, _ = delimited.read_delimited(spark, str(tmp_path))
+    assert sorted((r.raw["a"], r.raw["b"]) for r in rows.collect()) == [("1", "x\ny"), ("2", "z")]
+    assert [name for name, lines in written if lines] == ["lines", "plain", "quotes", "found"]

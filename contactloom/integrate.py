@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,7 +17,7 @@ from contactloom.operators.isolate import Transform, apply_isolated
 from contactloom.operators.lookup import lookup_join
 from contactloom.operators.survivorship import golden_fold
 from contactloom.operators.transform import issue_rows, transform_rows, valid_rows, with_issues
-from contactloom.session import stage
+from contactloom.session import dealt, stage
 from contactloom.sources import delimited, formats, records, streams, xlsx
 
 ROW = ["_file", "_source_row", "raw"]
@@ -213,19 +214,21 @@ class Integration:
 def prepare(
     spark: SparkSession, extracted: DataFrame, errors: DataFrame, batch_id: int, attributes: list[str] | None = None,
     config: Config = DEFAULT, known_files: DataFrame | None = None, transform: Transform | None = None,
+    kept: Callable[[str], str | None] = lambda name: None,
 ) -> Integration:
-    """Rows with their ids, mapped, cleaned, checked and matched within their files."""
+    """Rows with their ids, mapped, cleaned, checked and matched within their files. ``kept`` may give the paths at which the
+    tables ``raw``, ``checked`` and ``within`` are to stay."""
     extracted = stage(extracted, "extracted")
     sizes = stage(extracted.groupBy("_file").agg(F.max("_source_row").alias("top"), F.count("*").alias("rows")), "sizes")
     numbered = stage(number_files(sizes.select("_file", "top"), known_files), "files")
     raw = with_record_ids(extracted, numbered, sizes, batch_id).withColumnRenamed("_source_row", "source_row")
-    raw = stage(raw, "raw")
-    mapped = schema.map_open_rows(raw, config=config)
+    raw = stage(raw, "raw", at=kept("raw"))
+    mapped = schema.map_open_rows(dealt(raw, "rid"), config=config)
     if attributes:
         wanted = schema.requested_attributes(attributes, config)
         mapped = mapped.withColumn("mapped", F.map_filter("mapped", lambda k, v: k.isin(wanted)))
-    checked = stage(clean_and_check(mapped, config, transform), "checked")
-    within = stage(matching.first_seen(valid_rows(checked), config.file_match_keys, ["file_id"]), "within")
+    checked = stage(clean_and_check(mapped, config, transform), "checked", at=kept("checked"))
+    within = stage(matching.first_seen(valid_rows(checked), config.file_match_keys, ["file_id"]), "within", at=kept("within"))
     return Integration(raw, numbered, checked, within, errors, batch_id, config)
 
 

@@ -33,6 +33,23 @@ def canonical_name(c: Column, config: Config = DEFAULT) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(c)), c)
 
 
+def _canonical_names(keys: Column, config: Config) -> Column:
+    """``canonical_name`` of each of an array of source columns: sets of aliases, as a map of them is searched entry by entry."""
+    named: dict[str, list[str]] = {}
+    for alias, canonical in config.alias_lookup().items():
+        named.setdefault(canonical, []).append(alias)
+    if not named:
+        return keys
+
+    def name(low: Column, place: Column) -> Column:
+        known = F
+        for canonical, aliases in named.items():
+            known = known.when(low.isin(aliases), canonical)
+        return F.coalesce(known, F.get(keys, place))
+
+    return F.transform(F.transform(keys, F.lower), name)
+
+
 def is_unknown(source: Column, canonical: Column, config: Config = DEFAULT) -> Column:
     return ~canonical.isin(list(config.aliases)) & (canonical == source) & ~source.startswith("_")
 
@@ -112,12 +129,13 @@ def map_columns(df: DataFrame, collision: str = "last", config: Config = DEFAULT
 
 def map_open_rows(df: DataFrame, raw: str = "raw", mapped: str = "mapped", config: Config = DEFAULT) -> DataFrame:
     """The same for a map of open columns: canonical keys, the last source column wins."""
-    names = F.transform(F.map_keys(raw), lambda k: canonical_name(k, config))
-    named = df.withColumn("_names", names)
+    named = df.withColumn("_names", _canonical_names(F.map_keys(raw), config))
     entries = F.arrays_zip(F.col("_names").alias("key"), F.map_values(raw).alias("value"))
     later = lambda i: F.slice("_names", i + 2, F.size("_names"))
     last = F.filter(entries, lambda e, i: ~F.array_contains(later(i), e["key"]))
-    return computed_once(named.withColumn(mapped, F.map_from_entries(last)).drop("_names"), "mapped")
+    single = F.size(F.array_distinct("_names")) == F.size("_names")
+    found = F.when(single, F.map_from_arrays("_names", F.map_values(raw))).otherwise(F.map_from_entries(last))
+    return computed_once(computed_once(named, "named").withColumn(mapped, found).drop("_names"), "mapped")
 
 
 def attributes(columns: DataFrame, by: str = "file_id", config: Config = DEFAULT) -> DataFrame:

@@ -5,7 +5,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from contactloom.integrate import extract, integrate, number_files
+from contactloom.config import Config
+from contactloom.integrate import extract, integrate, number_files, prepare
+from contactloom.operators import schema
 from contactloom.sinks import export
 
 
@@ -186,3 +188,36 @@ def test_numbers_of_many_files(spark):
     ranges = sorted((r.low, r["size"]) for _, found in ids.values() for r in found)
     assert all(a + n <= b for (a, n), (b, _) in zip(ranges, ranges[1:], strict=False))
     assert sum(n for _, n in ranges) == sum(i % 7 + 4 for i in range(70_000))
+
+
+def test_rows_of_a_small_batch_are_cleaned_by_all_cores(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = "".join(f"u{n}@x.com,Ann,Lee\n" for n in range(2000))
+    (folder / "a.csv").write_text("email,fname,surname\n" + lines)
+    run = integrate(spark, str(folder))
+    assert run.raw.rdd.getNumPartitions() == 1
+    tasks = run.checked.groupBy(F.input_file_name()).count().collect()
+    assert len(tasks) == spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in tasks) < 500 and run.checked.count() == 2000
+
+
+def test_names_are_found_as_in_a_map_of_aliases(spark):
+    config = Config(aliases={"email": ["E-Mail", "mail"], "city": ["Town"]})
+    made = ["'MAIL','a','x','b','TOWN',null", "'mail','a','E-mail','b','Ä','c'", "", None, "'email','a','Mail',null"]
+    raws = [f"cast({'null' if m is None else f'map({m})'} as map<string,string>)" for m in made]
+    rows = spark.createDataFrame([(n,) for n in range(5)], "n int").coalesce(1).selectExpr(f"element_at(array({','.join(raws)}), n + 1) as raw")
+    found = [r.mapped for r in schema.map_open_rows(rows, config=config).collect()]
+    assert found == [{"email": "a", "x": "b", "city": None}, {"email": "b", "Ä": "c"}, {}, None, {"email": None}]
+    same = schema.map_open_rows(rows, config=Config(aliases={})).selectExpr("to_json(raw) AS a", "to_json(mapped) AS b").collect()
+    assert all(r.a == r.b for r in same)
+
+
+def test_tables_stay_where_they_are_asked_for(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("email,fname\na@x.com,Ann\na@x.com,Bob\n")
+    extracted, errors = extract(spark, str(folder))
+    run = prepare(spark, extracted, errors, 1, kept=lambda name: f"{tmp_path}/kept/{name}")
+    for name in ("raw", "checked", "within"):
+        assert spark.read.parquet(f"{tmp_path}/kept/{name}").count() == getattr(run, name).count() == 2

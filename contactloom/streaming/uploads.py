@@ -48,12 +48,13 @@ def stream_uploads(
         with scratch(session):
             known = _last_mark(session, path, number)
             extracted, errors = extract(session, names)
-            run = prepare(session, extracted, errors, batch_id, None, config, known, transform)
+            at = lambda name: f"{path}/{name}/batch={number}"
+            run = prepare(session, extracted, errors, batch_id, None, config, known, transform, at)
             last = stage(run.files.orderBy(F.desc("file_id")).limit(1), "mark")
             mine = run.files.join(known, "_file", "left_anti")
-            for name, table in zip(TABLES, (run.raw, mine, run.checked, run.within, run.errors), strict=True):
-                table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-            last.write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+            mine.write.mode("overwrite").parquet(at("files"))
+            run.errors.write.mode("overwrite").parquet(at("errors"))
+            last.write.mode("overwrite").parquet(at("marks"))
 
     run_available(files.writeStream.foreachBatch(each), checkpoint)
 

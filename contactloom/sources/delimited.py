@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from contactloom.functions import text
 from contactloom.operators.lookup import MANY_KEYS, lookup_join, shuffled
+from contactloom.operators.transform import computed_once
 from contactloom.session import stage
 from contactloom.sources.files import DELIMITERS, position, with_ordinals
 from contactloom.sources.formats import BOM
@@ -267,11 +268,19 @@ def read_delimited(spark: SparkSession, folder: str, glob: str = CSV_FILES) -> t
     per_file = heads.select("_file", _header(whole).alias("header"), F.size("head").alias("width"))
     per_file = stage(per_file.join(every.groupBy("_file").agg(F.count("*").alias("n")), "_file"), "headers")
     rows = lookup_join(every.where("_source_row > 1"), per_file, ["_file"], "n")
-    cells = F.transform("header.places", lambda p: F.nullif(text.strip(F.get("cells", p - 1)), F.lit("")))
-    rows = rows.select(
-        "_file", "_source_row", F.map_from_arrays("header.names", cells).alias("raw"),
-        (F.size("cells") > F.col("width")).alias("_overflow"), F.col("delimiter").alias("_delimiter"),
-    ).where(F.exists(F.map_values("raw"), lambda v: v.isNotNull()))
-    many = F.format_string("%d row(s) had more cells than the header; the extra ones are left out", F.count_if("_overflow"))
-    errors = rows.groupBy("_file").agg(F.max("_overflow").alias("any"), many.alias("error")).where("any").select("_file", "error")
+    overflow = F.size("cells") > F.col("width")
+
+    def filled(found: DataFrame) -> DataFrame:
+        """Those with any value. Stripped first, then compared, each cell once."""
+        stripped = F.transform("header.places", lambda p: text.strip(F.get("cells", p - 1)))
+        cells = F.transform(stripped, lambda v: F.nullif(v, F.lit("")))
+        made = found.select(
+            "_file", "_source_row", F.map_from_arrays("header.names", cells).alias("raw"), overflow.alias("_overflow"),
+            F.col("delimiter").alias("_delimiter"),
+        )
+        return computed_once(made, "cells").where(F.exists(F.map_values("raw"), lambda v: v.isNotNull()))
+
+    many = F.format_string("%d row(s) had more cells than the header; the extra ones are left out", F.count("*"))
+    errors = filled(rows.where(overflow)).groupBy("_file").agg(many.alias("error")).select("_file", "error")
+    rows = filled(rows)
     return rows, errors if long is None else errors.unionByName(long)

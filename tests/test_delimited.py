@@ -117,3 +117,11 @@ def test_lines_of_quoted_files_are_stored_once(spark, tmp_path, monkeypatch):
     rows, _ = delimited.read_delimited(spark, str(tmp_path))
     assert sorted((r.raw["a"], r.raw["b"]) for r in rows.collect()) == [("1", "x\ny"), ("2", "z")]
     assert [name for name, lines in written if lines] == ["lines", "plain", "quotes", "found"]
+
+
+def test_cells_are_made_once_and_errors_from_long_records_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2,3\n , ,4\n5,6\n7, ,8\n")
+    rows, errors = read_delimited(spark, str(tmp_path))
+    assert sorted(tuple(r.raw.values()) for r in rows.collect()) == [("1", "2"), ("5", "6"), ("7", None)]
+    assert [e.error[:8] for e in errors.collect()] == ["2 row(s)"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays") == 1

@@ -12,6 +12,9 @@ correctness: a phrase with a rare part is rare itself, and each phrase keeps a m
 has been counted in, so none counts twice. Nothing else is sent to the tasks. Within a buffer of texts a
 phrase is counted once, and counts meet by key, so no frequent word or pair fills a task.
 
+Texts are cut into words once. What the scans read is, for a buffer of texts of one language, its distinct words
+and the numbers that its words have among them.
+
 While counting, a phrase is 64 and 32 bits of a hash of its language and words. A last scan names those
 that reached the threshold, in three parts: what a part has named is no longer looked for in the next, so that a
 phrase gives a few rows and not one for each task. The last part is all texts that are left. Scores and ranks are then computed by exact decimal arithmetic on strings.
@@ -41,10 +44,14 @@ LONGEST, KIND = 5, 7
 SHARDS = 3
 #: Bits of a bitmap of hashes; a power of two, 4 MB.
 FILTER_BITS = 1 << 25
-#: Bytes of text that are counted at once.
-BUFFER = 8 << 20
+#: Bytes of text that are looked through at once for their languages and shards, and that are cut into words at once.
+BUFFER, HELD = 8 << 20, 32 << 20
+#: Phrases, repeats included, that a task sorts at once.
+SORTED = 1 << 21
 #: Ends of the parts of the texts in which names are looked for, in 64ths.
 NAMING = (1, 8, 64)
+#: Bits of a shard's mask and of a step's number where a phrase's state is one number; the rest is its occurrences.
+MASK_BITS, STEP_BITS = 12, 6
 #: Ranges that a language's candidates are ranked in before all of them are.
 SLICES = 64
 
@@ -57,20 +64,61 @@ _CLASSES[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = BREAK
 LANES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """(number of each word, distinct words, number of its piece) of all texts in a row."""
+def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of each word, distinct words, whether it is the first of its piece) of all texts in a row."""
     lowered = pc.ascii_lower(texts).cast(pa.large_binary()).to_pylist()
-    data = np.frombuffer(b"\n".join([*lowered, b""]), np.uint8)
+    data = np.frombuffer(b"\n".join([b"", *lowered, b""]), np.uint8)
     kinds = _CLASSES[data]
     inside = kinds == 0
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
     pieces = np.cumsum(kinds == BREAK, dtype=np.int32)[starts]
     offsets = np.concatenate(([0], np.cumsum(ends - starts)))
     content = pa.py_buffer(np.ascontiguousarray(data[inside]))
     cut = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), content])
     numbered = cut.dictionary_encode()
-    return numbered.indices.to_numpy(), numbered.dictionary.to_pylist(), pieces
+    return numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), np.diff(pieces, prepend=-1) != 0
+
+
+#: A buffer of texts of one language and shard, cut into words. ``firsts`` is a bit per word, ``words`` are joined by blanks.
+CUT = "shard int, part int, lang string, n long, numbers binary, firsts binary, words binary"
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """The words of texts (shard, part, lang, text), a row per buffer."""
+
+    def row(key: tuple, own: list[pa.Array]) -> pa.RecordBatch | None:
+        numbers, words, firsts = words_of(pa.chunked_array(own))
+        if not len(numbers):
+            return None
+        small = np.uint16 if len(words) <= 1 << 16 else np.uint32
+        values = [*key, len(numbers), numbers.astype(small).tobytes(), np.packbits(firsts).tobytes(), b" ".join(words)]
+        types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        columns = [pa.array([v], t) for v, t in zip(values, types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "part", "lang", "n", "numbers", "firsts", "words"])
+
+    def rows(held: dict) -> Iterator[pa.RecordBatch]:
+        for key in list(held):
+            cut = row(key, held.pop(key))
+            if cut is not None:
+                yield cut
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for low, length in byte_ranges(batch.column("text"), BUFFER):
+                some = batch.slice(low, length)
+                grouped = pa.table([*some.columns[:3], pa.array(np.arange(length))], names=["shard", "part", "lang", "at"])
+                for key in grouped.group_by(["shard", "part", "lang"], use_threads=False).aggregate([("at", "list")]).to_pylist():
+                    own = some.column("text").take(pa.array(key["at_list"]))
+                    held.setdefault((key["shard"], key["part"], key["lang"]), []).append(own)
+                    size += own.nbytes
+                if size >= HELD:
+                    yield from rows(held)
+                    size = 0
+        yield from rows(held)
+
+    return texts.select("shard", "part", "lang", "text").mapInArrow(scan, CUT)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
@@ -90,35 +138,46 @@ def _has(bitmap: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
 class Phrases:
     """Keys of the phrases of some texts of one language, length by length, those alone whose parts pass a filter."""
 
-    def __init__(self, texts: pa.Array, lang: str):
-        self.numbers, self.words, self.pieces = words_of(texts)
+    def __init__(self, lang: str, numbers: np.ndarray, firsts: np.ndarray, words: list[bytes]):
+        self.numbers, self.firsts, self.words = numbers, firsts, words
         seed = xxhash.xxh64_intdigest(lang.encode())
-        digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in self.words)
-        self.own = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64)
-        self.lanes = [self.own[:, i][self.numbers] for i in (0, 1)]
-
-    def levels(self, every: np.ndarray | None, recent: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, places, first key, second key) of phrases of two words and more whose subphrases are in
-        ``every``, and one of them in ``recent``, if that is given."""
-        size, (a, b) = len(self.numbers), (self.lanes[0].copy(), self.lanes[1].copy())
-        passed = _has(every, self.own[:, 0])[self.numbers]
-        late = None if recent is None else _has(recent, self.own[:, 0])[self.numbers]
+        digests = b"".join([xxhash.xxh3_128_digest(w, seed) for w in words])
+        self.own = [np.ascontiguousarray(x) for x in np.frombuffer(digests, ">u8").reshape(-1, 2).T.astype(np.uint64)]
+
+    def levels(self, every: np.ndarray | None, recent: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, first key) of phrases of two words and more whose subphrases are in ``every``, and one of
+        them in ``recent``, if that is given."""
+        if every is None:
+            return
+        size, single = len(self.numbers), self.own[0][self.numbers]
+        a = single.copy()
+        passed = _has(every, self.own[0])[self.numbers]
+        late = None if recent is None else _has(recent, self.own[0])[self.numbers]
         for length in range(2, LONGEST + 1):
             both = passed[:-1] & passed[1:]
             if length == 2:
-                both &= self.pieces[:-1] == self.pieces[1:]
+                both &= ~self.firsts[1:]
             at = np.flatnonzero(both)
             if not len(at):
                 return
-            last = at + length - 1
-            a[at], b[at] = _mixed(a[at], self.lanes[0][last], 0), _mixed(b[at], self.lanes[1][last], 1)
-            active = at if late is None else at[late[at] | late[at + 1]]
-            yield length, active, a[active], b[active]
+            keys = _mixed(a[at], single[at + length - 1], 0)
+            active = slice(None) if late is None else late[at] | late[at + 1]
+            yield length, at[active], keys[active]
+            if length == LONGEST:
+                return
+            a[at] = keys
             passed = np.zeros(size, bool)
-            passed[at] = _has(every, a[at])
+            passed[at] = _has(every, keys)
             if late is not None:
                 late = np.zeros(size, bool)
-                late[at] = _has(recent, a[at])
+                late[at] = _has(recent, keys)
+
+    def second(self, places: np.ndarray, length: int) -> np.ndarray:
+        """Second keys, shortened, of the phrases of one length at some places."""
+        b = self.own[1][self.numbers[places]]
+        for i in range(1, length):
+            b = _mixed(b, self.own[1][self.numbers[places + i]], 1)
+        return _short(b, length)
 
     def text(self, place: int, length: int) -> bytes:
         return b" ".join([self.words[i] for i in self.numbers[place : place + length].tolist()])
@@ -131,10 +190,12 @@ def _short(second: np.ndarray, length: int) -> np.ndarray:
 
 def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of one of each key, how often it occurs)."""
-    order = np.argsort(first)  # which of equal keys comes first does not matter
-    a, b = first[order], second[order]
+    low = np.uint64((1 << len(first).bit_length()) - 1)
+    order = (np.sort(first & ~low | np.arange(len(first), dtype=np.uint64)) & low).astype(np.int64)
+    a, b = first[order], second[order]  # by their high bits; which of equal keys comes first does not matter
     new = a[1:] != a[:-1]
-    if (~new & (b[1:] != b[:-1])).any():  # equal in one key only
+    same_high = new & ((a[1:] ^ a[:-1]) <= low)
+    if same_high.any() or (~new & (b[1:] != b[:-1])).any():  # equal in one key, or its high bits, only
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
         new = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -142,64 +203,68 @@ def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[at], np.diff(np.append(at, len(a)))
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
-    for low, length in byte_ranges(batch.column(1), BUFFER):
-        part = batch.slice(low, length)
-        for lang in pc.unique(part.column(0)).to_pylist():
-            yield lang, part.column(1).filter(pc.equal(part.column(0), lang))
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Phrases]]:
+    """(language, phrases) of each row (lang, n, numbers, firsts, words)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, n, numbers, firsts, words = (batch.column(c)[i] for c in range(5))
+            n, held = n.as_py(), numbers.as_buffer()
+            numbers = np.frombuffer(held, np.uint16 if held.size == 2 * n else np.uint32).astype(np.int64)
+            firsts = np.unpackbits(np.frombuffer(firsts.as_buffer(), np.uint8), count=n).view(bool)
+            yield lang.as_py(), Phrases(lang.as_py(), numbers, firsts, words.as_py().split(b" "))
 
 
 def _count(texts: DataFrame, single: bool, every: np.ndarray | None, recent: np.ndarray | None) -> DataFrame:
-    """(a, b, n): how often the active phrases occur in each buffer of texts (lang, text)."""
+    """(a, b, n): how often the active phrases occur in each buffer or some buffers of texts cut into words."""
+
+    def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        one, counts = distinct(a, b)
+        return rows(a[one], b[one], counts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, own in _by_language(batch):
-                found = Phrases(own, lang)
-                if single and len(found.words):
-                    counts = np.bincount(found.numbers, minlength=len(found.words))
-                    columns = [found.own[:, 0].copy().view(np.int64), _short(found.own[:, 1], 1), counts]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
-                for length, at, a, b in found.levels(every, recent):
-                    if len(at):
-                        b = _short(b, length)
-                        one, counts = distinct(a, b)
-                        columns = [a[one].view(np.int64), b[one], counts]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
-
-    return texts.select("lang", "text").mapInArrow(scan, "a long, b int, n long")
+        held, size = [], 0
+        for _, found in _phrases(batches):
+            if single:
+                yield rows(found.own[0], _short(found.own[1], 1), np.bincount(found.numbers, minlength=len(found.words)))
+            for length, at, a in found.levels(every, recent):
+                if len(at):
+                    if held and size + len(at) > SORTED:
+                        yield counted(held)
+                        size = 0
+                    held.append((a, found.second(at, length)))
+                    size += len(at)
+        if held:
+            yield counted(held)
+
+    return texts.select("lang", "n", "numbers", "firsts", "words").mapInArrow(scan, "a long, b int, n long")
 
 
 def _named(texts: DataFrame, every: np.ndarray, wanted: np.ndarray) -> DataFrame:
-    """(a, b, lang, phrase, n): phrases in ``wanted``, words among them, whose parts are in ``every``; without keys,
-    the words of each language."""
-    schema = "a long, b int, lang string, phrase string, n long"
-    names = ["a", "b", "lang", "phrase", "n"]
-
-    def rows(lang: str, a: list, b: list, phrases: list, counts: list) -> pa.RecordBatch:
-        columns = [
-            pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array([lang] * len(a), pa.string()),
-            pa.array(phrases, pa.string()), pa.array(counts, pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    """(a, b, lang, phrase): phrases in ``wanted``, words among them, whose parts are in ``every``."""
+
+    def rows(lang: str, a: np.ndarray, b: np.ndarray, phrases: list) -> pa.RecordBatch:
+        columns = [pa.array(a.view(np.int64)), pa.array(b), pa.array([lang] * len(a), pa.string()), pa.array(phrases, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "lang", "phrase"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, own in _by_language(batch):
-                found = Phrases(own, lang)
-                yield rows(lang, [None], [None], [None], [len(found.numbers)])
-                at = np.flatnonzero(_has(wanted, found.own[:, 0]))
-                a, b = found.own[at, 0].copy().view(np.int64), _short(found.own[at, 1], 1)
-                yield rows(lang, a, b, [found.words[i].decode() for i in at.tolist()], np.ones(len(at), np.int64))
-                for length, at, a, b in found.levels(every, None):
-                    hit = _has(wanted, a)
-                    at, a, b = at[hit], a[hit], _short(b[hit], length)
-                    if len(at):
-                        one, counts = distinct(a, b)
-                        phrases = [found.text(i, length).decode() for i in at[one].tolist()]
-                        yield rows(lang, a[one].view(np.int64), b[one], phrases, counts)
-
-    return texts.select("lang", "text").mapInArrow(scan, schema)
+        for lang, found in _phrases(batches):
+            at = np.flatnonzero(_has(wanted, found.own[0]))
+            yield rows(lang, found.own[0][at], _short(found.own[1][at], 1), [found.words[i].decode() for i in at.tolist()])
+            for length, at, a in found.levels(every, None):
+                hit = _has(wanted, a)
+                at, a = at[hit], a[hit]
+                if len(at):
+                    b = found.second(at, length)
+                    one, _ = distinct(a, b)
+                    yield rows(lang, a[one], b[one], [found.text(i, length).decode() for i in at[one].tolist()])
+
+    named = texts.select("lang", "n", "numbers", "firsts", "words").mapInArrow(scan, "a long, b int, lang string, phrase string")
+    return named.distinct()
 
 
 def _bitmaps(keys: DataFrame, since: int, bits: int) -> tuple[np.ndarray | None, np.ndarray | None]:
@@ -225,20 +290,31 @@ def _bitmaps(keys: DataFrame, since: int, bits: int) -> tuple[np.ndarray | None,
 
 def _merge(totals: DataFrame | None, found: DataFrame, step: int, least: int, shards: int) -> DataFrame:
     """(a, b, f, mask, born, reached) with the counts of one shard: occurrences so far, shards counted in, first
-    scan, scan that reached the threshold. What has come full circle below it goes."""
+    scan, scan that reached the threshold. What has come full circle below it goes.
+
+    A phrase comes once from a task, so it is not worth while to add up before the shuffle. What was known of it is one number there."""
     bit = F.lit(1 << step % shards)
-    none = F.lit(None).cast("int")
-    rows = found.select("a", "b", F.lit(0).cast("long").alias("f"), "n", F.lit(0).alias("mask"), none.alias("born"), none.alias("reached"))
+    rows = found.select("a", "b", "n", F.lit(0).cast("long").alias("known"))
     if totals is not None:
-        rows = rows.unionByName(totals.select("a", "b", "f", F.lit(0).cast("long").alias("n"), "mask", "born", "reached"))
-    both = rows.groupBy("a", "b").agg(
-        F.sum("f").alias("f"), F.sum("n").alias("n"), F.max("mask").alias("mask"), F.min("born").alias("born"), F.min("reached").alias("reached")
-    )
+        known, low = F.col("f"), (1 << STEP_BITS) - 1
+        reached = F.coalesce(F.col("reached") + 1, F.lit(0))
+        for value, bits in ((F.col("mask"), MASK_BITS), (F.col("born") + 1, STEP_BITS), (reached, STEP_BITS)):
+            known = F.shiftleft(known, bits).bitwiseOR(value.cast("long"))
+        rows = rows.unionByName(totals.select("a", "b", F.lit(0).cast("long").alias("n"), known.alias("known")))
+    both = rows.repartition("a").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+    if totals is None:
+        f, mask, born, reached = F.lit(0).cast("long"), F.lit(0), F.lit(step), F.lit(None).cast("int")
+    else:
+        f = F.shiftright("known", MASK_BITS + 2 * STEP_BITS)
+        mask = F.shiftright("known", 2 * STEP_BITS).bitwiseAND(F.lit((1 << MASK_BITS) - 1)).cast("int")
+        born, reached = (F.shiftright("known", s).bitwiseAND(F.lit(low)).cast("int") for s in (STEP_BITS, 0))
+        born, reached = (F.when(x > 0, x - 1) for x in (born, reached))
+        born = F.coalesce(born, F.lit(step))
+    both = both.select("a", "b", "n", f.alias("f"), mask.alias("mask"), born.alias("born"), reached.alias("reached"))
     fresh = (F.col("n") > 0) & (F.col("mask").bitwiseAND(bit) == 0)
     both = both.select(
         "a", "b", F.when(fresh, F.col("f") + F.col("n")).otherwise(F.col("f")).alias("f"),
-        F.when(fresh, F.col("mask").bitwiseOR(bit)).otherwise(F.col("mask")).alias("mask"),
-        F.coalesce("born", F.lit(step)).alias("born"), "reached",
+        F.when(fresh, F.col("mask").bitwiseOR(bit)).otherwise(F.col("mask")).alias("mask"), "born", "reached",
     ).withColumn("reached", F.coalesce("reached", F.when(F.col("f") >= least, F.lit(step))))
     single = F.col("b").bitwiseAND(F.lit(KIND)) == 1
     circled = F.when(single, F.lit(step >= shards - 1)).otherwise(F.lit(step) - F.col("born") >= shards - 1)
@@ -249,11 +325,14 @@ def frequent_phrases(
     docs: DataFrame, least: int, text: str = "text", lang: str = "lang", shards: int = SHARDS, filter_bits: int = FILTER_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f) of all phrases of 1 to 5 words with ``least`` occurrences, (lang, n) words per language)."""
+    if not 0 < shards <= MASK_BITS:
+        raise ValueError(f"{shards} shards are not 1 to {MASK_BITS}")
     content, kind = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(lang), F.lit("und"))
     dealt = docs.select(kind.alias("lang"), content.alias("text"), F.xxhash64(content, F.monotonically_increasing_id()).alias("h"))
     shard = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
-    part = F.pmod(F.shiftrightunsigned("h", 8), F.lit(NAMING[-1])).cast("int").alias("part")
-    texts = stage(dealt.select("lang", "text", part, shard), "shards", by="shard")
+    place = F.pmod(F.shiftrightunsigned("h", 8), F.lit(NAMING[-1]))
+    part = reduce(lambda x, low: x + (place >= low).cast("int"), NAMING[:-1], F.lit(0)).alias("part")
+    texts = stage(_cut(dealt.select("lang", "text", part, shard)), "shards", by="shard")
     totals, step, every, recent = None, 0, None, None
     while step < shards or recent is not None:
         shard = texts.where(F.col("shard") == step % shards)
@@ -266,19 +345,16 @@ def frequent_phrases(
     reached = totals.where("reached IS NOT NULL")
     none = np.zeros(filter_bits // 8, np.uint8)
     every, _ = _bitmaps(reached, 0, filter_bits)
-    left, met, sizes = reached, [], []
-    for low, high in zip((0, *NAMING), NAMING, strict=False):
+    left, met = reached, []
+    for part in range(len(NAMING)):
         wanted, _ = _bitmaps(left, 0, filter_bits)
-        those = texts.where((F.col("part") >= low) & (F.col("part") < high))
-        named = _named(those, none if every is None else every, none if wanted is None else wanted)
-        named = stage(named.groupBy("a", "b", "lang", "phrase").agg(F.sum("n").alias("n")), "named")
-        sizes.append(named.where("a IS NULL").select("lang", "n"))
+        those = texts.where(F.col("part") == part)
+        named = stage(_named(those, none if every is None else every, none if wanted is None else wanted), "named")
         met.append(named.join(left.select("a", "b", "f"), ["a", "b"]).select("lang", "phrase", F.col("b").bitwiseAND(F.lit(KIND)).alias("k"), "f"))
-        if high < NAMING[-1]:
+        if part < len(NAMING) - 1:
             left = stage(left.join(named.select("a", "b"), ["a", "b"], "left_anti"), "unnamed")
-    sizes = reduce(DataFrame.unionAll, sizes).groupBy("lang").agg(F.sum("n").alias("n"))
-    found = reduce(DataFrame.unionAll, met)
-    found = stage(found, "frequent")
+    sizes = stage(texts.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    found = stage(reduce(DataFrame.unionAll, met), "frequent")
     discard(texts)
     discard(totals)
     return found, sizes

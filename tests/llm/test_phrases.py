@@ -2,9 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from contactloom.llm.phrases import collocations, frequent_phrases
+from contactloom.llm import phrases
+from contactloom.llm.phrases import collocations, distinct, frequent_phrases
 from tests.llm.conftest import HARD
 
 
@@ -87,3 +89,32 @@ def test_query(documents, queried):
     found = queried("op11_dic", documents=documents(rows))
     columns = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert sorted(tuple(r[c] for c in columns) for r in found) == plain([(r[1], "en") for r in rows], 100, 2000)
+
+
+def test_texts_are_cut_into_words_once(documents, monkeypatch):
+    scanned = []
+    for name in ("_count", "_named"):
+        scan = getattr(phrases, name)
+        monkeypatch.setattr(phrases, name, lambda texts, *rest, scan=scan: scanned.append(texts.columns) or scan(texts, *rest))
+    rows = [(i, "one two three. four five") for i in range(12)]
+    assert run(documents(rows), least=10, top=9) == plain([(r[1], "en") for r in rows], 10, 9)
+    assert len(scanned) > 6 and not any("text" in columns for columns in scanned)
+
+
+def test_more_words_than_16_bits_number(documents):
+    rows = [(1, " ".join(f"w{i} w{i % 50} of" for i in range(70_000)))]
+    assert run(documents(rows), least=1000, top=200, shards=1) == plain([(rows[0][1], "en")], 1000, 200)
+
+
+@pytest.mark.parametrize("shards", [0, 13])
+def test_shards_that_a_state_cannot_hold(documents, shards):
+    with pytest.raises(ValueError, match="shards"):
+        collocations(documents([(1, "x")]), shards=shards)
+
+
+@pytest.mark.parametrize("values", [[5, 5, 5], [1 << 40, (1 << 40) + 1, 1 << 40, 7], [0, (1 << 64) - 1, (1 << 64) - 2] * 3])
+def test_distinct_keys_that_share_their_high_bits(values):
+    first, second = np.array(values, np.uint64), np.arange(len(values), dtype=np.int32) % 2
+    places, counts = distinct(first, second)
+    have = {(int(first[p]), int(second[p])): int(n) for p, n in zip(places, counts, strict=True)}
+    assert have == Counter(zip(values, second.tolist(), strict=True)) and len(places) == len(have)

@@ -292,7 +292,7 @@ def _merge(totals: DataFrame | None, found: DataFrame, step: int, least: int, sh
     """(a, b, f, mask, born, reached) with the counts of one shard: occurrences so far, shards counted in, first
     scan, scan that reached the threshold. What has come full circle below it goes.
 
-    A phrase comes once from a task, so it is not worth while to add up before the shuffle. What was known of it is one number there."""
+    A phrase seldom comes more than once from a task, so counts are not added up before the shuffle. What was known of it is one number there."""
     bit = F.lit(1 << step % shards)
     rows = found.select("a", "b", "n", F.lit(0).cast("long").alias("known"))
     if totals is not None:

@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from itertools import islice
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -299,39 +299,48 @@ CHUNK = 50_000
 
 def _tags(opened: streams.Opened) -> Iterator[tuple]:
     """(position, tag, nth of its tag, error) of the children of the root, in order. The document is first read through
-    once, so that a parse error gives one row and no children."""
+    once, so that a parse error gives one row and no children; one of more than ``CHUNK`` children is then read again."""
+    names, count = [], 0
     try:
-        count = sum(1 for _ in streams.children(opened))
+        for found in streams.child_names(opened):
+            count += len(found)
+            names = names + found if count <= CHUNK else []
     except ElementTree.ParseError as e:
         yield None, None, None, f"XML parse error: {e}"
         return
     if not count:
         yield None, None, None, "Could not detect record element in XML"
-    seen = Counter()
-    for position, child in enumerate(streams.children(opened), 1):
-        tag = child.tag.rsplit("}", 1)[-1]
-        seen[tag] += 1
-        yield position, tag, seen[tag], None
+    seen, position = Counter(), 0
+    for found in [names] if count <= CHUNK else streams.child_names(opened):
+        for name in found:
+            tag = name.rsplit("}", 1)[-1]
+            seen[tag] += 1
+            position += 1
+            yield position, tag, seen[tag], None
 
 
-def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def frame(key, found):
-        out = pd.DataFrame(found, columns=["position", "tag", "nth", "error"])
-        out.insert(0, "_file", key)
-        return out.astype({"position": "Int64", "nth": "Int64"})
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many documents together, as most documents have a few children only."""
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+    def rows(batch):
+        for key, path, content in zip(*batch.columns, strict=True):
+            key = key.as_py()
+            for row in _tags(streams.opener(path.as_py(), content.as_py())):
+                yield key, *row
 
     for batch in batches:
-        for key, path, content in zip(batch["_file"], batch["path"], batch["content"], strict=True):
-            rows = _tags(streams.opener(path, content))
-            while found := list(islice(rows, CHUNK)):
-                yield frame(key, found)
+        found = rows(batch)
+        while chunk := list(islice(found, CHUNK)):
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*chunk, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_file", "position", "tag", "nth", "error"])
 
 
 def xml_children(contents: DataFrame) -> DataFrame:
     """(_file, position, tag, nth of its tag, error) from (_file, content), or (_file, path, content) where
     ``content`` is null for files that tasks open."""
     path = "path" if "path" in contents.columns else F.lit(None).cast("string").alias("path")
-    return contents.select("_file", path, "content").mapInPandas(_children, _CHILDREN)
+    return contents.select("_file", path, "content").mapInArrow(_children, _CHILDREN)
 
 
 def xml_record_tags(children: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 Opened = Callable[[], BinaryIO]
 #: Spark's own limit on the content of a file, as it stands unless somebody has set another one.
 UNLIMITED = 2**31 - 1
+#: Bytes of an XML document that are parsed at once.
+BLOCK = 1 << 16
 # Names that Hadoop and Arrow give to the same stores.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 _PARTS = re.compile(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(.*)", re.DOTALL)
@@ -88,3 +90,31 @@ def children(opened: Opened) -> Iterator[ElementTree.Element]:
             if depth == 1:
                 yield element
                 root.clear()
+
+
+class _Names:
+    """Target of a parser that keeps the names of the children of the root only."""
+
+    def __init__(self):
+        self.found, self.depth = [], 0
+
+    def start(self, name: str, attributes: dict) -> None:
+        self.depth += 1
+
+    def end(self, name: str) -> None:
+        self.depth -= 1
+        if self.depth == 1:
+            self.found.append(name)
+
+
+def child_names(opened: Opened) -> Iterator[list[str]]:
+    """The names of the children of the root, as they stand, by blocks of the document. No elements are made."""
+    target = _Names()
+    parser = ElementTree.XMLParser(target=target)
+    with opened() as stream:
+        while block := stream.read(BLOCK):
+            parser.feed(block)
+            yield target.found
+            target.found = []
+    parser.close()
+    yield target.found

@@ -3,6 +3,7 @@
 import io
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,33 @@ def test_json_and_xml_are_never_held_whole():
         assert sum(1 for _ in parse(opened(text))) == 60_000 and Watched.most <= 1 << 20 < len(text) / 5
 
 
+def _documents(contents):
+    names = [str(n) for n in range(len(contents))]
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.string()), pa.array(contents)], names=["_file", "path", "content"])
+
+
+def test_errors_of_many_documents_are_one_batch():
+    bad = [b"<r><a/><b/>", b"<r/>", b""] * 1000
+    found = list(files._children(iter([_documents(bad)])))
+    assert [batch.num_rows for batch in found] == [3000]
+    errors = found[0].column("error").to_pylist()
+    assert errors[:3] == [
+        "XML parse error: no element found: line 1, column 11", "Could not detect record element in XML",
+        "XML parse error: no element found: line 1, column 0"] and errors == errors[:3] * 1000
+
+
+def test_a_document_of_few_children_is_read_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(files.streams, "opener", lambda path, content: lambda: asked.append(content) or io.BytesIO(content))
+    document = b'<c:r xmlns:c="urn:x"><c:row/><note><c:row/></note><!-- x --><row/></c:r>'
+    found = [row for batch in files._children(iter([_documents([document] * 2)])) for row in batch.to_pylist()]
+    assert [(r["_file"], r["position"], r["tag"], r["nth"]) for r in found] == [
+        (f, p, t, n) for f in "01" for p, t, n in [(1, "row", 1), (2, "note", 1), (3, "row", 2)]] and len(asked) == 2
+    monkeypatch.setattr(files, "CHUNK", 2)
+    again = [row for batch in files._children(iter([_documents([document] * 2)])) for row in batch.to_pylist()]
+    assert again == found and len(asked) == 6
+
+
 def test_contents_stay_out_of_spark(spark, tmp_path):
     (tmp_path / "a b%20#.json").write_text('[{"a": 1}]')
     found = streams.file_rows(spark, str(tmp_path))

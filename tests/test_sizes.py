@@ -129,3 +129,14 @@ def test_tasks_do_not_grow_with_the_scan(spark, monkeypatch, tmp_path):
     spark.range(0, 50_000, 1, 2).write.parquet(str(tmp_path / "t"))
     monkeypatch.setattr(session, "TASK_ROWS", 1000)
     assert session.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == 50
+
+
+@pytest.mark.parametrize(("children", "times"), [(3, 1), (4, 1), (5, 2)])
+def test_record_tags_of_documents_up_to_a_chunk_take_one_reading(monkeypatch, children, times):
+    monkeypatch.setattr(files, "CHUNK", 4)
+    monkeypatch.setattr(streams, "BLOCK", 3)
+    readings = []
+    text = b"<r>" + b"<a/>" * (children - 2) + b"<b/><b/></r>"
+    found = list(files._tags(lambda: readings.append(1) or io.BytesIO(text)))
+    assert [t for _, t, _, _ in found] == ["a"] * (children - 2) + ["b"] * 2
+    assert [n for _, _, n, _ in found] == [*range(1, children - 1), 1, 2] and len(readings) == times

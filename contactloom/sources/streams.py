@@ -38,6 +38,14 @@ def open_file(path: str) -> BinaryIO:
     return open(rest, "rb") if store is None else store.open_input_stream(rest)
 
 
+def open_at(path: str, place: int) -> BinaryIO:
+    """A file from a byte on."""
+    store, rest = _store(path)
+    stream = open(rest, "rb") if store is None else store.open_input_file(rest)
+    stream.seek(place)
+    return stream
+
+
 def opener(path: str, content: bytes | None) -> Opened:
     """What opens a file anew each time: its content, if Spark has brought it, else the file itself."""
     return partial(open_file, path) if content is None else partial(io.BytesIO, content)
@@ -68,13 +76,13 @@ def streamed(spark: SparkSession, folder: str | list[str]) -> bool:
 
 
 def file_rows(spark: SparkSession, folder: str | list[str], **options) -> DataFrame:
-    """(_file, path, content) of the files below a folder; ``content`` is null where tasks open the file at ``path``."""
+    """(_file, path, content, length) of the files below a folder; ``content`` is null where tasks open the file at ``path``."""
     files = spark.read.format("binaryFile").options(**options).load(folder)
     most = most_bytes(spark, folder)
     if most is not None:
         files = files.where(F.col("length") <= most)
     content: Column = F.lit(None).cast("binary") if streamed(spark, folder) else F.col("content")
-    return files.select(F.col("_metadata.file_path").alias("_file"), "path", content.alias("content"))
+    return files.select(F.col("_metadata.file_path").alias("_file"), "path", content.alias("content"), "length")
 
 
 def children(opened: Opened) -> Iterator[ElementTree.Element]:

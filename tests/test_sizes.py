@@ -3,13 +3,16 @@
 import io
 import json
 
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from contactloom import session
 from contactloom.config import Config
 from contactloom.operators import answers, batch, lookup
+from contactloom.sinks import export
 from contactloom.sources import files, records, streams
 
 
@@ -45,6 +48,84 @@ def test_json_does_not_depend_on_the_window(monkeypatch, number):
         assert [(n, raw["id"]) for n, raw, _ in whole] == [(n + 1, str(n)) for n in range(60)]
 
 
+def read_by_splits(text, size):
+    """What the splits of a document give together, or nothing if they do not fit."""
+    def at(place):
+        stream = io.BytesIO(text.encode())
+        stream.seek(place)
+        return stream
+
+    facts, items = [], []
+    for split in range(-(-len(text.encode()) // size)):
+        for attempt, *found in records._split_items(at, split, size):
+            if len(found) == 2:
+                items.append((split, attempt, *found))
+            else:
+                facts.append(("f", split, attempt, *found))
+    chain = records._chain(size)(pd.DataFrame(facts, columns=["_file", "split", "attempt", "first", "next", "n", "wrapped", "ended"]))
+    before = {(split, attempt): n for _, split, attempt, n in chain.itertuples(index=False)}
+    return [records._record(before[s, a] + n, item) for s, a, n, item in items if (s, a) in before]
+
+
+TRAPS = [{"id": n, "t": '},{"a": 1},{' * (n % 3), "l": [{"a": m} for m in range(n % 4)], "é": {"m": [{}, {}]}} for n in range(300)]
+
+
+@pytest.mark.parametrize("block", [64, 1 << 20])
+@pytest.mark.parametrize("size", [500, 1000, 1 << 20])
+@pytest.mark.parametrize("text", [
+    json.dumps(TRAPS), json.dumps({"n": [1, 2], "rows": TRAPS, "after": [{"b": 1}, {"b": 2}]}, indent=1), "﻿" + json.dumps(TRAPS, ensure_ascii=False)])
+def test_splits_of_a_document_give_its_records(monkeypatch, text, size, block):
+    monkeypatch.setattr(records, "BLOCK", block)
+    assert read_by_splits(text, size) == list(records.JSON(opened(text)))
+
+
+@pytest.mark.parametrize("text", [
+    json.dumps(TRAPS)[:-1], json.dumps(TRAPS) + "x", json.dumps(TRAPS).replace('"id": 200', '"id" 200'), json.dumps({"rows": TRAPS})[:-1],
+    json.dumps(TRAPS) + "}", json.dumps({"a": {"b": [{}]}, "t": "x" * 3000}), "\n".join(map(json.dumps, TRAPS))])
+def test_splits_of_other_documents_do_not_fit(text):
+    assert read_by_splits(text, 1000) == []
+
+
+def test_large_documents_are_read_by_splits(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    mixed = [*TRAPS[:100], 5, None, *TRAPS[100:]]
+    for name, text in (("good", json.dumps({"rows": TRAPS}, indent=1)), ("bad", json.dumps(TRAPS)[:-1]), ("mixed", json.dumps(mixed)), ("small", '[{"a": 1}, 2]')):
+        (folder / f"{name}.json").write_text(text)
+
+    def read():
+        return sorted((r._file.rsplit("/")[-1], r._source_row or 0, sorted((r.raw or {}).items(), key=str), r.error or "")
+                      for r in records.read_records(spark, str(folder), "json").collect())
+
+    whole = read()
+    monkeypatch.setattr(records, "LARGE", 1000)
+    monkeypatch.setattr(records, "SPLIT", 1000)
+    assert read() == whole
+    monkeypatch.setattr(records, "JSON", lambda opened: iter([(None, None, "left to one task")]))
+    alone = {name for name, _, _, error in read() if error == "left to one task"}
+    assert {"bad.json", "small.json"} <= alone and "good.json" not in alone
+
+
+def test_a_document_is_put_together_from_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(export, "BLOCK", 1000)
+    for n in (0, 1, 3000):
+        rows = spark.range(n).selectExpr("id", "IF(id % 3 = 0, NULL, 'a\n\"é') AS name", "repeat('x', int(id % 50)) AS x").repartition(5).orderBy("id")
+        assert export.write_json_document(rows, str(tmp_path / str(n))) == n
+        [part] = (tmp_path / str(n)).glob("part-*")
+        text = part.read_text()
+        document = json.loads(text)
+        assert document["count"] == n and [r["id"] for r in document["results"]] == list(range(n)) and text.count("\n") == n + 2
+    assert document["results"][3] == {"id": 3, "name": None, "x": "xxx"} and document["results"][4]["name"] == 'a\n"é'
+
+
+def test_records_of_a_document_are_not_made_by_the_task_that_writes_it(spark, tmp_path):
+    task = F.udf(lambda x: TaskContext.get().partitionId(), "int")
+    rows = spark.range(0, 400, 1, 4).select("id", task("id").alias("task"))
+    export.write_json_document(rows, str(tmp_path / "out"))
+    [part] = (tmp_path / "out").glob("part-*")
+    assert {r["task"] for r in json.loads(part.read_text())["results"]} == {0, 1, 2, 3}
+
+
 def test_json_and_xml_are_never_held_whole():
     many = [{"id": n, "text": "x" * 90} for n in range(60_000)]
     rows = "".join(f"<c><id>{r['id']}</id><text>{r['text']}</text></c>" for r in many)

@@ -223,7 +223,7 @@ def prepare(
     numbered = stage(number_files(sizes.select("_file", "top"), known_files), "files")
     raw = with_record_ids(extracted, numbered, sizes, batch_id).withColumnRenamed("_source_row", "source_row")
     raw = stage(raw, "raw", at=kept("raw"))
-    mapped = schema.map_open_rows(dealt(raw, "rid"), config=config)
+    mapped = schema.map_open_rows(dealt(raw, "rid"), config=config, layouts=schema.shapes(raw))
     if attributes:
         wanted = schema.requested_attributes(attributes, config)
         mapped = mapped.withColumn("mapped", F.map_filter("mapped", lambda k, v: k.isin(wanted)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from contactloom.config import DEFAULT, GOLDEN_FIELDS, Config
 from contactloom.functions import text
 from contactloom.operators.transform import computed_once
+from contactloom.session import stage
 
 # What reads as a boolean, a date, an integer, a float.
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
@@ -127,9 +128,28 @@ def map_columns(df: DataFrame, collision: str = "last", config: Config = DEFAULT
     return df.select(*[value(sources).alias(name) for name, sources in groups.items()])
 
 
-def map_open_rows(df: DataFrame, raw: str = "raw", mapped: str = "mapped", config: Config = DEFAULT) -> DataFrame:
-    """The same for a map of open columns: canonical keys, the last source column wins."""
-    named = df.withColumn("_names", _canonical_names(F.map_keys(raw), config))
+#: Rows of a stored table from which on the names of its layouts are looked up, and layouts up to which they are.
+SHAPED_ROWS, MAX_SHAPES = 1_000_000, 1_000
+
+
+def shapes(table: DataFrame, raw: str = "raw") -> DataFrame | None:
+    """(_keys) the layouts (lists of source columns) of a stored table, if it has many rows and few layouts."""
+    if table.count() < SHAPED_ROWS:
+        return None
+    found = stage(table.select(F.map_keys(raw).alias("_keys")).distinct().limit(MAX_SHAPES + 1), "shapes")
+    return found if found.count() <= MAX_SHAPES else None
+
+
+def map_open_rows(
+    df: DataFrame, raw: str = "raw", mapped: str = "mapped", config: Config = DEFAULT, layouts: DataFrame | None = None
+) -> DataFrame:
+    """The same for a map of open columns: canonical keys, the last source column wins. With ``layouts``, the ``shapes`` of
+    the rows, names are found once for each layout."""
+    if layouts is None:
+        named = df.withColumn("_names", _canonical_names(F.map_keys(raw), config))
+    else:
+        known = layouts.withColumn("_names", _canonical_names(F.col("_keys"), config))
+        named = df.join(F.broadcast(known), F.map_keys(df[raw]).eqNullSafe(known["_keys"])).drop("_keys")
     entries = F.arrays_zip(F.col("_names").alias("key"), F.map_values(raw).alias("value"))
     later = lambda i: F.slice("_names", i + 2, F.size("_names"))
     last = F.filter(entries, lambda e, i: ~F.array_contains(later(i), e["key"]))

@@ -4,8 +4,8 @@ Spark splits the files at line breaks, also inside quotes. Whether a split begin
 follows from what the lines before it do: each line is a function between "outside" and "inside" (it
 keeps, swaps or sets the state). Functions are composed over the lines of a split, and then over the
 splits of a file, of which there are few. So every line knows the state it begins in, and records that
-cross line breaks or splits are the only ones whose lines are brought together. Files without quotes
-and blank lines skip all this.
+cross line breaks or splits are the only ones whose lines are brought together. Files without blank lines in
+which no line that begins outside a cell ends inside one skip all this: each of their lines is a record.
 
 Everything that differs from file to file is data: encoding, delimiter and header are one row per file,
 looked up by the lines. No list of files goes through the driver, and names may hold any character.
@@ -22,6 +22,7 @@ import csv
 import io
 import sys
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,6 +150,17 @@ def _line_function(lines: pd.Series, seps: pd.Series) -> pd.Series:
     ], dtype="Int32")
 
 
+@F.pandas_udf(T.BooleanType())
+def _opens(lines: pd.Series, seps: pd.Series) -> pd.Series:
+    return pd.Series([ends_inside(line, sep, False) for line, sep in zip(lines, seps, strict=True)], dtype=bool)
+
+
+def _crossing(lines: DataFrame) -> DataFrame:
+    """(_file) of the files in which a line that begins outside a cell ends inside one. In all others no line ever begins inside."""
+    quoted = lines.where(F.col("quoted") & F.contains("value", F.lit('"')))
+    return quoted.select("_file", _opens("value", "delimiter").alias("opens")).where("opens").select("_file").distinct()
+
+
 KEEP, SWAP = 2, 1  # 0 and 3 set the state
 
 
@@ -219,7 +231,7 @@ def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _quoted_cells(records: pd.Series, seps: pd.Series) -> pd.Series:
     csv.field_size_limit(sys.maxsize)
     return pd.Series([
-        [cell for row in csv.reader(io.StringIO(record, newline=""), delimiter=sep) for cell in row]
+        None if record is None else [cell for row in csv.reader(io.StringIO(record, newline=""), delimiter=sep) for cell in row]
         for record, sep in zip(records, seps, strict=True)
     ], dtype=object)
 
@@ -245,23 +257,30 @@ def read_delimited(spark: SparkSession, folder: str, glob: str = CSV_FILES) -> t
     Errors are (_file, error), also for records with more cells than the header."""
     lines = read_lines(spark, folder, glob)
     dialects = _dialects(lines)
+    if not dialects.where("quoted").isEmpty():
+        crossing = _crossing(lookup_join(lines, dialects, ["_file"], "n")).withColumn("crosses", F.lit(True))
+        dialects = stage(dialects.join(crossing, "_file", "left").fillna(False, ["crosses"]), "crossing")
+    else:
+        dialects = dialects.withColumn("crosses", F.lit(False))
     kinds = lookup_join(lines, dialects, ["_file"], "n")
-    simple = ~F.col("quoted") & ~F.col("blank")
-    plain = with_ordinals(stage(kinds.where(simple).select(*LINE, "delimiter"), "plain"), 1)
-    plain = plain.select("_file", "_source_row", "delimiter", _plain_cells(F.col("value"), F.col("delimiter")).alias("cells"))
-    parts, long = [plain], None
-    if not dialects.where(~simple).isEmpty():
-        found, long = _records(kinds.where(~simple).select(*LINE, "delimiter"))
+    quoted = F.contains("value", F.lit('"'))
+    quoted_cells = F.when(quoted, _quoted_cells(F.when(quoted, F.col("value")), "delimiter"))
+    plain_cells = _plain_cells(F.col("value"), F.col("delimiter"))
+    straight, long = ~F.col("crosses") & ~F.col("blank"), None
+
+    def of_lines(which: Column, cells: Column) -> DataFrame:
+        each = with_ordinals(stage(kinds.where(straight & which).select(*LINE, "delimiter"), "plain"), 1)
+        return each.select("_file", "_source_row", "delimiter", cells.alias("cells"))
+
+    parts = [of_lines(~F.col("quoted"), plain_cells)]
+    if not dialects.where(straight & F.col("quoted")).isEmpty():
+        parts.append(of_lines(F.col("quoted"), F.coalesce(quoted_cells, plain_cells)))
+    if not dialects.where(~straight).isEmpty():
+        found, long = _records(kinds.where(~straight).select(*LINE, "delimiter"))
         found = stage(found.where(~F.col("value").isin("", "\r")), "found")
         found = with_ordinals(found, 1, dense=True)
-        quoted = F.contains("value", F.lit('"'))
-        cells = F.when(quoted, _quoted_cells(F.when(quoted, F.col("value")).otherwise(""), "delimiter"))
-        parts.append(found.select(
-            "_file", "_source_row", "delimiter",
-            F.coalesce(cells, _plain_cells(F.col("value"), F.col("delimiter"))).alias("cells"),
-        ))
-    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    every = stage(every, "cells")
+        parts.append(found.select("_file", "_source_row", "delimiter", F.coalesce(quoted_cells, plain_cells).alias("cells")))
+    every = stage(reduce(DataFrame.unionByName, parts), "cells")
     heads = every.where("_source_row = 1").select("_file", F.col("cells").alias("head"))
     first = F.array(F.ltrim(F.element_at("head", 1), F.lit(BOM)))
     whole = F.concat(first, F.slice("head", 2, F.size("head")))

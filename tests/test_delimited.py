@@ -125,3 +125,23 @@ def test_cells_are_made_once_and_errors_from_long_records_only(spark, tmp_path):
     assert sorted(tuple(r.raw.values()) for r in rows.collect()) == [("1", "2"), ("5", "6"), ("7", None)]
     assert [e.error[:8] for e in errors.collect()] == ["2 row(s)"]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays") == 1
+
+
+def test_quoted_lines_that_end_outside_are_records(spark, tmp_path, monkeypatch):
+    """Quotes alone do not make a file one of records over line breaks."""
+    (tmp_path / "a.csv").write_text('a,b\n1,"x, ""y"""\r\n"",""\n2,z"q\n')
+    (tmp_path / "b.csv").write_text('"a,c";b\n1;"x;y"\n')
+    (tmp_path / "c.csv").write_text("a\tb\n3\t4\n")
+    monkeypatch.setattr(delimited, "_records", lambda lines: pytest.fail("lines are brought together"))
+    have, errors = found(spark, tmp_path)
+    assert have == {
+        "a.csv": [(2, {"a": "1", "b": 'x, "y"'}), (4, {"a": "2", "b": 'z"q'})], "b.csv": [(2, {"a,c": "1", "b": "x;y"})],
+        "c.csv": [(2, {"a": "3", "b": "4"})]} and not errors
+
+
+def test_files_with_and_without_records_over_line_breaks(spark, tmp_path):
+    for name, text in (("a", 'a,b\n1,"x\ny"\n2,z\n'), ("b", 'a,b\n1,"x"\n\n2,z\n'), ("c", 'a,b\n1,"x"\n2,z\n'), ("d", "a,b\n1,x\n2,z\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    have, errors = found(spark, tmp_path)
+    rows = [(2, {"a": "1", "b": "x"}), (3, {"a": "2", "b": "z"})]
+    assert have == {"a.csv": [(2, {"a": "1", "b": "x\ny"}), (3, rows[1][1])], "b.csv": rows, "c.csv": rows, "d.csv": rows} and not errors

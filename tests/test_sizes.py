@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from contactloom import session
 from contactloom.config import Config
-from contactloom.operators import answers, batch, lookup
+from contactloom.functions import text
+from contactloom.operators import answers, batch, lookup, schema
 from contactloom.sinks import export
 from contactloom.sources import files, records, streams
 
@@ -221,3 +222,37 @@ def test_record_tags_of_documents_up_to_a_chunk_take_one_reading(monkeypatch, ch
     found = list(files._tags(lambda: readings.append(1) or io.BytesIO(text)))
     assert [t for _, t, _, _ in found] == ["a"] * (children - 2) + ["b"] * 2
     assert [n for _, _, n, _ in found] == [*range(1, children - 1), 1, 2] and len(readings) == times
+
+
+def test_hot_keys_are_found_by_buckets(spark, monkeypatch):
+    """Keys are counted one by one only in buckets of many rows."""
+    rows = session.stage(spark.range(3000).selectExpr("id", "IF(id % 3 = 0, -1, id) AS key", "IF(id % 5 = 0, NULL, 'k') AS other"))
+    facts = {"n": F.count("*"), "first": F.min("id")}
+    kept, store = [], lookup.stage
+    monkeypatch.setattr(lookup, "stage", lambda df, name: kept.append(store(df, name)) or kept[-1])
+    cold = sorted(map(tuple, lookup.with_facts(rows, ["key", "other"], facts, 5000).select("id", "key", "other", "n", "first").collect()))
+    assert kept == []
+    hot = sorted(map(tuple, lookup.with_facts(rows, ["key", "other"], facts, 500).select("id", "key", "other", "n", "first").collect()))
+    assert [r.key for r in kept[0].collect()] == [-1] and hot == cold and len(cold) == 2400
+    assert {r[3] for r in cold if r[1] == -1} == {800} and {r[3] for r in cold if r[1] != -1} == {1}
+
+
+def test_names_are_found_once_for_each_layout(spark, monkeypatch):
+    raws = [{"E_Mail": "a", "Mobile": "1"}, {"Mobile": "1", "E_Mail": "a"}, {"mail": "b", "EMAIL": "c", "x": None}, {}, None] * 3
+    rows = session.stage(spark.createDataFrame([(n, r) for n, r in enumerate(raws)], "rid bigint, raw map<string,string>"))
+    plain = {r.rid: r.mapped for r in schema.map_open_rows(rows).collect()}
+    assert schema.shapes(rows) is None
+    monkeypatch.setattr(schema, "SHAPED_ROWS", 10)
+    layouts = schema.shapes(rows)
+    assert layouts.count() == 4
+    mapped = schema.map_open_rows(rows, layouts=layouts)
+    assert {r.rid: r.mapped for r in mapped.collect()} == plain and mapped.columns == ["rid", "raw", "mapped"] and plain[2]["email"] == "c"
+    monkeypatch.setattr(schema, "MAX_SHAPES", 3)
+    assert schema.shapes(rows) is None
+
+
+def test_match_form_of_any_outer_character(spark):
+    texts = [None, "", *[t for c in map(chr, [*range(0x180), 0x2003, 0x2028, 0x3000]) for t in (c, "A" + c, c + "A", "A" + c + "B", "A\n" + c)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = F.nullif(F.lower(text.strip(F.col("t"))), F.lit(""))
+    assert rows.where(~text.match_form(F.col("t")).eqNullSafe(slow)).count() == 0
